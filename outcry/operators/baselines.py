@@ -24,6 +24,7 @@ Design
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,44 +111,11 @@ def slot_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column
                      add_buckets(lo, last_i, bucket).alias("last_hour"))
 
 
-_HIST_TYPE = T.ArrayType(T.StructType([
-    T.StructField("w", T.LongType()),
-    T.StructField("x", T.LongType()),
-    T.StructField("prev_mean", T.DoubleType()),
-    T.StructField("prev_std", T.DoubleType()),
-    T.StructField("prev_n", T.LongType()),
-    T.StructField("mean", T.DoubleType()),
-    T.StructField("std", T.DoubleType()),
-    T.StructField("n", T.LongType()),
-]))
-
-
 def slot_history(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
                  bucket: str = "hour") -> DataFrame:
     """One row per entity and bucket in [lo, hi] with the slot state before
-    (prev_*) and after the bucket's observation x.  This is also the dense spine:
-    each bucket updates exactly one slot per entity."""
-    _, period = BUCKETS[bucket]
-    sf = slot_frame(counts, catalog, lo, hi, bucket).where(F.col("n_weeks") > F.lit(0))
-    weeks = F.sequence(F.lit(0).cast("long"), F.col("n_weeks") - F.lit(1))
-    seed = F.struct(_state_seed().alias("st"), F.array().cast(_HIST_TYPE).alias("hist"))
-
-    def step(acc, w):
-        x = _x_at(w)
-        st = acc["st"]
-        new = _fold_state(st, x)
-        rec = F.struct(w.alias("w"), x.alias("x"),
-                       F.when(st["n"] > 0, st["mean"]).alias("prev_mean"),
-                       F.when(st["n"] > 0, st["std"]).alias("prev_std"),
-                       st["n"].alias("prev_n"),
-                       new["mean"].alias("mean"), new["std"].alias("std"), new["n"].alias("n"))
-        return F.struct(new.alias("st"),
-                        F.concat(acc["hist"], F.array(rec)).cast(_HIST_TYPE).alias("hist"))
-
-    hist = F.aggregate(weeks, seed, step)["hist"]
-    out = sf.select("entity_id", "dow", "hod", "i0", F.inline(hist))
-    return (out.withColumn("hour", add_buckets(lo, F.col("i0") + F.col("w") * F.lit(period), bucket))
-               .drop("i0"))
+    (prev_*) and after the bucket's observation x (see ``replay``)."""
+    return replay(dense_with_totals(counts, catalog, lo, hi, bucket), bucket)
 
 
 # ------------------------------------------------------------------ tiers
@@ -273,9 +241,19 @@ def share_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Colum
                            st["total"].alias("total")))
 
 
-_SHARE_HIST_SCHEMA = T.StructType([
+_REPLAY_SCHEMA = T.StructType([
     T.StructField("entity_id", T.StringType()),
     T.StructField("hour", T.TimestampType()),
+    T.StructField("dow", T.IntegerType()),
+    T.StructField("hod", T.IntegerType()),
+    T.StructField("x", T.LongType()),
+    T.StructField("total", T.LongType()),
+    T.StructField("prev_mean", T.DoubleType()),
+    T.StructField("prev_std", T.DoubleType()),
+    T.StructField("prev_n", T.LongType()),
+    T.StructField("mean", T.DoubleType()),
+    T.StructField("std", T.DoubleType()),
+    T.StructField("n", T.LongType()),
     T.StructField("prev_share", T.DoubleType()),
     T.StructField("prev_total", T.LongType()),
     T.StructField("share", T.DoubleType()),
@@ -283,36 +261,101 @@ _SHARE_HIST_SCHEMA = T.StructType([
 ])
 
 
-def _share_walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential share EWMA of one entity over its dense bucket series."""
-    pdf = pdf.sort_values("hour", kind="mergesort")
-    n = pdf["n"].to_numpy()
-    tot = pdf["total"].to_numpy()
+def _replay_entity(pdf: pd.DataFrame, period: int, daily: bool) -> pd.DataFrame:
+    """Replay one entity's dense bucket series: slot EWMA and share EWMA state
+    before and after every bucket.  Same operation order as the JVM fold and
+    the reference, so values are bit-identical."""
+    pdf = pdf.sort_values("hour", kind="mergesort").reset_index(drop=True)
+    h = len(pdf)
+    x = pdf["x"].to_numpy(dtype=np.int64)
+    tot = pdf["total"].to_numpy(dtype=np.int64)
+    slot = pdf["dow"].to_numpy(dtype=np.int64) if daily else \
+        pdf["dow"].to_numpy(dtype=np.int64) * 24 + pdf["hod"].to_numpy(dtype=np.int64)
+    off = int(slot[0])
+    weeks = (off + h + period - 1) // period
+    xs = np.zeros(weeks * period)
+    ok = np.zeros(weeks * period, dtype=bool)
+    xs[off:off + h] = x
+    ok[off:off + h] = True
+    xs, ok = xs.reshape(weeks, period), ok.reshape(weeks, period)
+    mean, std, n = np.zeros(period), np.zeros(period), np.zeros(period, dtype=np.int64)
+    pm, ps, pn = np.empty((weeks, period)), np.empty((weeks, period)), np.empty((weeks, period), dtype=np.int64)
+    am, as_, an = np.empty((weeks, period)), np.empty((weeks, period)), np.empty((weeks, period), dtype=np.int64)
+    for w in range(weeks):
+        pm[w], ps[w], pn[w] = mean, std, n
+        xv, v = xs[w], ok[w]
+        a = np.maximum(K.ALPHA_FLOOR, K.ALPHA_SCALE / np.sqrt(np.maximum(n.astype(np.float64), 1.0)))
+        diff = xv - mean
+        nm = a * xv + (1.0 - a) * mean
+        ns = np.sqrt(np.maximum((1.0 - a) * (std * std + a * diff * diff), K.VARIANCE_FLOOR))
+        first = n == 0
+        mean = np.where(v, np.where(first, xv, nm), mean)
+        std = np.where(v, np.where(first, K.INITIAL_STD, ns), std)
+        n = np.where(v, n + 1, n)
+        am[w], as_[w], an[w] = mean, std, n
+    cut = slice(off, off + h)
+    prev_n = pn.reshape(-1)[cut]
+    seen = prev_n > 0
+
     a = K.SHARE_ALPHA
     share, total = 0.0, 0
-    prev_s, prev_t, out_s, out_t = [], [], [], []
-    for ni, ti in zip(n.tolist(), tot.tolist()):
-        prev_s.append(share)
-        prev_t.append(total)
+    sh_prev, tt_prev, sh_after, tt_after = (np.empty(h), np.empty(h, dtype=np.int64),
+                                            np.empty(h), np.empty(h, dtype=np.int64))
+    for i, (ni, ti) in enumerate(zip(x.tolist(), tot.tolist())):
+        sh_prev[i], tt_prev[i] = share, total
         if ti > 0:
             cur = ni / ti
             share = a * cur + (1.0 - a) * share if total > 0 else cur
             total = total + ni
-        out_s.append(share)
-        out_t.append(total)
-    return pd.DataFrame({"entity_id": pdf["entity_id"].to_numpy(), "hour": pdf["hour"].to_numpy(),
-                         "prev_share": prev_s, "prev_total": prev_t,
-                         "share": out_s, "lifetime_total": out_t})
+        sh_after[i], tt_after[i] = share, total
+
+    return pd.DataFrame({
+        "entity_id": pdf["entity_id"].to_numpy(), "hour": pdf["hour"].to_numpy(),
+        "dow": pdf["dow"].to_numpy(dtype=np.int32), "hod": pdf["hod"].to_numpy(dtype=np.int32),
+        "x": x, "total": tot,
+        "prev_mean": np.where(seen, pm.reshape(-1)[cut], np.nan),
+        "prev_std": np.where(seen, ps.reshape(-1)[cut], np.nan),
+        "prev_n": prev_n,
+        "mean": am.reshape(-1)[cut], "std": as_.reshape(-1)[cut], "n": an.reshape(-1)[cut],
+        "prev_share": sh_prev, "prev_total": tt_prev, "share": sh_after, "lifetime_total": tt_after,
+    })
+
+
+def replay(spine: DataFrame, bucket: str = "hour") -> DataFrame:
+    """C3 + C5b: slot and share state before and after every bucket of every
+    entity, in one pass per entity.
+
+    ``spine`` is the dense series (entity_id, hour, dow, hod, x, total) — every
+    entity has one row per bucket, so groups are equal-sized (bounded by the
+    number of buckets, independent of signal volume; no hot entity skew).
+    Within an entity the slot recurrence runs week by week, vectorised over the
+    entity's slots; the share recurrence is a scalar loop.  O(buckets) per
+    entity, where an array-append fold would be quadratic in weeks per slot.
+    """
+    _, period = BUCKETS[bucket]
+    daily = bucket == "day"
+    cols = spine.select("entity_id", "hour", F.col("dow").cast("int"), F.col("hod").cast("int"),
+                        F.col("x").cast("long"), F.col("total").cast("long"))
+    return cols.groupBy("entity_id").applyInPandas(
+        lambda pdf: _replay_entity(pdf, period, daily), _REPLAY_SCHEMA)
 
 
-def share_history(spine: DataFrame) -> DataFrame:
-    """Share state before and after every bucket of every entity.
+def dense_with_totals(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
+                      bucket: str = "hour") -> DataFrame:
+    """Dense spine (entity_id, hour, dow, hod, x, total) over [lo, hi]."""
+    from outcry.operators.counts import dense_spine, hourly_totals
+    rng = counts.where((F.col("hour") >= lo) & (F.col("hour") <= hi))
+    sp = dense_spine(rng, catalog, lo, hi, bucket).withColumnRenamed("n", "x")
+    tot = hourly_totals(rng)
+    return (sp.join(tot, "hour", "left")
+              .withColumn("total", F.coalesce("total", F.lit(0).cast("long"))))
 
-    ``spine`` needs entity_id, hour, n, total (dense per entity).  Grouped by
-    entity; a group has one row per bucket in the range (bounded by time).
-    """
-    return (spine.select("entity_id", "hour", F.col("n").cast("long"), F.col("total").cast("long"))
-                 .groupBy("entity_id").applyInPandas(_share_walk, _SHARE_HIST_SCHEMA))
+
+def share_history(spine: DataFrame, bucket: str = "hour") -> DataFrame:
+    """Share state before and after every bucket (from the replay)."""
+    sp = spine.withColumnRenamed("n", "x") if "x" not in spine.columns else spine
+    return replay(sp, bucket).select("entity_id", "hour", "prev_share", "prev_total", "share",
+                                     "lifetime_total")
 
 
 def lifetime_totals(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column) -> DataFrame:

@@ -60,6 +60,17 @@ def first_bucket(counts: DataFrame) -> Column:
     return counts.select(F.min("hour")).scalar()
 
 
+def bounds(counts: DataFrame) -> tuple[Column, Column]:
+    """First and last bucket with data as literal Columns (one tiny action that
+    returns two numbers), so range filters on ``hour`` are pushed into scans."""
+    row = counts.agg(F.unix_seconds(F.min("hour")).alias("lo"),
+                     F.unix_seconds(F.max("hour")).alias("hi")).first()
+    if row is None or row["lo"] is None:
+        raise ValueError("no signals in range")
+    return (F.timestamp_seconds(F.lit(row["lo"]).cast("long")),
+            F.timestamp_seconds(F.lit(row["hi"]).cast("long")))
+
+
 def entity_obs(counts: DataFrame, lo: Column, bucket: str = "hour") -> DataFrame:
     """Sparse counts of each entity as one map: bucket index -> n."""
     idx = bucket_index("hour", lo, bucket)

@@ -25,6 +25,7 @@ from outcry.operators import counts as CN
 from outcry.operators import ranking as R
 from outcry.operators import reports as RP
 from outcry.plans import status as P
+from outcry.session import materialize
 from outcry.sources.signals import parse_payload, table
 
 # Fixed query parameters.
@@ -51,10 +52,10 @@ class Ctx:
             self.signals = B.evk_signals(spark, sf_dir)
         else:
             self.signals = B.ret_signals(spark, sf_dir)
-        self.catalog = B.catalog_from(self.signals, kind)
-        self.counts = P.signal_counts(self.signals, self.catalog, bucket=self.bucket)
-        self.lo = CN.first_bucket(self.counts)
-        self.hi = CN.last_bucket(self.counts)
+        self.catalog = materialize(B.catalog_from(self.signals, kind), f"catalog-{kind}")
+        self.counts = materialize(P.signal_counts(self.signals, self.catalog, bucket=self.bucket),
+                                  f"counts-{kind}")
+        self.lo, self.hi = CN.bounds(self.counts)
 
     @property
     def as_of(self):
@@ -234,10 +235,7 @@ def c5_share_baselines(spark, sf):
 
 def c5b_share_history(spark, sf):
     x = Ctx(spark, sf)
-    sp = CN.dense_spine(x.counts, x.catalog, x.lo, x.hi)
-    tot = CN.hourly_totals(x.counts)
-    sp = sp.join(tot, "hour", "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
-    h = C.share_history(sp)
+    h = C.share_history(C.dense_with_totals(x.counts, x.catalog, x.lo, x.hi))
     return h.select("entity_id", _iso("hour").alias("hour"), "prev_share", "prev_total",
                     "share", "lifetime_total")
 

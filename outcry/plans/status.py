@@ -18,9 +18,9 @@ from outcry.functions import scoring as S
 from outcry.functions.time import BUCKETS, dow, hod, iso_hour
 from outcry.labels import DEFAULT_LABELS
 from outcry.operators.admission import accepted, admit_known, dedup_signals
-from outcry.operators.baselines import (share_baselines, share_history, slot_baselines,
-                                        slot_history, tier_history, tiers)
-from outcry.operators.counts import hourly_counts, hourly_totals, trend
+from outcry.operators.baselines import (share_baselines, slot_baselines, slot_history,
+                                        tier_history, tiers)
+from outcry.operators.counts import hourly_counts, trend
 
 
 def signal_counts(signals: DataFrame, catalog: DataFrame, k: int | None = K.RATE_CAP,
@@ -98,13 +98,8 @@ def score_history(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
     """D9 for every entity and bucket in [lo, hi], each scored only with
     state from earlier buckets (no look-ahead)."""
     hist = tier_history(slot_history(counts, catalog, lo, hi, bucket))
-    totals = hourly_totals(counts.where((F.col("hour") >= lo) & (F.col("hour") <= hi)))
-    spine = (hist.join(totals, "hour", "left")
-                 .withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
-                 .drop("n").withColumnRenamed("x", "n"))
-    sh = share_history(spine.select("entity_id", "hour", "n", "total"))
-    df = spine.join(sh.select("entity_id", "hour", F.col("prev_share").alias("expected_share")),
-                    ["entity_id", "hour"], "left")
+    df = (hist.drop("n").withColumnRenamed("x", "n")
+              .withColumnRenamed("prev_share", "expected_share"))
     scored = score_columns(df, labels)
     return scored.select("entity_id", iso_hour("hour").alias("hour"),
                          F.col("n").alias("n_signals"), *HISTORY_COLUMNS[3:])
