@@ -35,15 +35,16 @@ def alpha(n) -> Column:
     return F.greatest(_d(K.ALPHA_FLOOR), _d(K.ALPHA_SCALE) / F.sqrt(F.greatest(n, _d(1.0))))
 
 
-def ewma_step(mean, std, n, x) -> tuple[Column, Column, Column]:
+def ewma_step(mean, std, n, x, a=None) -> tuple[Column, Column, Column]:
     """One EWMA update; returns (mean', std', n').
 
     The first observation (n = 0) seeds mean = x, std = 5, n = 1.  Later ones use
     the *old* mean in the variance term and floor the variance at 0.01.
+    ``a`` defaults to the adaptive alpha of the old count (C1).
     """
     mean, std, n = _c(mean), _c(std), _c(n)
     x = _c(x).cast("double")
-    a = alpha(n)
+    a = alpha(n) if a is None else _c(a).cast("double")
     one_minus = _d(1.0) - a
     new_mean = a * x + one_minus * mean
     diff = x - mean
