@@ -94,21 +94,37 @@ def _fold_state(acc: Column, x: Column) -> Column:
 
 
 def slot_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
-                   bucket: str = "hour") -> DataFrame:
+                   bucket: str = "hour", seed: DataFrame | None = None) -> DataFrame:
     """EWMA state of every slot after folding buckets [lo, hi].
 
     Columns: entity_id, dow, hod, mean, std, n, last_hour.  Slots with no bucket
     in the range have no row (the reference creates a row on first update).
+    ``seed`` (same columns) continues from stored state: its slots start from
+    their stored (mean, std, n) and slots untouched by the range keep it.
     """
     _, period = BUCKETS[bucket]
-    sf = slot_frame(counts, catalog, lo, hi, bucket).where(F.col("n_weeks") > F.lit(0))
+    sf = slot_frame(counts, catalog, lo, hi, bucket)
+    init = _state_seed()
+    keys = ["entity_id", "dow", "hod"]
+    if seed is not None:
+        sd = seed.select(*keys, F.struct(F.col("mean").cast("double").alias("mean"),
+                                          F.col("std").cast("double").alias("std"),
+                                          F.col("n").cast("long").alias("n")).alias("_seed"),
+                         F.col("last_hour").alias("_seed_last"))
+        sf = sf.join(sd, keys, "full_outer").fillna({"n_weeks": 0})
+        init = F.coalesce(F.col("_seed"), init)
+    sf = sf.where((F.col("n_weeks") > F.lit(0)) | (F.lit(seed is not None) & F.col("_seed").isNotNull())
+                  if seed is not None else F.col("n_weeks") > F.lit(0))
     weeks = F.sequence(F.lit(0).cast("long"), F.col("n_weeks") - F.lit(1))
-    state = F.aggregate(weeks, _state_seed(), lambda acc, w: _fold_state(acc, _x_at(w)))
+    state = F.when(F.col("n_weeks") > F.lit(0),
+                   F.aggregate(weeks, init, lambda acc, w: _fold_state(acc, _x_at(w)))).otherwise(init)
     last_i = F.col("i0") + (F.col("n_weeks") - F.lit(1)) * F.lit(period)
+    last = add_buckets(lo, last_i, bucket)
+    if seed is not None:
+        last = F.when(F.col("n_weeks") > F.lit(0), last).otherwise(F.col("_seed_last"))
     return sf.select("entity_id", "dow", "hod",
                      state["mean"].alias("mean"), state["std"].alias("std"),
-                     state["n"].alias("n"),
-                     add_buckets(lo, last_i, bucket).alias("last_hour"))
+                     state["n"].alias("n"), last.alias("last_hour"))
 
 
 def slot_history(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
@@ -211,7 +227,7 @@ def active_buckets(totals: DataFrame, lo: Column, hi: Column, bucket: str = "hou
 
 
 def share_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
-                    bucket: str = "hour") -> DataFrame:
+                    bucket: str = "hour", seed: DataFrame | None = None) -> DataFrame:
     """Expected share (EWMA, alpha 0.3) and lifetime total of every catalog
     entity after the buckets in [lo, hi] with a positive total.
 
@@ -225,8 +241,14 @@ def share_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Colum
     obs = (rng.groupBy("entity_id")
               .agg(F.map_from_entries(F.collect_list(F.struct(idx, F.col("n").cast("long"))))
                     .alias("obs")))
-    seed = F.struct(_nullable(F.lit(0.0)).alias("share"),
+    init = F.struct(_nullable(F.lit(0.0)).alias("share"),
                     _nullable(F.lit(0).cast("long")).alias("total"))
+    base = catalog.select("entity_id").join(obs, "entity_id", "left")
+    if seed is not None:
+        sd = seed.select("entity_id", F.struct(F.col("expected_share").cast("double").alias("share"),
+                                               F.col("total").cast("long").alias("total")).alias("_seed"))
+        base = base.join(sd, "entity_id", "left")
+        init = F.coalesce(F.col("_seed"), init)
 
     def step(acc, e):
         n = F.coalesce(F.try_element_at(F.col("obs"), e["i"]), F.lit(0).cast("long"))
@@ -234,9 +256,8 @@ def share_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Colum
         s, t = share_step(acc["share"], acc["total"], x, n)
         return F.struct(s.alias("share"), t.alias("total"))
 
-    st = F.aggregate(F.col("_active"), seed, step)
-    return (catalog.select("entity_id").join(obs, "entity_id", "left")
-                   .withColumn("_active", active)
+    st = F.aggregate(F.col("_active"), init, step)
+    return (base.withColumn("_active", active)
                    .select("entity_id", st["share"].alias("expected_share"),
                            st["total"].alias("total")))
 

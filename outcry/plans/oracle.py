@@ -234,10 +234,10 @@ SELECT entity_id, {iso('hour')} AS hour, CAST(n AS BIGINT) AS n_signals, CAST(to
 FROM scored""")
 
 
-def snapshot_ctes(kind: str = "ev") -> str:
+def snapshot_ctes(kind: str = "ev", lag: int = 1) -> str:
     """snap: the D9 status rows (all STATUS columns) at as_of = last bucket,
-    built from folds over [lo, as_of) and direct AVG tiers."""
-    unit = "INTERVAL 1 DAY" if kind == "ret" else "INTERVAL 1 HOUR"
+    built from folds over [lo, as_of - lag buckets] and direct AVG tiers."""
+    unit = f"INTERVAL {lag} DAY" if kind == "ret" else f"INTERVAL {lag} HOUR"
     r9 = lambda e: r1(e, K.TIER_DECIMALS)
     return ("WITH RECURSIVE" + base_ctes(kind) + spine_ctes(kind, f"b.hi - {unit}") + fold_ctes()
             + share_ctes() + f""",
@@ -532,6 +532,22 @@ WHERE s.entity_id = '{focus}'"""
     o["f9_flags"] = _evk_snap(
         "SELECT entity_id, z_score, score, CASE WHEN score <= 0 THEN NULL WHEN z_score > 1.5 THEN "
         "'Getting more signals than usual' WHEN z_score < -0.5 THEN 'Quieter than usual' END AS flag FROM snap")
+    # ---- G: streams close a bucket once the watermark (2 h on the bucket
+    # start) passes its end, so closed buckets are those <= last - 3 h.
+    closed = "b.hi - INTERVAL 3 HOUR"
+    o["g1_stream_counts"] = _ev_with(f"\nSELECT k.entity_id, {iso('k.hour')} AS hour, k.n FROM counts k, bounds b "
+                                     f"WHERE k.hour <= {closed}")
+    o["g2_stream_dedup"] = _ev_with(f"\nSELECT actor_key, entity_id, {iso('hour')} AS hour FROM dd")
+    o["g3_stream_rate_cap"] = o["a7_rate_cap_hour"]
+    g4 = "WITH RECURSIVE" + base_ctes("ev") + spine_ctes("ev", closed) + fold_ctes()
+    o["g4_hour_close"] = g4 + f"""
+SELECT entity_id, dow, hod, mean, std, n, {iso('hour')} AS last_hour FROM fold
+QUALIFY row_number() OVER (PARTITION BY entity_id, dow, hod ORDER BY k DESC) = 1"""
+    o["g4_share_close"] = ("WITH RECURSIVE" + base_ctes("ev") + spine_ctes("ev", closed) + share_ctes() + """,
+last AS (SELECT * FROM sfold QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY k DESC) = 1)
+SELECT c.entity_id, l.share AS expected_share, l.ltotal AS total FROM cat c LEFT JOIN last l ON l.entity_id = c.entity_id""")
+    o["g5_stream_status"] = snapshot_ctes("ev", lag=3) + f"\nSELECT {STATUS} FROM snap"
+
     o["f8_digest"] = _digest("evk")
     o["f8_digest_ev"] = _digest("ev")
     return o

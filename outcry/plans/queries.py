@@ -407,6 +407,79 @@ def f8_digest_ev(spark, sf):
     return RP.digest(Ctx(spark, sf).snapshot())
 
 
+# ------------------------------------------------------------------ G (streaming)
+def _event_stream(spark, sf):
+    from outcry.sources.signals import stream_signals
+    schema = table(spark, sf, "events").schema
+    return stream_signals(spark, sf.rstrip("/"), schema, signal_id="event_id", entity="event_type",
+                          actor="user_id", ts="ts", glob="events.parquet")
+
+
+def _scratch(spark, name):
+    from outcry.session import scratch_path
+    return scratch_path(spark, name)
+
+
+def g1_stream_counts(spark, sf):
+    from outcry.streaming import jobs as G
+    root = _scratch(spark, "g1")
+    src = _event_stream(spark, sf)
+    sdf = G.stream_hourly_counts(G.stream_dedup(src, B.ev_catalog(spark, sf)))
+    G.run_available_now(sdf, f"{root}/ckpt", path=f"{root}/out")
+    return spark.read.parquet(f"{root}/out").select("entity_id", _iso("hour").alias("hour"), "n")
+
+
+def g2_stream_dedup(spark, sf):
+    from outcry.streaming import jobs as G
+    root = _scratch(spark, "g2")
+    sdf = G.stream_dedup(_event_stream(spark, sf), B.ev_catalog(spark, sf))
+    G.run_available_now(sdf.select("actor_key", "entity_id", "hour"), f"{root}/ckpt", path=f"{root}/out")
+    return spark.read.parquet(f"{root}/out").select("actor_key", "entity_id", _iso("hour").alias("hour"))
+
+
+def g3_stream_rate_cap(spark, sf):
+    from outcry.streaming import jobs as G
+    root = _scratch(spark, "g3")
+    src = _event_stream(spark, sf).join(B.ev_catalog(spark, sf).select("entity_id"), "entity_id", "left_semi")
+    capper = G.RateCapper(spark, f"{root}/state", f"{root}/out", k=CAP_HOUR)
+    G.run_available_now(src, f"{root}/ckpt", foreach_batch=capper)
+    return spark.read.parquet(f"{root}/out").select("signal_id", "entity_id", "actor_key",
+                                                    _iso("hour").alias("bucket"))
+
+
+def _closed_state(spark, sf):
+    from outcry.streaming import jobs as G
+    root = _scratch(spark, "g4")
+    cat = materialize(B.ev_catalog(spark, sf), "catalog-ev")
+    sdf = G.stream_hourly_counts(G.stream_dedup(_event_stream(spark, sf), cat))
+    G.run_available_now(sdf, f"{root}/ckpt", foreach_batch=G.BucketCloser(spark, cat, f"{root}/state"))
+    return root, cat
+
+
+def g4_hour_close(spark, sf):
+    from outcry.streaming import jobs as G
+    root, _ = _closed_state(spark, sf)
+    base, _ = G.closed_state(spark, f"{root}/state")
+    return _state_out(base)
+
+
+def g4_share_close(spark, sf):
+    from outcry.streaming import jobs as G
+    root, _ = _closed_state(spark, sf)
+    _, shares = G.closed_state(spark, f"{root}/state")
+    return shares.select("entity_id", "expected_share", "total")
+
+
+def g5_stream_status(spark, sf):
+    from outcry.streaming import jobs as G
+    root, cat = _closed_state(spark, sf)
+    live = (G.stream_dedup(_event_stream(spark, sf), cat)
+             .groupBy("hour", "entity_id").agg(F.count(F.lit(1)).cast("long").alias("n")))
+    G.run_available_now(live, f"{root}/ckpt-live", mode="update",
+                        foreach_batch=G.LiveStatus(spark, cat, f"{root}/state", f"{root}/status"))
+    return G.VersionedTable(spark, f"{root}/status").latest()
+
+
 NAMES = [
     "a3_parse_payload", "a4_actor_key", "a5_time_bucket", "a6_known_entities", "a6_unknown_rejects",
     "a7_rate_cap_hour", "a7_rate_cap_day", "a8_admission_report", "a9_dedup",
@@ -421,6 +494,8 @@ NAMES = [
     "e6_first_by_key", "e7_sort_order", "e8_merge_catalog", "e9_catalog_check", "e10_resolve_alias",
     "f1_rank_score_desc", "f1_rank_score_asc", "f2_rank_name", "f3_search", "f4_top_peers",
     "f4b_first_peers", "f8_digest", "f8_digest_ev", "f9_flags",
+    "g1_stream_counts", "g2_stream_dedup", "g3_stream_rate_cap", "g4_hour_close", "g4_share_close",
+    "g5_stream_status",
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in NAMES}

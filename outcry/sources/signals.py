@@ -56,12 +56,15 @@ def read_signals(spark: SparkSession, path: str, signal_id="signal_id", entity="
 
 def stream_signals(spark: SparkSession, path: str, schema: T.StructType, signal_id="signal_id",
                    entity="entity_id", actor="actor_key", ts="ts", fmt: str = "parquet",
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """A2: streaming signal source (file source; Kafka is a drop-in)."""
+                   max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """A2: streaming signal source (file source over a folder, optionally
+    filtered by a file-name glob; Kafka is a drop-in)."""
     ensure_utc(spark)
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     df = reader.load(path)
     col = lambda c: F.col(c) if isinstance(c, str) else c
     return to_signals(df, col(signal_id), col(entity), col(actor), col(ts))
