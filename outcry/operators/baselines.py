@@ -188,8 +188,7 @@ def tier_history(history: DataFrame) -> DataFrame:
     first = F.col("prev_n") == F.lit(0)
     d_mean = _dec("mean") - F.when(first, F.lit(0)).otherwise(F.col("prev_mean")).cast(_DEC)
     d_std = _dec("std") - F.when(first, F.lit(0)).otherwise(F.col("prev_std")).cast(_DEC)
-    h = (history.withColumn("_dm", d_mean).withColumn("_ds", d_std)
-                .withColumn("_new", first.cast("long")))
+    h = history.select("*", d_mean.alias("_dm"), d_std.alias("_ds"), first.cast("long").alias("_new"))
     before = Window.unboundedPreceding, -1
     w_ent = Window.partitionBy("entity_id").orderBy("hour").rowsBetween(*before)
     w_hod = Window.partitionBy("entity_id", "hod").orderBy("hour").rowsBetween(*before)
@@ -198,20 +197,14 @@ def tier_history(history: DataFrame) -> DataFrame:
         cnt = F.coalesce(F.sum("_new").over(w), F.lit(0))
         n = F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)).cast("long")
         ok = n > F.lit(0)
-        return {
-            f"{p}_mean": F.when(ok, _avg_exact(F.sum("_dm").over(w), cnt)),
-            f"{p}_std": F.when(ok, _avg_exact(F.sum("_ds").over(w), cnt)),
-            f"{p}_n": F.when(ok, n),
-        }
-
-    cols = {**tier(w_ent, "agg"), **tier(w_hod, "hour")}
-    out = h
-    for name, c in cols.items():
-        out = out.withColumn(name, c)
-    return (out.withColumn("slot_mean", F.col("prev_mean"))
-               .withColumn("slot_std", F.col("prev_std"))
-               .withColumn("slot_n", F.when(F.col("prev_n") > 0, F.col("prev_n")))
-               .drop("_dm", "_ds", "_new"))
+        return [F.when(ok, _avg_exact(F.sum("_dm").over(w), cnt)).alias(f"{p}_mean"),
+                F.when(ok, _avg_exact(F.sum("_ds").over(w), cnt)).alias(f"{p}_std"),
+                F.when(ok, n).alias(f"{p}_n")]
+
+    out = h.select(*history.columns, *tier(w_ent, "agg"), *tier(w_hod, "hour"),
+                   F.col("prev_mean").alias("slot_mean"), F.col("prev_std").alias("slot_std"),
+                   F.when(F.col("prev_n") > 0, F.col("prev_n")).alias("slot_n"))
+    return out
 
 
 # ------------------------------------------------------------------ shares

@@ -52,9 +52,12 @@ class Ctx:
             self.signals = B.evk_signals(spark, sf_dir)
         else:
             self.signals = B.ret_signals(spark, sf_dir)
-        self.catalog = materialize(B.catalog_from(self.signals, kind), f"catalog-{kind}")
-        self.counts = materialize(P.signal_counts(self.signals, self.catalog, bucket=self.bucket),
+        # The binding's catalog is every entity seen, so counts need no catalog
+        # filter and the catalog comes from the small counts table (one scan
+        # of the raw signals instead of two).
+        self.counts = materialize(P.signal_counts(self.signals, None, bucket=self.bucket),
                                   f"counts-{kind}")
+        self.catalog = materialize(B.catalog_from(self.counts, kind), f"catalog-{kind}")
         self.lo, self.hi = CN.bounds(self.counts)
 
     @property

@@ -17,16 +17,25 @@ from outcry import constants as K
 from outcry.functions import scoring as S
 from outcry.functions.time import BUCKETS, dow, hod, iso_hour
 from outcry.labels import DEFAULT_LABELS
-from outcry.operators.admission import accepted, admit_known, dedup_signals
+from outcry.operators.admission import admit_known, dedup_signals, rate_cap
 from outcry.operators.baselines import (share_baselines, slot_baselines, slot_history,
                                         tier_history, tiers)
 from outcry.operators.counts import hourly_counts, trend
 
 
-def signal_counts(signals: DataFrame, catalog: DataFrame, k: int | None = K.RATE_CAP,
+def signal_counts(signals: DataFrame, catalog: DataFrame | None, k: int | None = K.RATE_CAP,
                   bucket: str = "hour") -> DataFrame:
-    """A6 -> A7 -> A9 -> B1: accepted, de-duplicated signals per (entity, bucket)."""
-    adm = accepted(signals, catalog, k=k, bucket=bucket) if k else admit_known(signals, catalog)
+    """A6 -> A7 -> A9 -> B1: accepted, de-duplicated signals per (entity, bucket).
+
+    ``catalog=None`` admits every non-empty entity (a catalog derived from the
+    signals themselves), which saves the semi join and lets the catalog be
+    derived afterwards from the small counts table instead of a second scan.
+    """
+    if catalog is None:
+        known = signals.where(F.col("entity_id").isNotNull() & (F.col("entity_id") != F.lit("")))
+    else:
+        known = admit_known(signals, catalog)
+    adm = rate_cap(known, k=k, bucket=bucket) if k else known
     return hourly_counts(dedup_signals(adm, bucket))
 
 
@@ -37,7 +46,8 @@ def prev_bucket(ts: Column, bucket: str = "hour") -> Column:
 
 def score_columns(df: DataFrame, labels=DEFAULT_LABELS) -> DataFrame:
     """D1-D7 + C10 over a frame with n, total, expected_share and the tier
-    columns slot_/hour_/agg_ mean/std/n.  Bands use unrounded z and d."""
+    columns slot_/hour_/agg_ mean/std/n.  Bands use unrounded z and d.
+    Two projections (no withColumn chain), so the plan stays small."""
     r = S.resolve_tier("slot_mean", "slot_std", "slot_n", "hour_mean", "hour_std", "hour_n",
                        "agg_mean", "agg_std", "agg_n")
     resolved = r["mean"].isNotNull()
@@ -45,21 +55,23 @@ def score_columns(df: DataFrame, labels=DEFAULT_LABELS) -> DataFrame:
     exp = F.coalesce(F.col("expected_share"), F.lit(0.0))
     z = S.z_score("n", r["mean"], r["std"])
     d = S.disproportionality(share, exp)
-    out = (df.withColumn("tier", r["tier"])
-             .withColumn("confidence", r["confidence"])
-             .withColumn("_mean", r["mean"])
-             .withColumn("_z", F.when(resolved, z).otherwise(F.lit(0.0)))
-             .withColumn("_d", F.when(resolved, d).otherwise(F.lit(0.0))))
+    keep = [c for c in df.columns if c not in ("expected_share",)]
+    step1 = df.select(*keep, r["tier"].alias("tier"), r["confidence"].alias("confidence"),
+                      r["mean"].alias("_mean"),
+                      F.when(resolved, z).otherwise(F.lit(0.0)).alias("_z"),
+                      F.when(resolved, d).otherwise(F.lit(0.0)).alias("_d"),
+                      share.alias("_share"), exp.alias("_exp"))
     score = F.when(F.col("_mean").isNotNull(),
                    S.combined_score("_z", "_d", "confidence")).otherwise(F.lit(0.0))
-    return (out.withColumn("score", score)
-               .withColumn("status", S.status_label("score", labels))
-               .withColumn("baseline_mean", S.round_half_up("_mean", 1))
-               .withColumn("z_score", S.round_half_up("_z", 2))
-               .withColumn("disproportionality", S.round_half_up("_d", 2))
-               .withColumn("current_share", S.round_half_up(share, 3))
-               .withColumn("expected_share", S.round_half_up(exp, 3))
-               .drop("_mean", "_z", "_d"))
+    step2 = step1.select(*keep, "tier", "confidence", "_mean", "_z", "_d", "_share", "_exp",
+                         score.alias("score"))
+    return step2.select(*keep, "tier", "confidence", "score",
+                        S.status_label("score", labels).alias("status"),
+                        S.round_half_up("_mean", 1).alias("baseline_mean"),
+                        S.round_half_up("_z", 2).alias("z_score"),
+                        S.round_half_up("_d", 2).alias("disproportionality"),
+                        S.round_half_up("_share", 3).alias("current_share"),
+                        S.round_half_up("_exp", 3).alias("expected_share"))
 
 
 STATUS_COLUMNS = ["entity_id", "display_name", "provider", "sort_order", "hour", "n_signals",
