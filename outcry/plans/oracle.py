@@ -414,6 +414,8 @@ def oracle_sql() -> dict[str, str]:
                              "CAST(dayofweek(hour) AS INTEGER) AS dow, CAST(hour(hour) AS INTEGER) AS hod, "
                              "strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM dd")
 
+    o["a10_signal_sink"] = o["a9_dedup"]
+
     # ---- B / F5-F7
     o["b1_hourly_counts"] = _ev_with(f"\nSELECT entity_id, {iso('hour')} AS hour, n, dow, hod FROM counts")
     o["b1_hourly_counts_evk"] = _ev_with(f"\nSELECT entity_id, {iso('hour')} AS hour, n, dow, hod FROM counts", "evk")

@@ -132,6 +132,19 @@ def a9_dedup(spark, sf):
                      F.date_format("created_at", ISO_SECONDS).alias("created_at"))
 
 
+def a10_signal_sink(spark, sf):
+    """A9 output written through the signal sink (Parquet partitioned by UTC
+    date) into the shared folder and read back."""
+    from outcry.session import scratch_path
+    from outcry.sources.signals import write_signals
+    sig = B.ev_signals(spark, sf)
+    path = scratch_path(spark, "signals")
+    write_signals(A.dedup_signals(A.accepted(sig, B.ev_catalog(spark, sf))), path, mode="overwrite")
+    back = spark.read.parquet(path)
+    return back.select("signal_id", "actor_key", "entity_id", _iso("hour").alias("hour"), "dow", "hod",
+                       F.date_format("created_at", ISO_SECONDS).alias("created_at"))
+
+
 # ------------------------------------------------------------------ B / F5-F7
 def _counts_out(df):
     return df.select("entity_id", _iso("hour").alias("hour"), F.col("n").cast("long").alias("n"))
@@ -485,7 +498,7 @@ def g5_stream_status(spark, sf):
 
 NAMES = [
     "a3_parse_payload", "a4_actor_key", "a5_time_bucket", "a6_known_entities", "a6_unknown_rejects",
-    "a7_rate_cap_hour", "a7_rate_cap_day", "a8_admission_report", "a9_dedup",
+    "a7_rate_cap_hour", "a7_rate_cap_day", "a8_admission_report", "a9_dedup", "a10_signal_sink",
     "b1_hourly_counts", "b1_hourly_counts_evk", "b2_hourly_totals", "b3_count_at", "b4_peer_counts",
     "b5_shares", "b6_dense_spine", "b7_trend", "f5_scaled_trend", "f6_has_signal", "f7_local_label",
     "c2_slot_baselines", "c3_slot_history", "c3b_tier_history", "c4_apply_hour", "c5_share_baselines",

@@ -4,7 +4,8 @@ bucket close -> baseline/share update (G4), live status (G5), late policy (G6).
 Event time = arrival time.  The watermark (default 2 hours, G6) bounds the
 state of the dedup and the windowed count; rows later than the watermark are
 dropped from the stream aggregates (they stay in the raw signal sink for batch
-replay).
+replay).  With chained stateful operators Spark checks lateness against the
+previous micro-batch's watermark, so the cut-off lags by one batch.
 
 Stateful updates that have no built-in streaming operator (rate-cap quota,
 baseline folds, live status) run in ``foreachBatch`` against versioned Parquet
