@@ -98,6 +98,22 @@ class VersionedTable:
            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("version").parquet(self.root))
 
+    def prune(self, current: int, keep: int = 2) -> None:
+        """Delete versions older than the ``keep`` newest up to ``current``
+        (a replay of the current batch only needs the version before it)."""
+        path, fs = self._fs()
+        if not fs.exists(path):
+            return
+        for st in fs.listStatus(path):
+            name = st.getPath().getName()
+            if name.startswith("version="):
+                try:
+                    v = int(name.split("=", 1)[1])
+                except ValueError:
+                    continue
+                if v <= current - keep:
+                    fs.delete(st.getPath(), True)
+
 
 # ------------------------------------------------------------------ G3
 class RateCapper:
@@ -125,12 +141,13 @@ class RateCapper:
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch").parquet(self.sink))
         secs, _ = BUCKETS[self.bucket]
-        newest = acc.agg(F.max("hour")).first()[0]
+        newest = acc.agg(F.unix_seconds(F.max("hour"))).first()[0]
         merged = (prior.unionByName(acc.groupBy("actor_key", "hour").agg(F.count(F.lit(1)).alias("used")))
                        .groupBy("actor_key", "hour").agg(F.sum("used").cast("long").alias("used")))
         if newest is not None:
-            merged = merged.where(F.unix_seconds("hour") >= F.lit(int(newest.timestamp()) - self.retention * secs))
+            merged = merged.where(F.unix_seconds("hour") >= F.lit(newest - self.retention * secs))
         self.used.write(merged, batch_id)
+        self.used.prune(batch_id)
         acc.unpersist()
 
 
@@ -177,6 +194,8 @@ class BucketCloser:
         self.slots.write(new_slots, batch_id)
         self.shares.write(new_shares, batch_id)
         self.closed.write(counts, batch_id)
+        for t in (self.slots, self.shares, self.closed):
+            t.prune(batch_id)
 
 
 def closed_state(spark: SparkSession, state_root: str) -> tuple[DataFrame | None, DataFrame | None]:
@@ -229,6 +248,7 @@ class LiveStatus:
             return
         merged = merged.where(F.unix_seconds("hour") > F.lit(newest - self.keep * secs))
         self.live.write(merged, batch_id)
+        self.live.prune(batch_id)
         baselines, shares = closed_state(self.spark, self.state_root)
         if baselines is None:
             return
