@@ -57,7 +57,7 @@ class Ctx:
         # of the raw signals instead of two).
         self.counts = materialize(P.signal_counts(self.signals, None, bucket=self.bucket),
                                   f"counts-{kind}")
-        self.catalog = materialize(B.catalog_from(self.counts, kind), f"catalog-{kind}")
+        self.catalog = B.catalog_from(self.counts, kind)
         self.lo, self.hi = CN.bounds(self.counts)
 
     @property
