@@ -46,7 +46,8 @@ def _nullable(c: Column) -> Column:
 def _state_seed() -> Column:
     return F.struct(_nullable(F.lit(0.0)).alias("mean"),
                     _nullable(F.lit(0.0)).alias("std"),
-                    _nullable(F.lit(0).cast("long")).alias("n"))
+                    _nullable(F.lit(0).cast("long")).alias("n"),
+                    _nullable(F.lit(0)).alias("p"))
 
 
 def _round9(c: Column) -> Column:
@@ -59,15 +60,16 @@ def slot_frame(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
     """One row per catalog entity and slot with the slot's sparse observations.
 
     Columns: entity_id, dow, hod, i0 (first bucket index of the slot in the
-    range), n_weeks, obs (map week -> n).
+    range), n_weeks, obs (array of (k = week, n) sorted by week; at most one
+    entry per week, so bounded by the number of weeks in the range).
     """
     _, period = BUCKETS[bucket]
     idx = bucket_index("hour", lo, bucket)
     obs = (counts.where((F.col("hour") >= lo) & (F.col("hour") <= hi))
                  .groupBy("entity_id", "dow", "hod")
-                 .agg(F.map_from_entries(
-                      F.collect_list(F.struct(F.floor(idx / F.lit(period)).cast("long"),
-                                              F.col("n").cast("long")))).alias("obs")))
+                 .agg(F.array_sort(F.collect_list(F.struct(
+                      F.floor(idx / F.lit(period)).cast("long").alias("k"),
+                      F.col("n").cast("long").alias("n")))).alias("obs")))
     s = F.col("_s")
     slots = catalog.select("entity_id", F.explode(F.sequence(F.lit(0), F.lit(period - 1))).alias("_s"))
     if bucket == "hour":
@@ -84,13 +86,20 @@ def slot_frame(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
                  .withColumn("n_weeks", n_weeks.cast("long")))
 
 
-def _x_at(w: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.col("obs"), w), F.lit(0).cast("long"))
+def _walk(obs: Column, p: Column, key: Column) -> tuple[Column, Column]:
+    """Merge-walk a sorted sparse array of (k, n): the value at ``key`` (0 when
+    absent) and the advanced pointer.  O(1) per step (array indexing), where a
+    map lookup would scan the map."""
+    cur = F.try_element_at(obs, p + F.lit(1))
+    hit = F.coalesce(cur["k"] == key, F.lit(False))
+    return (F.when(hit, cur["n"]).otherwise(F.lit(0).cast("long")),
+            (p + F.when(hit, F.lit(1)).otherwise(F.lit(0))).cast("int"))
 
 
-def _fold_state(acc: Column, x: Column) -> Column:
+def _fold_state(acc: Column, w: Column) -> Column:
+    x, p = _walk(F.col("obs"), acc["p"], w)
     m, s, n = ewma_step(acc["mean"], acc["std"], acc["n"], x)
-    return F.struct(m.alias("mean"), s.alias("std"), n.alias("n"))
+    return F.struct(m.alias("mean"), s.alias("std"), n.alias("n"), p.alias("p"))
 
 
 def slot_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
@@ -109,7 +118,8 @@ def slot_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column
     if seed is not None:
         sd = seed.select(*keys, F.struct(F.col("mean").cast("double").alias("mean"),
                                           F.col("std").cast("double").alias("std"),
-                                          F.col("n").cast("long").alias("n")).alias("_seed"),
+                                          F.col("n").cast("long").alias("n"),
+                                          _nullable(F.lit(0)).alias("p")).alias("_seed"),
                          F.col("last_hour").alias("_seed_last"))
         sf = sf.join(sd, keys, "full_outer").fillna({"n_weeks": 0})
         init = F.coalesce(F.col("_seed"), init)
@@ -117,7 +127,7 @@ def slot_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column
                   if seed is not None else F.col("n_weeks") > F.lit(0))
     weeks = F.sequence(F.lit(0).cast("long"), F.col("n_weeks") - F.lit(1))
     state = F.when(F.col("n_weeks") > F.lit(0),
-                   F.aggregate(weeks, init, lambda acc, w: _fold_state(acc, _x_at(w)))).otherwise(init)
+                   F.aggregate(weeks, init, _fold_state)).otherwise(init)
     last_i = F.col("i0") + (F.col("n_weeks") - F.lit(1)) * F.lit(period)
     last = add_buckets(lo, last_i, bucket)
     if seed is not None:
@@ -232,22 +242,24 @@ def share_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Colum
     active = active_buckets(totals, lo, hi, bucket)
     idx = bucket_index("hour", lo, bucket)
     obs = (rng.groupBy("entity_id")
-              .agg(F.map_from_entries(F.collect_list(F.struct(idx, F.col("n").cast("long"))))
+              .agg(F.array_sort(F.collect_list(F.struct(idx.alias("k"), F.col("n").cast("long").alias("n"))))
                     .alias("obs")))
     init = F.struct(_nullable(F.lit(0.0)).alias("share"),
-                    _nullable(F.lit(0).cast("long")).alias("total"))
+                    _nullable(F.lit(0).cast("long")).alias("total"),
+                    _nullable(F.lit(0)).alias("p"))
     base = catalog.select("entity_id").join(obs, "entity_id", "left")
     if seed is not None:
         sd = seed.select("entity_id", F.struct(F.col("expected_share").cast("double").alias("share"),
-                                               F.col("total").cast("long").alias("total")).alias("_seed"))
+                                               F.col("total").cast("long").alias("total"),
+                                               _nullable(F.lit(0)).alias("p")).alias("_seed"))
         base = base.join(sd, "entity_id", "left")
         init = F.coalesce(F.col("_seed"), init)
 
     def step(acc, e):
-        n = F.coalesce(F.try_element_at(F.col("obs"), e["i"]), F.lit(0).cast("long"))
+        n, p = _walk(F.col("obs"), acc["p"], e["i"])
         x = n.cast("double") / e["t"].cast("double")
         s, t = share_step(acc["share"], acc["total"], x, n)
-        return F.struct(s.alias("share"), t.alias("total"))
+        return F.struct(s.alias("share"), t.alias("total"), p.alias("p"))
 
     st = F.aggregate(F.col("_active"), init, step)
     return (base.withColumn("_active", active)
@@ -276,15 +288,20 @@ _REPLAY_SCHEMA = T.StructType([
 
 
 def _replay_entity(pdf: pd.DataFrame, period: int, daily: bool) -> pd.DataFrame:
-    """Replay one entity's dense bucket series: slot EWMA and share EWMA state
-    before and after every bucket.  Same operation order as the JVM fold and
-    the reference, so values are bit-identical."""
-    pdf = pdf.sort_values("hour", kind="mergesort").reset_index(drop=True)
-    h = len(pdf)
-    x = pdf["x"].to_numpy(dtype=np.int64)
-    tot = pdf["total"].to_numpy(dtype=np.int64)
-    slot = pdf["dow"].to_numpy(dtype=np.int64) if daily else \
-        pdf["dow"].to_numpy(dtype=np.int64) * 24 + pdf["hod"].to_numpy(dtype=np.int64)
+    """Replay one entity's bucket series: slot EWMA and share EWMA state before
+    and after every bucket.  Input rows are the entity's bucket keys (with the
+    bucket total) plus its sparse counts; they are merged here.  Same operation
+    order as the JVM fold and the reference, so values are bit-identical."""
+    keys = pdf[pdf["is_key"]].sort_values("hour", kind="mergesort").reset_index(drop=True)
+    h = len(keys)
+    if h == 0:
+        return pd.DataFrame({f.name: pd.Series(dtype=object) for f in _REPLAY_SCHEMA.fields})
+    sparse = pdf[~pdf["is_key"]].groupby("hour")["x"].sum()
+    x = keys["hour"].map(sparse).fillna(0).to_numpy(dtype=np.int64)
+    tot = keys["total"].fillna(0).to_numpy(dtype=np.int64)
+    dow_a = keys["dow"].to_numpy(dtype=np.int64)
+    hod_a = keys["hod"].to_numpy(dtype=np.int64)
+    slot = dow_a if daily else dow_a * 24 + hod_a
     off = int(slot[0])
     weeks = (off + h + period - 1) // period
     xs = np.zeros(weeks * period)
@@ -324,8 +341,8 @@ def _replay_entity(pdf: pd.DataFrame, period: int, daily: bool) -> pd.DataFrame:
         sh_after[i], tt_after[i] = share, total
 
     return pd.DataFrame({
-        "entity_id": pdf["entity_id"].to_numpy(), "hour": pdf["hour"].to_numpy(),
-        "dow": pdf["dow"].to_numpy(dtype=np.int32), "hod": pdf["hod"].to_numpy(dtype=np.int32),
+        "entity_id": keys["entity_id"].to_numpy(), "hour": keys["hour"].to_numpy(),
+        "dow": dow_a.astype(np.int32), "hod": hod_a.astype(np.int32),
         "x": x, "total": tot,
         "prev_mean": np.where(seen, pm.reshape(-1)[cut], np.nan),
         "prev_std": np.where(seen, ps.reshape(-1)[cut], np.nan),
@@ -335,41 +352,49 @@ def _replay_entity(pdf: pd.DataFrame, period: int, daily: bool) -> pd.DataFrame:
     })
 
 
-def replay(spine: DataFrame, bucket: str = "hour") -> DataFrame:
+def replay(series: DataFrame, bucket: str = "hour") -> DataFrame:
     """C3 + C5b: slot and share state before and after every bucket of every
     entity, in one pass per entity.
 
-    ``spine`` is the dense series (entity_id, hour, dow, hod, x, total) — every
-    entity has one row per bucket, so groups are equal-sized (bounded by the
-    number of buckets, independent of signal volume; no hot entity skew).
-    Within an entity the slot recurrence runs week by week, vectorised over the
-    entity's slots; the share recurrence is a scalar loop.  O(buckets) per
-    entity, where an array-append fold would be quadratic in weeks per slot.
+    ``series`` comes from ``dense_with_totals``: one key row per entity and
+    bucket (with the bucket total) plus the sparse count rows.  Every entity
+    has one key row per bucket, so groups are equal-sized — bounded by the
+    number of buckets, independent of signal volume (a hot entity has larger
+    numbers, not more rows).  Within an entity the slot recurrence runs week by
+    week, vectorised over the entity's slots; the share recurrence is a scalar
+    loop: O(buckets) per entity.  The output stays hash-partitioned by entity,
+    so the tier windows downstream need no further exchange.
     """
     _, period = BUCKETS[bucket]
     daily = bucket == "day"
-    cols = spine.select("entity_id", "hour", F.col("dow").cast("int"), F.col("hod").cast("int"),
-                        F.col("x").cast("long"), F.col("total").cast("long"))
-    return cols.groupBy("entity_id").applyInPandas(
+    return series.groupBy("entity_id").applyInPandas(
         lambda pdf: _replay_entity(pdf, period, daily), _REPLAY_SCHEMA)
 
 
 def dense_with_totals(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
                       bucket: str = "hour") -> DataFrame:
-    """Dense spine (entity_id, hour, dow, hod, x, total) over [lo, hi]."""
-    from outcry.operators.counts import dense_spine, hourly_totals
+    """The bucket series of every catalog entity over [lo, hi] in sparse form:
+    generated key rows (entity_id, hour, dow, hod, total, is_key = true) plus the
+    sparse count rows (x, is_key = false).  The bucket totals (one row per
+    bucket) are attached with a join whose strategy Spark picks by size; the
+    counts are merged into the keys inside ``replay``'s per-entity group, so the
+    dense rows are shuffled once."""
+    from outcry.operators.counts import hourly_totals, spine_keys
     rng = counts.where((F.col("hour") >= lo) & (F.col("hour") <= hi))
-    sp = dense_spine(rng, catalog, lo, hi, bucket).withColumnRenamed("n", "x")
     tot = hourly_totals(rng)
-    return (sp.join(tot, "hour", "left")
-              .withColumn("total", F.coalesce("total", F.lit(0).cast("long"))))
+    keys = (spine_keys(catalog, lo, hi, bucket).join(tot, "hour", "left")
+            .select("entity_id", "hour", "dow", "hod", F.lit(None).cast("long").alias("x"),
+                    F.coalesce("total", F.lit(0).cast("long")).alias("total"), F.lit(True).alias("is_key")))
+    sparse = rng.select("entity_id", "hour", F.lit(None).cast("int").alias("dow"),
+                        F.lit(None).cast("int").alias("hod"), F.col("n").cast("long").alias("x"),
+                        F.lit(None).cast("long").alias("total"), F.lit(False).alias("is_key"))
+    return keys.unionByName(sparse)
 
 
-def share_history(spine: DataFrame, bucket: str = "hour") -> DataFrame:
+def share_history(series: DataFrame, bucket: str = "hour") -> DataFrame:
     """Share state before and after every bucket (from the replay)."""
-    sp = spine.withColumnRenamed("n", "x") if "x" not in spine.columns else spine
-    return replay(sp, bucket).select("entity_id", "hour", "prev_share", "prev_total", "share",
-                                     "lifetime_total")
+    return replay(series, bucket).select("entity_id", "hour", "prev_share", "prev_total", "share",
+                                         "lifetime_total")
 
 
 def lifetime_totals(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column) -> DataFrame:

@@ -71,34 +71,29 @@ def bounds(counts: DataFrame) -> tuple[Column, Column]:
             F.timestamp_seconds(F.lit(row["hi"]).cast("long")))
 
 
-def entity_obs(counts: DataFrame, lo: Column, bucket: str = "hour") -> DataFrame:
-    """Sparse counts of each entity as one map: bucket index -> n."""
-    idx = bucket_index("hour", lo, bucket)
-    return (counts.groupBy("entity_id")
-                  .agg(F.map_from_entries(F.collect_list(F.struct(idx, F.col("n").cast("long"))))
-                        .alias("obs")))
+def spine_keys(catalog: DataFrame, lo: Column, hi: Column, bucket: str = "hour") -> DataFrame:
+    """(entity_id, hour, dow, hod) for every catalog entity and bucket in
+    [lo, hi], generated in place (no cross join).  The catalog is first spread
+    over ``spark.sql.shuffle.partitions`` partitions (an explicit count, which
+    AQE keeps), so the generation is parallel however small the catalog."""
+    parts = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nb = bucket_index(hi, lo, bucket) + F.lit(1)
+    cat = (catalog.select("entity_id").repartition(parts, "entity_id")
+                  .select("entity_id", nb.alias("_nb"), lo.alias("_lo")))
+    keys = cat.where(F.col("_nb") > F.lit(0)).select(
+        "entity_id", "_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - F.lit(1))).alias("_i"))
+    hour = add_buckets(F.col("_lo"), F.col("_i"), bucket)
+    return keys.select("entity_id", hour.alias("hour"), dow(hour).alias("dow"), hod(hour, bucket).alias("hod"))
 
 
 def dense_spine(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
                 bucket: str = "hour") -> DataFrame:
     """One row per catalog entity and bucket in [lo, hi]; n = 0 when silent.
-    """
-    start = lo
-    nb = bucket_index(hi, start, bucket) + F.lit(1)
-    obs = entity_obs(counts.where((F.col("hour") >= lo) & (F.col("hour") <= hi)), lo, bucket)
-    off = bucket_index(start, lo, bucket)
-    base = (catalog.select("entity_id", start.alias("_start"), nb.alias("_nb"), off.alias("_off"))
-                   .join(obs, "entity_id", "left"))
-    rows = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("_nb") - F.lit(1)),
-        lambda i: F.struct(
-            add_buckets(F.col("_start"), i, bucket).alias("hour"),
-            F.coalesce(F.try_element_at(F.col("obs"), i + F.col("_off")), F.lit(0).cast("long"))
-             .alias("n")))
-    return (base.where(F.col("_nb") > F.lit(0))
-                .select("entity_id", F.inline(rows))
-                .withColumn("dow", dow("hour"))
-                .withColumn("hod", hod("hour", bucket)))
+    Generated keys left-joined to the sparse counts on (entity, bucket)."""
+    rng = (counts.where((F.col("hour") >= lo) & (F.col("hour") <= hi))
+                 .select("entity_id", "hour", F.col("n").cast("long").alias("_n")))
+    return (spine_keys(catalog, lo, hi, bucket).join(rng, ["entity_id", "hour"], "left")
+            .select("entity_id", "hour", F.coalesce("_n", F.lit(0).cast("long")).alias("n"), "dow", "hod"))
 
 
 def trend(counts: DataFrame, catalog: DataFrame, now: Column, hours: int = K.TREND_BUCKETS,
