@@ -188,33 +188,9 @@ def tiers(baselines: DataFrame, dow_col: Column, hod_col: Column) -> DataFrame:
 
 
 def tier_history(history: DataFrame) -> DataFrame:
-    """Tiers as of each bucket (state from earlier buckets only).
-
-    Each bucket updates exactly one slot of the entity, so running sums of the
-    per-update deltas over (entity, hod) and (entity), framed up to the previous
-    row, equal the averages over current slot states.  Decimal deltas telescope
-    exactly.
-    """
-    first = F.col("prev_n") == F.lit(0)
-    d_mean = _dec("mean") - F.when(first, F.lit(0)).otherwise(F.col("prev_mean")).cast(_DEC)
-    d_std = _dec("std") - F.when(first, F.lit(0)).otherwise(F.col("prev_std")).cast(_DEC)
-    h = history.select("*", d_mean.alias("_dm"), d_std.alias("_ds"), first.cast("long").alias("_new"))
-    before = Window.unboundedPreceding, -1
-    w_ent = Window.partitionBy("entity_id").orderBy("hour").rowsBetween(*before)
-    w_hod = Window.partitionBy("entity_id", "hod").orderBy("hour").rowsBetween(*before)
-
-    def tier(w, p):
-        cnt = F.coalesce(F.sum("_new").over(w), F.lit(0))
-        n = F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)).cast("long")
-        ok = n > F.lit(0)
-        return [F.when(ok, _avg_exact(F.sum("_dm").over(w), cnt)).alias(f"{p}_mean"),
-                F.when(ok, _avg_exact(F.sum("_ds").over(w), cnt)).alias(f"{p}_std"),
-                F.when(ok, n).alias(f"{p}_n")]
-
-    out = h.select(*history.columns, *tier(w_ent, "agg"), *tier(w_hod, "hour"),
-                   F.col("prev_mean").alias("slot_mean"), F.col("prev_std").alias("slot_std"),
-                   F.when(F.col("prev_n") > 0, F.col("prev_n")).alias("slot_n"))
-    return out
+    """Tiers as of each bucket (state from earlier buckets only) — the
+    tier columns of ``replay`` (slot_*, hour_*, agg_*)."""
+    return history
 
 
 # ------------------------------------------------------------------ shares
@@ -284,6 +260,15 @@ _REPLAY_SCHEMA = T.StructType([
     T.StructField("prev_total", T.LongType()),
     T.StructField("share", T.DoubleType()),
     T.StructField("lifetime_total", T.LongType()),
+    T.StructField("slot_mean", T.DoubleType()),
+    T.StructField("slot_std", T.DoubleType()),
+    T.StructField("slot_n", T.LongType()),
+    T.StructField("hour_mean", T.DoubleType()),
+    T.StructField("hour_std", T.DoubleType()),
+    T.StructField("hour_n", T.LongType()),
+    T.StructField("agg_mean", T.DoubleType()),
+    T.StructField("agg_std", T.DoubleType()),
+    T.StructField("agg_n", T.LongType()),
 ])
 
 
@@ -328,6 +313,31 @@ def _replay_entity(pdf: pd.DataFrame, period: int, daily: bool) -> pd.DataFrame:
     prev_n = pn.reshape(-1)[cut]
     seen = prev_n > 0
 
+    # As-of tiers (C3b): before bucket (w, s) the current state of slot s' is
+    # this week's for s' < s and last week's otherwise.  Hour tier: slots with
+    # the same hour of day; aggregate tier: all slots; both over existing slots.
+    same_hod = np.ones((period, period), dtype=bool) if daily else \
+        (np.arange(period)[:, None] % 24) == (np.arange(period)[None, :] % 24)
+    lower = np.arange(period)[None, :] < np.arange(period)[:, None]
+    tiers_out = {k: np.empty((weeks, period)) for k in ("hm", "hs", "am", "as")}
+    tiers_n = {k: np.empty((weeks, period), dtype=np.int64) for k in ("hn", "an")}
+    zero_f, zero_i = np.zeros(period), np.zeros(period, dtype=np.int64)
+    for w in range(weeks):
+        lm, ls, ln = (am[w - 1], as_[w - 1], an[w - 1]) if w else (zero_f, zero_f, zero_i)
+        cm = np.where(lower, am[w][None, :], lm[None, :])
+        cs = np.where(lower, as_[w][None, :], ls[None, :])
+        cn = np.where(lower, an[w][None, :], ln[None, :])
+        ex = cn > 0
+        for pre, mask in (("h", ex & same_hod), ("a", ex)):
+            cnt = mask.sum(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                tiers_out[pre + "m"][w] = _np_round9((cm * mask).sum(axis=1) / cnt)
+                tiers_out[pre + "s"][w] = _np_round9((cs * mask).sum(axis=1) / cnt)
+            tiers_n[pre + "n"][w] = (cn * mask).sum(axis=1)
+    hour_n = tiers_n["hn"].reshape(-1)[cut]
+    agg_n = tiers_n["an"].reshape(-1)[cut]
+    hok, aok = hour_n > 0, agg_n > 0
+
     a = K.SHARE_ALPHA
     share, total = 0.0, 0
     sh_prev, tt_prev, sh_after, tt_after = (np.empty(h), np.empty(h, dtype=np.int64),
@@ -349,12 +359,33 @@ def _replay_entity(pdf: pd.DataFrame, period: int, daily: bool) -> pd.DataFrame:
         "prev_n": prev_n,
         "mean": am.reshape(-1)[cut], "std": as_.reshape(-1)[cut], "n": an.reshape(-1)[cut],
         "prev_share": sh_prev, "prev_total": tt_prev, "share": sh_after, "lifetime_total": tt_after,
+        "slot_mean": np.where(seen, pm.reshape(-1)[cut], np.nan),
+        "slot_std": np.where(seen, ps.reshape(-1)[cut], np.nan),
+        "slot_n": _nullable_int(prev_n, seen),
+        "hour_mean": np.where(hok, tiers_out["hm"].reshape(-1)[cut], np.nan),
+        "hour_std": np.where(hok, tiers_out["hs"].reshape(-1)[cut], np.nan),
+        "hour_n": _nullable_int(hour_n, hok),
+        "agg_mean": np.where(aok, tiers_out["am"].reshape(-1)[cut], np.nan),
+        "agg_std": np.where(aok, tiers_out["as"].reshape(-1)[cut], np.nan),
+        "agg_n": _nullable_int(agg_n, aok),
     })
 
 
+def _nullable_int(values, mask) -> pd.Series:
+    out = pd.Series(values, dtype="Int64")
+    out[~mask] = pd.NA
+    return out
+
+
+def _np_round9(x):
+    """R1 half-up rounding to the tier decimals, numpy version."""
+    scale = float(10 ** K.TIER_DECIMALS)
+    return np.floor(x * scale + 0.5) / scale
+
+
 def replay(series: DataFrame, bucket: str = "hour") -> DataFrame:
-    """C3 + C5b: slot and share state before and after every bucket of every
-    entity, in one pass per entity.
+    """C3 + C3b + C5b: slot state, as-of tiers and share state before and after
+    every bucket of every entity, in one pass per entity.
 
     ``series`` comes from ``dense_with_totals``: one key row per entity and
     bucket (with the bucket total) plus the sparse count rows.  Every entity
@@ -362,8 +393,9 @@ def replay(series: DataFrame, bucket: str = "hour") -> DataFrame:
     number of buckets, independent of signal volume (a hot entity has larger
     numbers, not more rows).  Within an entity the slot recurrence runs week by
     week, vectorised over the entity's slots; the share recurrence is a scalar
-    loop: O(buckets) per entity.  The output stays hash-partitioned by entity,
-    so the tier windows downstream need no further exchange.
+    loop: O(buckets) per entity.  Computing the as-of tiers here too (one
+    168 x 168 masked sum per week) saves a second shuffle and two sorts of the
+    dense rows, which window functions over the replay output would need.
     """
     _, period = BUCKETS[bucket]
     daily = bucket == "day"

@@ -74,11 +74,12 @@ def bounds(counts: DataFrame) -> tuple[Column, Column]:
 def spine_keys(catalog: DataFrame, lo: Column, hi: Column, bucket: str = "hour") -> DataFrame:
     """(entity_id, hour, dow, hod) for every catalog entity and bucket in
     [lo, hi], generated in place (no cross join).  The catalog is first spread
-    over ``spark.sql.shuffle.partitions`` partitions (an explicit count, which
-    AQE keeps), so the generation is parallel however small the catalog."""
+    round-robin over ``spark.sql.shuffle.partitions`` partitions (an explicit
+    count, which AQE keeps and the optimizer cannot fold into an upstream
+    exchange), so the generation is parallel however small the catalog."""
     parts = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nb = bucket_index(hi, lo, bucket) + F.lit(1)
-    cat = (catalog.select("entity_id").repartition(parts, "entity_id")
+    cat = (catalog.select("entity_id").repartition(parts)
                   .select("entity_id", nb.alias("_nb"), lo.alias("_lo")))
     keys = cat.where(F.col("_nb") > F.lit(0)).select(
         "entity_id", "_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - F.lit(1))).alias("_i"))
