@@ -161,8 +161,13 @@ def tiers(baselines: DataFrame, dow_col: Column, hod_col: Column) -> DataFrame:
     """
     is_slot = (F.col("dow") == dow_col) & (F.col("hod") == hod_col)
     is_hour = F.col("hod") == hod_col
+    # At most one slot row matches per entity, so a max per field picks it;
+    # plain numeric aggregates keep this a HashAggregate (a struct max would
+    # force a sort-based aggregate).
     g = baselines.groupBy("entity_id").agg(
-        F.max(F.when(is_slot, F.struct("n", "mean", "std"))).alias("_slot"),
+        F.max(F.when(is_slot, F.col("n"))).alias("_slot_n"),
+        F.max(F.when(is_slot, F.col("mean"))).alias("_slot_mean"),
+        F.max(F.when(is_slot, F.col("std"))).alias("_slot_std"),
         F.sum(F.when(is_hour, _dec("mean"))).alias("_hm"),
         F.sum(F.when(is_hour, _dec("std"))).alias("_hs"),
         F.count(F.when(is_hour, F.lit(1))).alias("_hc"),
@@ -176,8 +181,8 @@ def tiers(baselines: DataFrame, dow_col: Column, hod_col: Column) -> DataFrame:
     agg_ok = F.coalesce(F.col("_an"), F.lit(0)) > F.lit(0)
     return g.select(
         "entity_id",
-        F.col("_slot.mean").alias("slot_mean"), F.col("_slot.std").alias("slot_std"),
-        F.col("_slot.n").cast("long").alias("slot_n"),
+        F.col("_slot_mean").alias("slot_mean"), F.col("_slot_std").alias("slot_std"),
+        F.col("_slot_n").cast("long").alias("slot_n"),
         F.when(hour_ok, _avg_exact(F.col("_hm"), F.col("_hc"))).alias("hour_mean"),
         F.when(hour_ok, _avg_exact(F.col("_hs"), F.col("_hc"))).alias("hour_std"),
         F.when(hour_ok, F.col("_hn")).cast("long").alias("hour_n"),
