@@ -55,32 +55,66 @@ def rate_cap(signals: DataFrame, k: int = K.RATE_CAP, bucket: str = "hour") -> D
             .drop("_rl_rank"))
 
 
+def _tag_known(signals: DataFrame, catalog: DataFrame) -> DataFrame:
+    known = catalog.select("entity_id", F.lit(True).alias("_known"))
+    missing = F.col("entity_id").isNull() | (F.col("entity_id") == F.lit(""))
+    return (signals.join(known, on="entity_id", how="left")
+                   .withColumn("_missing", missing)
+                   .withColumn("_ok", F.col("_known").isNotNull() & ~missing)
+                   .drop("_known"))
+
+
 def admission(signals: DataFrame, catalog: DataFrame, k: int = K.RATE_CAP,
               bucket: str = "hour") -> DataFrame:
     """Tag every attempt with its reason:
     missing_entity / unknown_entity / rate_limited / accepted.
 
-    Only attempts on known entities take part in the rate-cap ranking.
+    Only attempts on known entities count toward the cap.  No full per-row
+    ranking: the k earliest attempts of each (actor, bucket) come from a
+    top-k (partial ``WindowGroupLimit`` before the shuffle), their latest
+    (ts, id) is the group's cut-off, and every attempt is compared with the
+    cut-off of its group (a join on (actor, bucket) with one row per key on the
+    small side — broadcast when small, otherwise sort-merge with AQE skew
+    splitting of a hot key).
     """
-    known = catalog.select("entity_id", F.lit(True).alias("_known"))
-    tagged = signals.join(known, on="entity_id", how="left")
-    missing = F.col("entity_id").isNull() | (F.col("entity_id") == F.lit(""))
-    ok = F.col("_known").isNotNull() & ~missing
-    w = Window.partitionBy("actor_key", "_rl_bucket", "_ok").orderBy("ts", "signal_id")
-    ranked = (tagged.withColumn("_ok", ok)
-                    .withColumn("_rl_bucket", bucket_start("ts", bucket))
-                    .withColumn("_rl_rank", F.row_number().over(w)))
-    reason = (F.when(missing, F.lit("missing_entity"))
-               .when(~ok, F.lit("unknown_entity"))
-               .when(F.col("_rl_rank") > F.lit(k), F.lit("rate_limited"))
-               .otherwise(F.lit("accepted")))
-    return ranked.withColumn("reason", reason).drop("_known", "_ok", "_rl_rank", "_rl_bucket")
-
-
-def admission_report(admitted: DataFrame, bucket: str = "hour") -> DataFrame:
-    """Attempts per (reason, bucket)."""
-    return (admitted.groupBy("reason", bucket_start("ts", bucket).alias("hour"))
-                    .agg(F.count(F.lit(1)).alias("n")))
+    tagged = _tag_known(_with_hour(signals, bucket), catalog)
+    ok = tagged.where(F.col("_ok"))
+    w = Window.partitionBy("actor_key", "hour").orderBy("ts", "signal_id")
+    cut = (ok.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.lit(k))
+             .groupBy("actor_key", "hour")
+             .agg(F.max(F.struct("ts", "signal_id")).alias("_cut")))
+    j = tagged.join(cut, ["actor_key", "hour"], "left")
+    within = (F.col("ts") < F.col("_cut.ts")) | (
+        (F.col("ts") == F.col("_cut.ts")) & (F.col("signal_id") <= F.col("_cut.signal_id")))
+    reason = (F.when(F.col("_missing"), F.lit("missing_entity"))
+               .when(~F.col("_ok"), F.lit("unknown_entity"))
+               .when(within, F.lit("accepted"))
+               .otherwise(F.lit("rate_limited")))
+    return j.withColumn("reason", reason).drop("_missing", "_ok", "_cut")
+
+
+def admission_report(signals: DataFrame, catalog: DataFrame, k: int = K.RATE_CAP,
+                     bucket: str = "hour") -> DataFrame:
+    """Attempts per (reason, bucket), by aggregation only: per
+    (actor, bucket) the first min(c, k) known attempts are accepted and the
+    rest rate limited, so no attempt needs a rank.  Every step is a partial
+    (map-side) aggregate, whatever the skew."""
+    tagged = _tag_known(_with_hour(signals, bucket), catalog)
+    rejects = (tagged.where(~F.col("_ok"))
+                     .groupBy(F.when(F.col("_missing"), F.lit("missing_entity"))
+                               .otherwise(F.lit("unknown_entity")).alias("reason"), "hour")
+                     .agg(F.count(F.lit(1)).alias("n")))
+    per_actor = (tagged.where(F.col("_ok")).groupBy("actor_key", "hour")
+                       .agg(F.count(F.lit(1)).alias("_c")))
+    acc = F.least(F.col("_c"), F.lit(k))
+    split = (per_actor.groupBy("hour")
+                      .agg(F.sum(acc).alias("accepted"), F.sum(F.col("_c") - acc).alias("rate_limited")))
+    kept = split.select("hour", F.explode(F.array(
+        F.struct(F.lit("accepted").alias("reason"), F.col("accepted").alias("n")),
+        F.struct(F.lit("rate_limited").alias("reason"), F.col("rate_limited").alias("n")))).alias("_r"))
+    kept = kept.select(F.col("_r.reason").alias("reason"), "hour", F.col("_r.n").cast("long").alias("n")) \
+               .where(F.col("n") > F.lit(0))
+    return rejects.select("reason", "hour", F.col("n").cast("long")).unionByName(kept)
 
 
 def accepted(signals: DataFrame, catalog: DataFrame, k: int = K.RATE_CAP,

@@ -410,6 +410,14 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT CASE WHEN missing THEN 'missing_entity' WHEN NOT ok THEN 'unknown_entity' "
         f"WHEN rk > {cap_h} THEN 'rate_limited' ELSE 'accepted' END AS reason, {iso('hour')} AS hour, "
         "count(*) AS n FROM r GROUP BY ALL")
+    o["a8_admission_tags"] = (
+        f"WITH sig AS ({sig}), {_partial_cat()}, "
+        "t AS (SELECT s.*, date_trunc('hour', s.ts) AS hour, (s.entity_id IS NULL OR s.entity_id = '') AS missing, "
+        "(s.entity_id IN (SELECT entity_id FROM pcat)) AS known FROM sig s), "
+        "r AS (SELECT *, coalesce(known, false) AND NOT missing AS ok, row_number() OVER (PARTITION BY actor_key, hour, "
+        "(coalesce(known, false) AND NOT missing) ORDER BY ts, signal_id) AS rk FROM t) "
+        f"SELECT signal_id, CASE WHEN missing THEN 'missing_entity' WHEN NOT ok THEN 'unknown_entity' "
+        f"WHEN rk > {cap_h} THEN 'rate_limited' ELSE 'accepted' END AS reason FROM r")
     o["a9_dedup"] = _ev_with(f"\nSELECT signal_id, actor_key, entity_id, {iso('hour')} AS hour, "
                              "CAST(dayofweek(hour) AS INTEGER) AS dow, CAST(hour(hour) AS INTEGER) AS hod, "
                              "strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM dd")

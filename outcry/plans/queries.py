@@ -120,9 +120,16 @@ def a7_rate_cap_day(spark, sf):
 
 
 def a8_admission_report(spark, sf):
+    sig = B.ev_signals(spark, sf)
+    rep = A.admission_report(sig, B.ev_partial_catalog(spark, sf), k=CAP_HOUR)
+    return rep.select("reason", _iso("hour").alias("hour"), "n")
+
+
+def a8_admission_tags(spark, sf):
+    """Per-attempt reasons (row-level A8)."""
     sig = B.ev_signals(spark, sf)
     adm = A.admission(sig, B.ev_partial_catalog(spark, sf), k=CAP_HOUR)
-    return A.admission_report(adm).select("reason", _iso("hour").alias("hour"), "n")
+    return adm.select("signal_id", "reason")
 
 
 def a9_dedup(spark, sf):
@@ -498,7 +505,7 @@ def g5_stream_status(spark, sf):
 
 NAMES = [
     "a3_parse_payload", "a4_actor_key", "a5_time_bucket", "a6_known_entities", "a6_unknown_rejects",
-    "a7_rate_cap_hour", "a7_rate_cap_day", "a8_admission_report", "a9_dedup", "a10_signal_sink",
+    "a7_rate_cap_hour", "a7_rate_cap_day", "a8_admission_report", "a8_admission_tags", "a9_dedup", "a10_signal_sink",
     "b1_hourly_counts", "b1_hourly_counts_evk", "b2_hourly_totals", "b3_count_at", "b4_peer_counts",
     "b5_shares", "b6_dense_spine", "b7_trend", "f5_scaled_trend", "f6_has_signal", "f7_local_label",
     "c2_slot_baselines", "c3_slot_history", "c3b_tier_history", "c4_apply_hour", "c5_share_baselines",
