@@ -123,8 +123,8 @@ def slot_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column
                          F.col("last_hour").alias("_seed_last"))
         sf = sf.join(sd, keys, "full_outer").fillna({"n_weeks": 0})
         init = F.coalesce(F.col("_seed"), init)
-    sf = sf.where((F.col("n_weeks") > F.lit(0)) | (F.lit(seed is not None) & F.col("_seed").isNotNull())
-                  if seed is not None else F.col("n_weeks") > F.lit(0))
+    active = F.col("n_weeks") > F.lit(0)
+    sf = sf.where(active | F.col("_seed").isNotNull() if seed is not None else active)
     weeks = F.sequence(F.lit(0).cast("long"), F.col("n_weeks") - F.lit(1))
     state = F.when(F.col("n_weeks") > F.lit(0),
                    F.aggregate(weeks, init, _fold_state)).otherwise(init)
