@@ -74,6 +74,18 @@ def score_columns(df: DataFrame, labels=DEFAULT_LABELS) -> DataFrame:
                         S.round_half_up("_exp", 3).alias("expected_share"))
 
 
+def with_catalog_defaults(catalog: DataFrame) -> DataFrame:
+    """A catalog may be just ``entity_id``: display name defaults to the id,
+    provider to null and sort order to null."""
+    defaults = {"display_name": F.col("entity_id"), "provider": F.lit(None).cast("string"),
+                "sort_order": F.lit(None).cast("int")}
+    out = catalog
+    for c, v in defaults.items():
+        if c not in catalog.columns:
+            out = out.withColumn(c, v)
+    return out
+
+
 STATUS_COLUMNS = ["entity_id", "display_name", "provider", "sort_order", "hour", "n_signals",
                   "total", "current_share", "expected_share", "tier", "confidence",
                   "baseline_mean", "z_score", "disproportionality", "score", "status"]
@@ -89,7 +101,7 @@ def status_snapshot(counts: DataFrame, catalog: DataFrame, as_of: Column, lo: Co
     sh = share_baselines(counts, catalog, lo, hi, bucket).select("entity_id", "expected_share")
     cur = counts.where(F.col("hour") == as_of).select("entity_id", F.col("n").cast("long").alias("n"))
     total = cur.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).scalar()
-    df = (catalog.join(cur, "entity_id", "left")
+    df = (with_catalog_defaults(catalog).join(cur, "entity_id", "left")
                  .join(t, "entity_id", "left")
                  .join(sh, "entity_id", "left")
                  .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from outcry import constants as K
 from outcry.functions.time import BUCKETS, bucket_start, dow, hod
 from outcry.operators.baselines import share_baselines, slot_baselines, tiers
-from outcry.plans.status import score_columns, STATUS_COLUMNS
+from outcry.plans.status import STATUS_COLUMNS, score_columns, with_catalog_defaults
 from outcry.functions.time import iso_hour
 
 DEFAULT_WATERMARK = "2 hours"
@@ -213,7 +213,7 @@ def status_from_state(catalog: DataFrame, baselines: DataFrame, shares: DataFram
     t = tiers(baselines, dow(as_of), hod(as_of, bucket))
     cur = current.where(F.col("hour") == as_of).select("entity_id", F.col("n").cast("long"))
     total = cur.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).scalar()
-    df = (catalog.join(cur, "entity_id", "left")
+    df = (with_catalog_defaults(catalog).join(cur, "entity_id", "left")
                  .join(t, "entity_id", "left")
                  .join(shares.select("entity_id", "expected_share"), "entity_id", "left")
                  .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
