@@ -34,6 +34,7 @@ from outcry import constants as K
 from outcry.functions.scoring import ewma_step, round_half_up, share_step
 from outcry.functions.time import (BUCKETS, add_buckets, bucket_index, dow, hod,
                                    slot_index)
+from outcry.sources.signals import upsert
 
 _DEC = T.DecimalType(38, 18)
 
@@ -468,6 +469,4 @@ def apply_bucket(state: DataFrame, counts: DataFrame, catalog: DataFrame, hour:
         F.when(done, F.col("std")).otherwise(s).alias("std"),
         F.when(done, F.col("n")).otherwise(n).alias("n"),
         F.when(done, F.col("last_hour")).otherwise(hour).alias("last_hour"))
-    keys = ["entity_id", "dow", "hod"]
-    kept = state.join(updated.select(*keys), keys, "left_anti")
-    return kept.unionByName(updated)
+    return upsert(state, updated, ["entity_id", "dow", "hod"])

@@ -8,9 +8,9 @@ Order: E2 -> E3 -> E5 -> E6 -> E7 -> E8.  A feed row is ``pos, id, name``.
   aggregate with map-side partial combine, so one key holding a third of the
   feed does not land whole in one task (a window would).
 * E7's per-provider running count uses the distributed ``ordered_rank``.
-* The provider map and alias rules are small fixed tables; the map is
-  broadcast explicitly (its size is bounded by construction), the alias rules
-  compile to one CASE expression (first match wins) — no join at all.
+* The provider map and alias rules are small configuration tables; the map is
+  broadcast after a size check (plain join beyond it), the alias rules compile
+  to one CASE expression (first match wins) — no join at all.
 """
 
 from __future__ import annotations
@@ -48,9 +48,19 @@ def parse_feed(feed: DataFrame) -> DataFrame:
                          .otherwise(F.col("name")).alias("display_name")))
 
 
-def map_provider(parsed: DataFrame, providers: DataFrame) -> DataFrame:
-    """Keep rows whose provider prefix is allowed; rename the provider."""
-    return parsed.join(F.broadcast(providers), "provider_key", "inner")
+MAX_BROADCAST_ROWS = 100_000
+
+
+def map_provider(parsed: DataFrame, providers: DataFrame,
+                 max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Keep rows whose provider prefix is allowed; rename the provider.
+
+    The allow-list is broadcast only after its size is checked (one count of
+    a configuration-sized table); a larger list falls back to a regular join
+    whose strategy Spark chooses."""
+    small = providers.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    right = F.broadcast(providers) if small else providers
+    return parsed.join(right, "provider_key", "inner")
 
 
 def with_norm_key(df: DataFrame, col: str = "slug", out: str = "norm") -> DataFrame:
