@@ -1,32 +1,33 @@
-"""Baselines: slot EWMA (C1/C2), its history (C3), tiers (C7/C8/C9), tier
-history (C3b), share EWMA (C5), share history (C5b), lifetime totals (C6) and
-the incremental one-bucket update (C4).
+"""Baselines: slot EWMA (C1/C2), history replay (C3, C3b, C5b), tiers
+(C7/C8/C9), share EWMA (C5), lifetime totals (C6) and the incremental
+one-bucket update (C4).
 
 Design
 * Every catalog entity gets an observation in every closed bucket (0 when
-  silent), exactly as the reference's hourly job does.  Instead of shuffling a
-  dense entity x bucket spine, the sparse counts of each slot
-  (entity, weekday, hour-of-day) are gathered into a map keyed by week index
-  and the fold walks ``sequence(0, n_weeks - 1)`` with 0 as the default.  A slot
-  holds at most one value per week (52 a year), whatever the signal volume, so
-  a hot entity only has larger numbers, not longer arrays.
-* The fold is Spark's ``aggregate`` higher-order function: JVM-side, inside
-  whole-stage code generation, no Python.  Operand order follows the reference
+  silent), exactly as the reference's hourly job does.  Final states (C2, C5)
+  never build that dense spine: the sparse counts of each slot
+  (entity, weekday, hour-of-day) — or of each entity, for shares — are gathered
+  into an array sorted by bucket, and Spark's ``aggregate`` higher-order
+  function walks the dense bucket sequence with a pointer into it (0 where the
+  pointer does not match).  JVM-side, no Python, O(buckets); a slot array holds
+  at most one value per week whatever the signal volume, so a hot entity only
+  has larger numbers, not longer arrays.  Operand order follows the reference,
   so results are bit-equal to a sequential evaluation.
-* The share EWMA walks the buckets whose total is positive; that list is one
-  scalar-subquery value bounded by the number of buckets in the range.  Its full
-  history (one state per bucket and entity) uses ``applyInPandas`` grouped by
-  entity: the sequential recurrence is O(buckets) there, while an array-append
-  fold would be quadratic in the number of buckets.
-* Tier averages (hour, aggregate) are computed from exact decimal sums, then
-  rounded to 9 decimals, so the direct (C7/C8) and as-of (C3b) paths agree.
+* Histories (state before every bucket, for the no-look-ahead replay) use one
+  ``applyInPandas`` pass per entity (``replay``): the slot recurrence runs week
+  by week vectorised over the entity's slots, the share recurrence is a scalar
+  loop, and the as-of hour/aggregate tiers are computed in the same pass.  An
+  array-append fold would be quadratic in the number of buckets.
+* Tier averages are rounded to 9 decimals (exact decimal sums in the direct
+  path, numpy sums in the replay), which absorbs summation-order differences
+  between engines before z-scores are banded.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
