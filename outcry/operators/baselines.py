@@ -406,8 +406,12 @@ def replay(series: DataFrame, bucket: str = "hour") -> DataFrame:
     """
     _, period = BUCKETS[bucket]
     daily = bucket == "day"
-    return series.groupBy("entity_id").applyInPandas(
-        lambda pdf: _replay_entity(pdf, period, daily), _REPLAY_SCHEMA)
+    # An explicit partition count: it satisfies the grouping (no extra
+    # exchange) and AQE does not coalesce it, so this CPU-bound Python stage
+    # keeps full parallelism even when the input is small.
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (series.repartition(parts, "entity_id").groupBy("entity_id")
+                  .applyInPandas(lambda pdf: _replay_entity(pdf, period, daily), _REPLAY_SCHEMA))
 
 
 def dense_with_totals(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
