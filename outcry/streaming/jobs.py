@@ -98,21 +98,28 @@ class VersionedTable:
            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("version").parquet(self.root))
 
-    def prune(self, current: int, keep: int = 2) -> None:
-        """Delete versions older than the ``keep`` newest up to ``current``
-        (a replay of the current batch only needs the version before it)."""
+    def prune(self, current: int) -> None:
+        """Delete versions that no replay can need: everything older than the
+        newest version below ``current`` (a replay of ``current`` reads exactly
+        that one).  Versions exist only for batches that wrote, so ids have gaps."""
         path, fs = self._fs()
         if not fs.exists(path):
             return
+        found = []
         for st in fs.listStatus(path):
             name = st.getPath().getName()
             if name.startswith("version="):
                 try:
-                    v = int(name.split("=", 1)[1])
+                    found.append((int(name.split("=", 1)[1]), st.getPath()))
                 except ValueError:
                     continue
-                if v <= current - keep:
-                    fs.delete(st.getPath(), True)
+        older = [v for v, _ in found if v < current]
+        if not older:
+            return
+        keep_from = max(older)
+        for v, p in found:
+            if v < keep_from:
+                fs.delete(p, True)
 
 
 # ------------------------------------------------------------------ G3
