@@ -142,7 +142,11 @@ class RateCapper:
         j = b.join(prior, ["actor_key", "hour"], "left").fillna({"used": 0})
         w = Window.partitionBy("actor_key", "hour").orderBy("ts", "signal_id")
         ranked = j.withColumn("_rn", F.row_number().over(w))
-        acc = ranked.where(F.col("_rn") + F.col("used") <= F.lit(self.k)).drop("_rn", "used")
+        # ``_rn <= k`` is implied (used >= 0) and lets Spark plan a partial
+        # WindowGroupLimit below the shuffle, so a hot (actor, bucket) ships at
+        # most k rows per map partition.
+        acc = (ranked.where(F.col("_rn") <= F.lit(self.k))
+                     .where(F.col("_rn") + F.col("used") <= F.lit(self.k)).drop("_rn", "used"))
         acc = acc.cache()
         (acc.withColumn("batch", F.lit(batch_id).cast("long"))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
