@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from outcry import constants as K
-from outcry.functions.time import BUCKETS, bucket_start, dow, hod
+from outcry.functions.time import BUCKETS, bucket_start, dow, hod, slot_index
 from outcry.operators.baselines import share_baselines, slot_baselines, tiers
 from outcry.plans.status import STATUS_COLUMNS, score_columns, with_catalog_defaults
 from outcry.functions.time import iso_hour
@@ -163,6 +163,55 @@ class RateCapper:
 
 
 # ------------------------------------------------------------------ G4
+class SlotStore:
+    """Slot baselines partitioned by ``slot`` (position in the weekly cycle)
+    and ``version`` (micro-batch id).  A closed bucket touches exactly one slot
+    per entity, so a batch reads and rewrites only the slot partitions of its
+    buckets (partition pruning + dynamic partition overwrite) instead of the
+    whole state; the current state of a slot is its newest version."""
+
+    def __init__(self, spark: SparkSession, root: str, bucket: str = "hour"):
+        self.spark, self.root, self.bucket = spark, root.rstrip("/"), bucket
+        self._versions = VersionedTable(spark, self.root)
+
+    def current(self, before: int | None = None, slots: list[int] | None = None) -> DataFrame | None:
+        if not self._versions.exists():
+            return None
+        df = self.spark.read.parquet(self.root)
+        if slots is not None:
+            df = df.where(F.col("slot").isin(slots))
+        if before is not None:
+            df = df.where(F.col("version") < F.lit(before))
+        newest = df.groupBy("slot").agg(F.max("version").alias("version"))  # <= one row per slot
+        return df.join(newest, ["slot", "version"], "left_semi").drop("slot", "version")
+
+    def write(self, df: DataFrame, version: int) -> None:
+        s = slot_index("dow", "hod", self.bucket)
+        (df.withColumn("slot", s.cast("int")).withColumn("version", F.lit(version).cast("long"))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("slot", "version").parquet(self.root))
+
+    def prune(self, current: int) -> None:
+        path, fs = self._versions._fs()
+        if not fs.exists(path):
+            return
+        for st in fs.listStatus(path):
+            if st.getPath().getName().startswith("slot="):
+                VersionedTable(self.spark, st.getPath().toString()).prune(current)
+
+
+def _touched_slots(lo_s: int, hi_s: int, bucket: str) -> list[int]:
+    """Slot positions of the buckets lo_s..hi_s (unix seconds), at most one cycle."""
+    import datetime as _dt
+    secs, period = BUCKETS[bucket]
+    out = set()
+    for k in range(min((hi_s - lo_s) // secs + 1, period)):
+        t = _dt.datetime.fromtimestamp(lo_s + k * secs, _dt.timezone.utc)
+        d = (t.weekday() + 1) % 7
+        out.add(d * 24 + t.hour if bucket == "hour" else d)
+    return sorted(out)
+
+
 class BucketCloser:
     """Fold each newly closed bucket onto the stored slot baselines and
     shares.  Input rows: closed (entity_id, hour, n) from G1.
@@ -170,13 +219,14 @@ class BucketCloser:
     The fold range is (last closed bucket, newest closed bucket in the batch]:
     buckets without any signal are replayed as zeros (the reference's hourly
     job skips missed hours; here they are caught up), and a bucket already
-    folded is never folded again (``last_hour`` guard), so re-runs are no-ops.
+    folded is never folded again, so re-runs are no-ops.  Only the slot
+    partitions of the range are read and rewritten.
     """
 
     def __init__(self, spark: SparkSession, catalog: DataFrame, state_root: str,
                  bucket: str = "hour"):
         self.catalog, self.bucket = catalog, bucket
-        self.slots = VersionedTable(spark, f"{state_root}/baselines")
+        self.slots = SlotStore(spark, f"{state_root}/baselines", bucket)
         self.shares = VersionedTable(spark, f"{state_root}/shares")
         self.closed = VersionedTable(spark, f"{state_root}/closed_counts")
 
@@ -186,15 +236,14 @@ class BucketCloser:
                         F.unix_seconds(F.max("hour")).alias("hi")).first()
         if rng is None or rng["hi"] is None:
             return
-        state = self.slots.latest(before=batch_id)
         shares = self.shares.latest(before=batch_id)
-        last = None
-        if state is not None:
-            last = state.agg(F.unix_seconds(F.max("last_hour"))).first()[0]
+        last = None if shares is None else shares.agg(F.unix_seconds(F.max("last_hour"))).first()[0]
         lo_s = rng["lo"] if last is None else last + secs
         hi_s = rng["hi"]
         if hi_s < lo_s:
             return
+        touched = _touched_slots(lo_s, hi_s, self.bucket)
+        state = self.slots.current(before=batch_id, slots=touched)
         lo = F.timestamp_seconds(F.lit(lo_s).cast("long"))
         hi = F.timestamp_seconds(F.lit(hi_s).cast("long"))
         counts = (batch.select("entity_id", "hour", F.col("n").cast("long"))
@@ -209,9 +258,10 @@ class BucketCloser:
             t.prune(batch_id)
 
 
-def closed_state(spark: SparkSession, state_root: str) -> tuple[DataFrame | None, DataFrame | None]:
-    """Latest (baselines, shares) written by a ``BucketCloser``."""
-    return (VersionedTable(spark, f"{state_root}/baselines").latest(),
+def closed_state(spark: SparkSession, state_root: str,
+                 bucket: str = "hour") -> tuple[DataFrame | None, DataFrame | None]:
+    """Current (baselines, shares) written by a ``BucketCloser``."""
+    return (SlotStore(spark, f"{state_root}/baselines", bucket).current(),
             VersionedTable(spark, f"{state_root}/shares").latest())
 
 
