@@ -65,6 +65,22 @@ def run_available_now(sdf: DataFrame, checkpoint: str, mode: str = "append",
         raise RuntimeError(str(q.exception()))
 
 
+def stream_signal_sink(stream: DataFrame, path: str, checkpoint: str, bucket: str = "hour",
+                       available_now: bool = True):
+    """A10 for streams: every arriving signal (late ones included, so batch
+    replay can recount them) appended to Parquet partitioned by UTC date; the
+    file sink's checkpoint makes it exactly-once."""
+    out = (stream.withColumn("hour", bucket_start("ts", bucket))
+                 .withColumn("date", F.to_date("hour")))
+    w = (out.writeStream.format("parquet").option("path", path)
+            .option("checkpointLocation", checkpoint).partitionBy("date").outputMode("append"))
+    if available_now:
+        q = w.trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+    return w.start()
+
+
 # ------------------------------------------------------------------ versioned tables
 class VersionedTable:
     """A Parquet table partitioned by ``version`` (micro-batch id)."""

@@ -125,3 +125,10 @@ def test_prune_keeps_version_needed_for_replay(spark, tmp_path):
     assert t.latest().first().x == 9
     versions = sorted(r.version for r in spark.read.parquet(str(tmp_path / "t")).select("version").distinct().collect())
     assert versions == [5, 9]
+
+
+def test_stream_signal_sink_keeps_every_row(spark, sliced, tmp_path):
+    G.stream_signal_sink(_stream(spark, sliced), str(tmp_path / "sink"), str(tmp_path / "ckpt"))
+    back = spark.read.parquet(str(tmp_path / "sink"))
+    assert back.count() == 10000
+    assert back.select("date").distinct().count() == 30
