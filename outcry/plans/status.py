@@ -2,10 +2,13 @@
 (D9), one entity (D8), submit result (D10), entity detail (D11) and the
 no-look-ahead score history (D12).
 
-Shuffle budget of the snapshot: counts (two aggregates: dedup, count), one
-conditional aggregate per slot fold, one per share fold, and joins against
-entity-sized frames (catalog, tiers, shares, current counts) which Spark
-broadcasts when AQE measures them under the threshold.
+Shuffle budget.  Ingest: one exchange on (actor, bucket) serves both the rate
+cap and the dedup, one more for the count (both with partial aggregation).
+Snapshot: one aggregate per slot fold and per share fold over the small counts
+table, one conditional aggregate for the tiers, and joins against entity-sized
+frames (catalog, tiers, shares, current counts) which Spark broadcasts when
+their measured size is under the threshold.  History: a single exchange of the
+dense rows, into the per-entity replay.
 """
 
 from __future__ import annotations
