@@ -322,25 +322,32 @@ def _replay_entity(pdf: pd.DataFrame, period: int, daily: bool) -> pd.DataFrame:
 
     # As-of tiers (C3b): before bucket (w, s) the current state of slot s' is
     # this week's for s' < s and last week's otherwise.  Hour tier: slots with
-    # the same hour of day; aggregate tier: all slots; both over existing slots.
-    same_hod = np.ones((period, period), dtype=bool) if daily else \
-        (np.arange(period)[:, None] % 24) == (np.arange(period)[None, :] % 24)
-    lower = np.arange(period)[None, :] < np.arange(period)[:, None]
+    # the same hour of day (same column of the 7 x 24 layout); aggregate tier:
+    # all slots; both over existing slots.  The split at s is an exclusive
+    # prefix sum of this week plus an inclusive suffix sum of last week: O(P).
+    def split(cur, prev, rows):
+        c, p = cur.reshape(rows, -1), prev.reshape(rows, -1)
+        before = np.cumsum(c, axis=0) - c
+        after = np.cumsum(p[::-1], axis=0)[::-1]
+        return (before + after).reshape(-1)
+
+    # rows of the split: hour tier = same hour of day = a column of the 7 x 24
+    # layout (daily buckets: every weekday slot, one column of 7); aggregate
+    # tier = all slots in one column.
+    split_rows = {"h": period if daily else 7, "a": period}
     tiers_out = {k: np.empty((weeks, period)) for k in ("hm", "hs", "am", "as")}
     tiers_n = {k: np.empty((weeks, period), dtype=np.int64) for k in ("hn", "an")}
     zero_f, zero_i = np.zeros(period), np.zeros(period, dtype=np.int64)
     for w in range(weeks):
         lm, ls, ln = (am[w - 1], as_[w - 1], an[w - 1]) if w else (zero_f, zero_f, zero_i)
-        cm = np.where(lower, am[w][None, :], lm[None, :])
-        cs = np.where(lower, as_[w][None, :], ls[None, :])
-        cn = np.where(lower, an[w][None, :], ln[None, :])
-        ex = cn > 0
-        for pre, mask in (("h", ex & same_hod), ("a", ex)):
-            cnt = mask.sum(axis=1)
+        cm, cs, cn = am[w], as_[w], an[w]
+        ce, le = cn > 0, ln > 0
+        for pre, rows in split_rows.items():
+            cnt = split(ce.astype(np.int64), le.astype(np.int64), rows)
             with np.errstate(invalid="ignore", divide="ignore"):
-                tiers_out[pre + "m"][w] = _np_round9((cm * mask).sum(axis=1) / cnt)
-                tiers_out[pre + "s"][w] = _np_round9((cs * mask).sum(axis=1) / cnt)
-            tiers_n[pre + "n"][w] = (cn * mask).sum(axis=1)
+                tiers_out[pre + "m"][w] = _np_round9(split(cm * ce, lm * le, rows) / cnt)
+                tiers_out[pre + "s"][w] = _np_round9(split(cs * ce, ls * le, rows) / cnt)
+            tiers_n[pre + "n"][w] = split(cn * ce, ln * le, rows)
     hour_n = tiers_n["hn"].reshape(-1)[cut]
     agg_n = tiers_n["an"].reshape(-1)[cut]
     hok, aok = hour_n > 0, agg_n > 0
