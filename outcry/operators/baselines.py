@@ -284,15 +284,25 @@ def _replay_entity(pdf: pd.DataFrame, period: int, daily: bool) -> pd.DataFrame:
     and after every bucket.  Input rows are the entity's bucket keys (with the
     bucket total) plus its sparse counts; they are merged here.  Same operation
     order as the JVM fold and the reference, so values are bit-identical."""
-    keys = pdf[pdf["is_key"]].sort_values("hour", kind="mergesort").reset_index(drop=True)
-    h = len(keys)
+    is_key = pdf["is_key"].to_numpy(dtype=bool)
+    hours = pdf["hour"].to_numpy()
+    k_idx = np.flatnonzero(is_key)
+    k_idx = k_idx[np.argsort(hours[k_idx], kind="mergesort")]
+    h = len(k_idx)
     if h == 0:
         return pd.DataFrame({f.name: pd.Series(dtype=object) for f in _REPLAY_SCHEMA.fields})
-    sparse = pdf[~pdf["is_key"]].groupby("hour")["x"].sum()
-    x = keys["hour"].map(sparse).fillna(0).to_numpy(dtype=np.int64)
-    tot = keys["total"].fillna(0).to_numpy(dtype=np.int64)
-    dow_a = keys["dow"].to_numpy(dtype=np.int64)
-    hod_a = keys["hod"].to_numpy(dtype=np.int64)
+    key_hours = hours[k_idx]
+    # place the sparse counts on their bucket (one count row per entity and bucket)
+    x = np.zeros(h, dtype=np.int64)
+    s_idx = np.flatnonzero(~is_key)
+    if len(s_idx):
+        pos = np.searchsorted(key_hours, hours[s_idx])
+        hit = pos < h
+        hit[hit] = key_hours[pos[hit]] == hours[s_idx][hit]
+        np.add.at(x, pos[hit], pdf["x"].to_numpy()[s_idx][hit].astype(np.int64))
+    tot = pdf["total"].to_numpy()[k_idx].astype(np.int64)
+    dow_a = pdf["dow"].to_numpy()[k_idx].astype(np.int64)
+    hod_a = pdf["hod"].to_numpy()[k_idx].astype(np.int64)
     slot = dow_a if daily else dow_a * 24 + hod_a
     off = int(slot[0])
     weeks = (off + h + period - 1) // period
@@ -365,7 +375,7 @@ def _replay_entity(pdf: pd.DataFrame, period: int, daily: bool) -> pd.DataFrame:
         sh_after[i], tt_after[i] = share, total
 
     return pd.DataFrame({
-        "entity_id": keys["entity_id"].to_numpy(), "hour": keys["hour"].to_numpy(),
+        "entity_id": pdf["entity_id"].to_numpy()[k_idx], "hour": key_hours,
         "dow": dow_a.astype(np.int32), "hod": hod_a.astype(np.int32),
         "x": x, "total": tot,
         "prev_mean": np.where(seen, pm.reshape(-1)[cut], np.nan),
@@ -375,22 +385,16 @@ def _replay_entity(pdf: pd.DataFrame, period: int, daily: bool) -> pd.DataFrame:
         "prev_share": sh_prev, "prev_total": tt_prev, "share": sh_after, "lifetime_total": tt_after,
         "slot_mean": np.where(seen, pm.reshape(-1)[cut], np.nan),
         "slot_std": np.where(seen, ps.reshape(-1)[cut], np.nan),
-        "slot_n": _nullable_int(prev_n, seen),
+        "slot_n": np.where(seen, prev_n, 0),
         "hour_mean": np.where(hok, tiers_out["hm"].reshape(-1)[cut], np.nan),
         "hour_std": np.where(hok, tiers_out["hs"].reshape(-1)[cut], np.nan),
-        "hour_n": _nullable_int(hour_n, hok),
+        "hour_n": np.where(hok, hour_n, 0),
         "agg_mean": np.where(aok, tiers_out["am"].reshape(-1)[cut], np.nan),
         "agg_std": np.where(aok, tiers_out["as"].reshape(-1)[cut], np.nan),
-        "agg_n": _nullable_int(agg_n, aok),
+        "agg_n": np.where(aok, agg_n, 0),
     })
 
 
-def _nullable_int(values, mask) -> pd.Series:
-    out = pd.Series(values, dtype="Int64")
-    out[~mask] = pd.NA
-    return out
-
-
 def _np_round9(x):
     """R1 half-up rounding to the tier decimals, numpy version."""
     scale = float(10 ** K.TIER_DECIMALS)
@@ -417,8 +421,11 @@ def replay(series: DataFrame, bucket: str = "hour") -> DataFrame:
     # exchange) and AQE does not coalesce it, so this CPU-bound Python stage
     # keeps full parallelism even when the input is small.
     parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (series.repartition(parts, "entity_id").groupBy("entity_id")
-                  .applyInPandas(lambda pdf: _replay_entity(pdf, period, daily), _REPLAY_SCHEMA))
+    out = (series.repartition(parts, "entity_id").groupBy("entity_id")
+                 .applyInPandas(lambda pdf: _replay_entity(pdf, period, daily), _REPLAY_SCHEMA))
+    # sample counts of a missing tier come back as 0: make them null
+    return out.select(*[F.when(F.col(c) > 0, F.col(c)).alias(c) if c in ("slot_n", "hour_n", "agg_n")
+                        else F.col(c) for c in out.columns])
 
 
 def dense_with_totals(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
