@@ -411,9 +411,9 @@ def replay(series: DataFrame, bucket: str = "hour") -> DataFrame:
     number of buckets, independent of signal volume (a hot entity has larger
     numbers, not more rows).  Within an entity the slot recurrence runs week by
     week, vectorised over the entity's slots; the share recurrence is a scalar
-    loop: O(buckets) per entity.  Computing the as-of tiers here too (one
-    168 x 168 masked sum per week) saves a second shuffle and two sorts of the
-    dense rows, which window functions over the replay output would need.
+    loop: O(buckets) per entity.  Computing the as-of tiers here too (prefix
+    and suffix sums per week) saves a second shuffle and two sorts of the dense
+    rows, which window functions over the replay output would need.
     """
     _, period = BUCKETS[bucket]
     daily = bucket == "day"
