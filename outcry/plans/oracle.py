@@ -458,6 +458,7 @@ QUALIFY row_number() OVER (PARTITION BY entity_id, dow, hod ORDER BY k DESC) = 1
                           + fold_ctes() + f"""
 SELECT entity_id, dow, hod, mean, std, n, {iso('hour')} AS last_hour FROM fold
 QUALIFY row_number() OVER (PARTITION BY entity_id, dow, hod ORDER BY k DESC) = 1""")
+    o["c4_close_batches"] = o["c2_slot_baselines"]
     o["c3_slot_history"] = full + f"""
 SELECT entity_id, dow, hod, {iso('hour')} AS hour, CAST(x AS BIGINT) AS x, prev_mean, prev_std, prev_n,
        mean, std, n FROM fold"""

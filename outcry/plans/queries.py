@@ -256,6 +256,23 @@ def c4_apply_hour(spark, sf):
     return _state_out(C.apply_bucket(prior, x.counts, x.catalog, before))
 
 
+def c4_close_batches(spark, sf):
+    """The whole history closed in two batches through the stored-state
+    closer (the second continues from the first's slot partitions and shares):
+    equals the one-shot fold ``c2_slot_baselines``."""
+    from outcry.streaming import jobs as G
+    x = Ctx(spark, sf)
+    r = x.counts.agg(F.unix_seconds(F.min("hour")).alias("lo"), F.unix_seconds(F.max("hour")).alias("hi")).first()
+    mid = (r["lo"] + r["hi"]) // 2
+    root = _scratch(spark, "c4b")
+    closer = G.BucketCloser(spark, x.catalog, f"{root}/state")
+    sec = F.unix_seconds("hour")
+    closer(x.counts.where(sec <= F.lit(mid)).select("entity_id", "hour", "n"), 0)
+    closer(x.counts.where(sec > F.lit(mid)).select("entity_id", "hour", "n"), 1)
+    base, _ = G.closed_state(spark, f"{root}/state")
+    return _state_out(base)
+
+
 def c5_share_baselines(spark, sf):
     x = Ctx(spark, sf)
     return C.share_baselines(x.counts, x.catalog, x.lo, x.hi)
@@ -513,7 +530,7 @@ NAMES = [
     "a7_rate_cap_hour", "a7_rate_cap_day", "a8_admission_report", "a8_admission_tags", "a9_dedup", "a10_signal_sink",
     "b1_hourly_counts", "b1_hourly_counts_evk", "b2_hourly_totals", "b3_count_at", "b4_peer_counts",
     "b5_shares", "b6_dense_spine", "b7_trend", "f5_scaled_trend", "f6_has_signal", "f7_local_label",
-    "c2_slot_baselines", "c3_slot_history", "c3b_tier_history", "c4_apply_hour", "c5_share_baselines",
+    "c2_slot_baselines", "c3_slot_history", "c3b_tier_history", "c4_apply_hour", "c4_close_batches", "c5_share_baselines",
     "c5b_share_history", "c6_lifetime_totals", "c7_hour_tier", "c8_aggregate_tier", "c9_tiers",
     "c10_resolve",
     "d8_score_entity", "d9_status_snapshot", "d10_signal_result", "d11_entity_detail",
