@@ -24,6 +24,7 @@ executor re-reads it instead of re-splitting documents.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -94,58 +95,60 @@ def explode_words(docs: DataFrame, key: str, words: str) -> DataFrame:
     (Arrow IPC), rows of part 1 one document each (key, varint word numbers)."""
     key_type = docs.schema[key].dataType.simpleString()
     narrow = docs.select(F.col(key).alias("key"), F.col(words).alias("words"))
-    arrow_key = {}
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         chunk = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
+        held: list[tuple] = []
         tokens = 0
         for b in batches:
-            arrow_key["type"] = b.column(0).type
-            held.append(b)
-            tokens += len(b.column(1).flatten())
+            words = b.column(1)
+            flat = words.flatten()
+            lens = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+            held.append((b.column(0), lens, flat.dictionary_encode()))
+            tokens += len(flat)
             if tokens >= CHUNK_TOKENS:
                 yield from close(chunk, held)
                 chunk, held, tokens = chunk + 1, [], 0
         if held:
             yield from close(chunk, held)
 
-    def close(chunk: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = pa.chunked_array([b.column(1).flatten().cast(pa.large_string()) for b in held], type=pa.large_string())
-        coded = flat.combine_chunks().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        n_words = len(coded.dictionary)
-        order = np.argsort(-np.bincount(codes, minlength=n_words), kind="stable")
+    def close(chunk: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        coded = pa.chunked_array([c for _, _, c in held]).unify_dictionaries()
+        word = coded.chunk(0).dictionary
+        n_words = len(word)
+        codes = [c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]
+        seen = np.zeros(n_words, np.int64)
+        for c in codes:
+            seen += np.bincount(c, minlength=n_words)
+        order = np.argsort(-seen, kind="stable")
         rank = np.empty(n_words, np.int64)
         rank[order] = np.arange(n_words)
-        distinct = coded.dictionary.take(pa.array(order))
-        raw, n = varint(rank[codes])
-        ends = np.concatenate(([0], np.cumsum(n)))
-        at = 0
-        for b in held:
-            lens = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
-            stops = at + np.cumsum(lens)
+        for (keys, lens, _), c in zip(held, codes):
+            raw, n = varint(rank[c])
+            ends = np.concatenate(([0], np.cumsum(n)))
+            stops = np.cumsum(lens)
             blobs = [raw[ends[s]:ends[e]].tobytes() for s, e in zip(stops - lens, stops)]
-            at = int(stops[-1]) if len(stops) else at
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk] * len(blobs), pa.int64()), pa.array([1] * len(blobs), pa.int32()),
                  pa.array([n_words] * len(blobs), pa.int64()), pa.array(blobs, pa.binary()),
-                 b.column(0), pa.nulls(len(blobs), pa.binary())],
+                 keys, pa.nulls(len(blobs), pa.binary())],
                 names=["chunk", "part", "n_words", "doc", "key", "payload"])
-        payload = pack(pa.table({"word": distinct}))
+        payload = pack(pa.table({"word": word.take(pa.array(order))}))
         yield pa.RecordBatch.from_arrays(
             [pa.array([chunk], pa.int64()), pa.array([0], pa.int32()), pa.array([n_words], pa.int64()),
-             pa.nulls(1, pa.binary()), pa.nulls(1, arrow_key["type"]), pa.array([payload], pa.binary())],
+             pa.nulls(1, pa.binary()), pa.nulls(1, held[0][0].type), pa.array([payload], pa.binary())],
             names=["chunk", "part", "n_words", "doc", "key", "payload"])
+        pa.default_memory_pool().release_unused()
 
-    path = scratch_path(docs.sparkSession, "words")
-    schema = _CHUNK_SCHEMA.format(key=key_type)
-    (narrow.mapInArrow(chunks, schema).write.partitionBy("part")
-     .option("compression", "zstd").parquet(path))
-    return docs.sparkSession.read.schema(schema).parquet(path)
+    # Bucketed by chunk: the documents need no second shuffle to meet their answers.
+    spark = docs.sparkSession
+    coded = narrow.mapInArrow(chunks, _CHUNK_SCHEMA.format(key=key_type))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), coded.rdd.getNumPartitions())
+    name = "words_" + uuid.uuid4().hex
+    (coded.write.partitionBy("part").bucketBy(min(buckets, 100_000), "chunk").option("compression", "zstd")
+     .option("path", scratch_path(spark, name)).saveAsTable(name))
+    return spark.table(name)
 
 
 def answer_words(chunks: DataFrame, answer: Callable[[list[bytes]], pa.Table]) -> DataFrame:
@@ -159,10 +162,7 @@ def answer_words(chunks: DataFrame, answer: Callable[[list[bytes]], pa.Table]) -
     def deal(batches):
         for b in batches:
             for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist()):
-                word = unpack(payload).column("word").combine_chunks()
-                if isinstance(word, pa.ChunkedArray):
-                    word = pa.concat_arrays(word.chunks)
-                raw = word.cast(pa.large_binary())
+                raw = pa.concat_arrays(unpack(payload).column("word").chunks).cast(pa.large_binary())
                 crc = zlib.crc32
                 of = np.fromiter((crc(w) % buckets for w in raw.to_pylist()), np.int64, len(raw))
                 order = np.argsort(of, kind="stable")
@@ -178,9 +178,7 @@ def answer_words(chunks: DataFrame, answer: Callable[[list[bytes]], pa.Table]) -
     def solve(t: pa.Table) -> pa.Table:
         parts = [unpack(p) for p in t.column("payload").to_pylist()]
         word = pa.chunked_array([c for p in parts for c in p.column("word").chunks], type=pa.large_binary())
-        coded = word.combine_chunks().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
+        coded = pa.concat_arrays(word.chunks).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         order = sorted(range(len(distinct)), key=distinct.__getitem__)
         back = np.empty(len(order), np.int64)
