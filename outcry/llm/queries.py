@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, tokencount
+from . import bytebpe, decontam, omh, tokencount
 from .runtime import prepare, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -15,9 +15,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), MULTI_RANKS)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(table(spark, sf_dir, "documents"), MULTI_RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_byte_bpe)}
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_decontaminate, op4_byte_bpe, op8_order_minhash)}
 ORACLE_SQL: dict[str, str] = {}
