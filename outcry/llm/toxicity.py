@@ -38,7 +38,7 @@ SAMPLE_CLEAN = 10_000
 TERMS = 500
 SUPPORT = 3
 ODDS = 8.0
-GAIN = 18.0
+GAIN = 15.0
 STEM_WORDS = 4
 WINDOW = 8
 
