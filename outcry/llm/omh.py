@@ -14,11 +14,14 @@ around the diagonal, so only matches in the band are chained.
 
 Large groups: equal texts become one node before any candidate is built.  In a
 bucket every node is first tested against the smallest one; the links found
-contract the group, and only pairs of nodes that are still in different
-classes are tested afterwards: in buckets of up to ``SMALL`` nodes all of them,
-in larger ones against a few leaders a round, until every node of a bucket
-that still spans classes has led.  No candidate is dropped, and a group of n
-copies costs n tests, not n^2.
+contract the group, and only pairs of nodes that are still in different classes
+are tested afterwards.  In buckets of up to ``SMALL`` nodes these pairs are
+listed.  In larger ones the nodes outside the bucket's largest class meet all
+its nodes in blocks of about ``BLOCK``: the numbers of common k-mers of two
+blocks are one matrix product, an upper bound of the alignment, and only pairs
+that reach the threshold are aligned.  Of the links of two blocks a spanning
+forest is kept, so neither pairs nor links of a group are listed one by one,
+and no candidate is dropped.
 
 Defined results: null text counts as empty.  Texts without any word are equal
 only to identical texts; texts of fewer than five words are one k-mer.  Rows
@@ -41,8 +44,8 @@ K = 5
 SKETCHES = 16
 PICKS = 3
 SIMILARITY = 0.8
-SMALL = 64
-LEADERS = 8
+SMALL = 16
+BLOCK = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -204,10 +207,97 @@ def _classed(nodes: DataFrame, column: str, roots: DataFrame, out: str) -> DataF
     return nodes.join(r, column, "left").withColumn(out, F.coalesce("root__", column)).drop("root__")
 
 
+def _labelled_rows(col: pa.Array) -> list[np.ndarray]:
+    """Labelled k-mers of each word list, in text order."""
+    words, lens = _lists(col)
+    h, n = kmers(words, lens)
+    x, ends = labelled(h, n), np.cumsum(n)
+    return [x[e - k:e] for e, k in zip(ends, n)]
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) counts of common labelled k-mers, by products of incidence
+    matrices over the k-mers that both sides have."""
+    a = np.concatenate(left) if left else np.empty(0, np.uint64)
+    b = np.concatenate(right) if right else np.empty(0, np.uint64)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    rows = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (left, right)]
+    places = [np.searchsorted(both, v) for v in (a, b)]
+    real = [(p < len(both)) & (both[np.minimum(p, len(both) - 1)] == v) if len(both) else np.zeros(len(v), bool)
+            for p, v in zip(places, (a, b))]
+    for lo in range(0, len(both), 8192):
+        hi = min(lo + 8192, len(both))
+        dense = []
+        for side, n in ((0, len(left)), (1, len(right))):
+            at = real[side] & (places[side] >= lo) & (places[side] < hi)
+            m = np.zeros((n, hi - lo), np.float32)
+            m[rows[side][at], places[side][at] - lo] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _block_batches(batches):
+    """Each row is a pair of blocks of one bucket.  Pairs of nodes in different
+    classes are tested; of the links only a spanning forest is returned."""
+    for b in batches:
+        for r in range(b.num_rows):
+            left, right = b.column(0)[r].values, b.column(1)[r].values
+            nodes = [x.field("node").to_pylist() for x in (left, right)]
+            classes = [x.field("class").to_numpy(zero_copy_only=False) for x in (left, right)]
+            words = [_lists(x.field("words")) for x in (left, right)]
+            stops = [np.cumsum(n) for _, n in words]
+            kmer = [_labelled_rows(x.field("words")) for x in (left, right)]
+            sizes = [np.array([len(k) for k in x]) for x in kmer]
+            m = _common(*kmer)
+            total = sizes[0][:, None] + sizes[1][None, :]
+            may = (m >= SIMILARITY * (total - m) - 1e-3) & (classes[0][:, None] != classes[1][None, :])
+            root: dict[int, int] = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            u, v, s = [], [], []
+            for i, j in zip(*np.nonzero(may)):
+                a, c = find(int(classes[0][i])), find(int(classes[1][j]))
+                if a == c:
+                    continue
+                (wa, na), (wb, nb) = words
+                sim = similarity(wa[stops[0][i] - na[i]:stops[0][i]], wb[stops[1][j] - nb[j]:stops[1][j]])
+                if sim > 0:
+                    root[max(a, c)] = min(a, c)
+                    u.append(min(nodes[0][i], nodes[1][j]))
+                    v.append(max(nodes[0][i], nodes[1][j]))
+                    s.append(sim)
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()),
+                                              "similarity": pa.array(s, pa.float64())})
+
+
+def _test_blocks(left: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Links between nodes of different classes in the buckets of ``left``
+    (key, node, members, class), found block by block: nodes outside the largest
+    class of a bucket against all its nodes."""
+    main = (left.groupBy("key", "class").agg(F.count("*").alias("n"))
+            .groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main")))
+    rows = (left.join(main, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+            .join(seqs, "node"))
+    member = F.collect_list(F.struct("node", "class", "words"))
+    every = rows.groupBy("key", "block").agg(member.alias("right"))
+    outside = (rows.filter("class <> main").groupBy("key", F.col("block").alias("own"), "blocks").agg(member.alias("left"))
+               .select("key", "left", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+    return (outside.join(every, ["key", "block"]).select("left", "right")
+            .mapInArrow(_block_batches, "u long, v long, similarity double"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """((doc_id, class_id), links): every document with the smallest doc_id of
-    its class, and the verified links (u, v, similarity) between different
-    texts, each named by the smallest doc_id that has it."""
+    its class, and verified links (u, v, similarity) that join the classes;
+    texts are named by the smallest doc_id that has them."""
     spark = docs.sparkSession
     prepare(spark)
     rows = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(docs[text]).alias("text__"))
@@ -254,35 +344,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         members.filter((F.col("node") != F.col("lead")) & length_ok(F.col("n_words"), F.col("lead_words")))
         .select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     links = verify(tested)
-    edges = same_id.union(links.select("u", "v"))
-    roots = materialize(components(edges), "roots")
-    turn = 0
-    while True:
-        now = _classed(members.filter((F.col("members") > SMALL) | F.lit(turn == 0))
-                       .select("key", "node", "n_words", "members"), "node", roots, "class")
+    roots = materialize(components(same_id.union(links.select("u", "v"))), "roots")
+
+    def still_open(some: DataFrame) -> DataFrame:
+        """The rows of buckets whose nodes are in different classes."""
+        now = _classed(some.select("key", "node", "n_words", "members"), "node", roots, "class")
         spans = now.groupBy("key").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).filter("c1 < c2")
-        still = materialize(now.join(spans.select("key"), "key", "left_semi"), "open")
-        largest = still.agg(F.max("members")).first()[0]
-        if largest is None or turn and LEADERS * (2 ** turn - 1) >= largest:
+        return now.join(spans.select("key"), "key", "left_semi")
+
+    # Small buckets: every pair of nodes in different classes.
+    left = still_open(members.filter(F.col("members") <= SMALL))
+    other = left.select("key", F.col("node").alias("node2"), F.col("n_words").alias("words2"), F.col("class").alias("class2"))
+    pairs = materialize(
+        left.join(other, "key")
+        .filter((F.col("node") < F.col("node2")) & (F.col("class") != F.col("class2"))
+                & length_ok(F.col("n_words"), F.col("words2")))
+        .select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+    links = links.union(verify(pairs))
+    roots = materialize(components(same_id.union(links.select("u", "v"))), "roots")
+    # Large buckets: first each node in its largest one, then all that are left.
+    large = members.filter(F.col("members") > SMALL).select("key", "node", "n_words", "members")
+    for one_bucket in (True, False):
+        left = materialize(still_open(large), "open")
+        if left.isEmpty():
             break
-        # Leaders of this turn: a share of the nodes by hash, twice as many as in the turn before.
-        place = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / float(1 << 30) * F.col("members")
-        leads = still.filter((F.col("members") <= SMALL) | ((place >= LEADERS * (2 ** turn - 1))
-                                                            & (place < LEADERS * (2 ** (turn + 1) - 1))))
-        other = still.select("key", F.col("node").alias("node2"), F.col("n_words").alias("words2"),
-                             F.col("class").alias("class2"))
-        pairs = materialize(
-            leads.join(other, "key")
-            .filter((F.col("class") != F.col("class2")) & length_ok(F.col("n_words"), F.col("words2")))
-            .select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
-            .join(tested, ["u", "v"], "left_anti"), "pairs")
-        turn += 1
-        if not pairs.isEmpty():
-            found = verify(pairs)
-            tested, links = tested.union(pairs), links.union(found)
-            if not found.isEmpty():
-                edges = edges.union(found.select("u", "v"))
-                roots = materialize(components(edges), "roots")
+        if one_bucket:
+            chosen = left.groupBy("node").agg(F.max_by("key", F.struct("members", "key")).alias("key"))
+            left = left.join(chosen, ["node", "key"], "left_semi")
+        links = links.union(materialize(_test_blocks(left, seqs), "links"))
+        roots = materialize(components(same_id.union(links.select("u", "v"))), "roots")
     classes = (_classed(member, "node", roots, "class_id")
                .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")))
     return classes, links
