@@ -27,8 +27,8 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    replaced, _ = surrogates.replace(docs)
-    return replaced.select(docs.columns)
+    replaced, _ = surrogates.replace(docs, count=None)
+    return replaced
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,14 +222,15 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise ValueError(f"no free surrogate after {ATTEMPTS} attempts")
 
 
-def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFrame, DataFrame]:
-    """(documents with surrogates in ``text`` and the added column
-    ``n_entities``, mentions (text_key, pos, kind, mention, replacement))."""
+def replace(docs: DataFrame, text: str = "text", key: str = KEY,
+            count: str | None = "n_entities") -> tuple[DataFrame, DataFrame]:
+    """(documents with surrogates in ``text`` and, if named, the added column
+    ``count``, mentions (text_key, pos, kind, mention, replacement))."""
     prepare(docs.sparkSession)
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
     base = docs.withColumn("found__", found)
     hits = materialize(base.filter(F.size("found__") > 0).withColumn("text_key__", F.md5(text)), "hits")
-    clean = base.filter(F.size("found__") == 0).drop("found__").withColumn("n_entities", F.lit(0))
+    clean = base.filter(F.size("found__") == 0).withColumn("n__", F.lit(0))
 
     per_text = hits.groupBy("text_key__").agg(F.first("found__").alias("found__"))
     kind = _kind(F.col("mention"))
@@ -248,6 +249,7 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFr
     gaps = F.split(F.col(text), PATTERN, -1)
     joined = F.array_join(F.zip_with(gaps, F.col("with__"), lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
     changed = (hits.join(lists, "text_key__").withColumn(text, joined)
-               .withColumn("n_entities", F.size("with__")).drop("found__", "with__", "text_key__"))
-    out = changed.select(*docs.columns, "n_entities").unionByName(clean.select(*docs.columns, "n_entities"))
+               .withColumn("n__", F.size("with__")))
+    columns = [F.col(f"`{c}`") for c in docs.columns] + ([F.col("n__").alias(count)] if count else [])
+    out = changed.select(*columns).union(clean.select(*columns))
     return out, rendered.withColumnRenamed("text_key__", "text_key")

@@ -162,7 +162,10 @@ def answer_words(chunks: DataFrame, answer: Callable[[list[bytes]], pa.Table]) -
     def deal(batches):
         for b in batches:
             for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist()):
-                raw = pa.concat_arrays(unpack(payload).column("word").chunks).cast(pa.large_binary())
+                found = unpack(payload).column("word").chunks
+                if not found:  # texts without any word
+                    continue
+                raw = pa.concat_arrays(found).cast(pa.large_binary())
                 crc = zlib.crc32
                 of = np.fromiter((crc(w) % buckets for w in raw.to_pylist()), np.int64, len(raw))
                 order = np.argsort(of, kind="stable")
