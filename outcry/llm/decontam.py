@@ -146,7 +146,8 @@ def text_leaks(docs: DataFrame, items: DataFrame, text: str = "text",
              .select("row", "k", "b", "print_i", F.col("value").bitwiseXOR(F.col("mask")).alias("value")))
     probe = (printed.select("window", F.explode(_blocks(F.col("prints"))).alias("x"))
              .select("window", "x.k", "x.b", "x.value", "x.print"))
-    near = (probe.join(index, ["k", "b", "value"])
+    # The index is many times its table: never broadcast on an estimate.
+    near = (probe.join(index.hint("merge"), ["k", "b", "value"])
             .filter(F.bit_count(F.col("print").bitwiseXOR(F.col("print_i"))) <= RADIUS)
             .select("window", "row").distinct())
     common = F.aggregate("bag", F.lit(0).cast("long"), lambda acc, x: acc + x["w"] * F.least(

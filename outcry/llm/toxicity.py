@@ -223,7 +223,7 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple:
                    .groupBy("w").agg(F.count("*").alias("words"), F.max("n").alias("most")))
     stems = (counts.filter("endswith(w, '*')").join(toxic_words, "w")
              .filter((F.col("words") >= STEM_WORDS) & (F.col("most") <= 0.6 * F.col("a")))
-             .select(F.expr("left(w, length(w) - 1)").alias("w"), "a", "odds", F.lit(True).alias("stem")))
+             .select(F.expr("left(w, length(w) - 1)").alias("w"), "gain", "odds", F.lit(True).alias("stem")))
     rows = [r for part in (stems, terms) for r in part.orderBy(F.desc("gain"), "w").limit(4 * TERMS).collect()]
     rows.sort(key=lambda r: (-r["gain"], len(r["w"]), r["w"], r["stem"]))
     kept, roots = [], []
