@@ -32,8 +32,29 @@ def _map_expr(col: str, mapping: dict, default):
 
 
 # ------------------------------------------------------------------ EV / EVK
-def ev_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ntz(t):
+    """A naive UTC datetime as a literal of the raw column's type, so that the
+    comparison is pushed into the scan."""
+    return F.to_timestamp_ntz(F.lit(t.strftime("%Y-%m-%d %H:%M:%S")))
+
+
+def ev_last_hour(spark: SparkSession, sf_dir: str):
+    """Last hour with a signal on an entity (naive UTC datetime): one aggregate
+    over two columns of the raw table."""
+    row = (table(spark, sf_dir, "events").where(F.col("event_type").isNotNull() & (F.col("event_type") != F.lit("")))
+           .agg(F.max("ts").alias("t")).first())
+    if row is None or row["t"] is None:
+        raise ValueError("no signals in range")
+    return row["t"].replace(minute=0, second=0, microsecond=0, tzinfo=None)
+
+
+def ev_signals(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
+    """EV signals, optionally only those in [since, until) (naive UTC)."""
     ev = table(spark, sf_dir, "events")
+    if since is not None:
+        ev = ev.where(F.col("ts") >= _ntz(since))
+    if until is not None:
+        ev = ev.where(F.col("ts") < _ntz(until))
     return to_signals(ev, F.col("event_id"), F.col("event_type"), F.col("user_id"), F.col("ts"))
 
 
@@ -73,6 +94,20 @@ def ev_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_from(ev_signals(spark, sf_dir), "ev")
 
 
+# Fixed values — hours after the first bucket from which an entity of the "born"
+# catalog exists (the others always did).
+EV_BORN_AFTER = {"signup": 245, "click": 30}
+
+
+def ev_born_catalog(spark: SparkSession, sf_dir: str, lo) -> DataFrame:
+    """The EV catalog with ``valid_from`` for some entities (inside an hour, so
+    that the bucket rule shows)."""
+    base = ev_catalog(spark, sf_dir)
+    hours = _map_expr("entity_id", EV_BORN_AFTER, None).cast("long")
+    return base.withColumn("valid_from", F.when(hours.isNotNull(), F.timestamp_seconds(
+        F.unix_seconds(lo) + hours * F.lit(3600) + F.lit(1500))))
+
+
 def ev_partial_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev_catalog(spark, sf_dir).where(F.col("entity_id") != F.lit(EV_LEFT_OUT))
 

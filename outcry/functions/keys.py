@@ -21,10 +21,6 @@ def actor_key(*address_cols, default: str = DEFAULT_ADDRESS) -> Column:
     return F.sha2(F.coalesce(*candidates, F.lit(default)), 256)
 
 
-def with_actor_key(df, address_cols, out: str = "actor_key", default: str = DEFAULT_ADDRESS):
-    return df.withColumn(out, actor_key(*address_cols, default=default))
-
-
 def norm_key(c) -> Column:
     """Lower-case and strip everything outside ``[a-z0-9]``."""
     return F.regexp_replace(F.lower(_c(c)), "[^a-z0-9]", "")

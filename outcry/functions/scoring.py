@@ -116,8 +116,7 @@ def disproportionality(share, expected) -> Column:
     """0 if share = 0; 2.0 if expected <= 0; else share / expected."""
     share, expected = _c(share), _c(expected)
     return (F.when(share == _d(0.0), _d(0.0))
-             .when(expected <= _d(0.0),
-                   F.when(share > _d(0.0), _d(K.D_NO_EXPECTATION)).otherwise(_d(1.0)))
+             .when(expected <= _d(0.0), _d(K.D_NO_EXPECTATION))
              .otherwise(share / expected))
 
 

@@ -10,6 +10,3 @@ from __future__ import annotations
 # Fixed values — status labels, score bands [4.5, 5], [3.5, 4.5), [2.5, 3.5),
 # [1.5, 2.5), [1, 1.5), and the unscored label.
 DEFAULT_LABELS = ("genius", "smart", "normal", "dumb", "braindead", "unknown")
-
-# A neutral alternative vocabulary with the same meaning.
-NEUTRAL_LABELS = ("very_quiet", "quiet", "normal", "elevated", "spike", "unknown")

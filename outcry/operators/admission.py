@@ -81,16 +81,18 @@ def admission(signals: DataFrame, catalog: DataFrame, k: int = K.RATE_CAP,
     ok = tagged.where(F.col("_ok"))
     w = Window.partitionBy("actor_key", "hour").orderBy("ts", "signal_id")
     cut = (ok.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.lit(k))
-             .groupBy("actor_key", "hour")
+             .groupBy(F.col("actor_key").alias("_actor"), F.col("hour").alias("_hour"))
              .agg(F.max(F.struct("ts", "signal_id")).alias("_cut")))
-    j = tagged.join(cut, ["actor_key", "hour"], "left")
+    # Null-safe: attempts without an actor share one quota, as in the window.
+    j = tagged.join(cut, F.col("actor_key").eqNullSafe(F.col("_actor"))
+                    & F.col("hour").eqNullSafe(F.col("_hour")), "left")
     within = (F.col("ts") < F.col("_cut.ts")) | (
         (F.col("ts") == F.col("_cut.ts")) & (F.col("signal_id") <= F.col("_cut.signal_id")))
     reason = (F.when(F.col("_missing"), F.lit("missing_entity"))
                .when(~F.col("_ok"), F.lit("unknown_entity"))
                .when(within, F.lit("accepted"))
                .otherwise(F.lit("rate_limited")))
-    return j.withColumn("reason", reason).drop("_missing", "_ok", "_cut")
+    return j.withColumn("reason", reason).drop("_missing", "_ok", "_cut", "_actor", "_hour")
 
 
 def admission_report(signals: DataFrame, catalog: DataFrame, k: int = K.RATE_CAP,

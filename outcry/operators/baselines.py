@@ -14,7 +14,7 @@ Design
   has larger numbers, not longer arrays.  Operand order follows the reference,
   so results are bit-equal to a sequential evaluation.
 * Histories (state before every bucket, for the no-look-ahead replay) use one
-  ``applyInPandas`` pass per entity (``replay``): the slot recurrence runs week
+  pass per entity (``replay``), fed with sparse rows: the slot recurrence runs week
   by week vectorised over the entity's slots, the share recurrence is a scalar
   loop, and the as-of hour/aggregate tiers are computed in the same pass.  An
   array-append fold would be quadratic in the number of buckets.
@@ -35,6 +35,7 @@ from outcry import constants as K
 from outcry.functions.scoring import ewma_step, round_half_up, share_step
 from outcry.functions.time import (BUCKETS, add_buckets, bucket_index, dow, hod,
                                    slot_index)
+from outcry.operators.counts import birth_index, bucket_arrays, hourly_totals
 from outcry.sources.signals import upsert
 
 _DEC = T.DecimalType(38, 18)
@@ -73,19 +74,26 @@ def slot_frame(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
                       F.floor(idx / F.lit(period)).cast("long").alias("k"),
                       F.col("n").cast("long").alias("n")))).alias("obs")))
     s = F.col("_s")
-    slots = catalog.select("entity_id", F.explode(F.sequence(F.lit(0), F.lit(period - 1))).alias("_s"))
+    slots = catalog.select("entity_id", birth_index(catalog, lo, bucket).alias("_birth"),
+                           F.explode(F.sequence(F.lit(0), F.lit(period - 1))).alias("_s"))
     if bucket == "hour":
-        slots = slots.select("entity_id", (s / 24).cast("int").alias("dow"), (s % 24).cast("int").alias("hod"))
+        slots = slots.select("entity_id", "_birth", (s / 24).cast("int").alias("dow"), (s % 24).cast("int").alias("hod"))
     else:
-        slots = slots.select("entity_id", s.cast("int").alias("dow"), F.lit(0).alias("hod"))
+        slots = slots.select("entity_id", "_birth", s.cast("int").alias("dow"), F.lit(0).alias("hod"))
     s_lo = slot_index(dow(lo), hod(lo, bucket), bucket)
-    i0 = (slot_index("dow", "hod", bucket) - s_lo + F.lit(period)) % F.lit(period)
+    first = ((slot_index("dow", "hod", bucket) - s_lo + F.lit(period)) % F.lit(period)).cast("long")
+    # The slot's first bucket at or after the entity's birth.
+    late = F.greatest(F.col("_birth") - first, F.lit(0).cast("long"))
+    i0 = first + F.ceil(late / F.lit(period)).cast("long") * F.lit(period)
     n_hi = bucket_index(hi, lo, bucket)
     n_weeks = F.when(i0.cast("long") <= n_hi,
                      F.floor((n_hi - i0) / F.lit(period)) + F.lit(1)).otherwise(F.lit(0))
     return (slots.join(obs, ["entity_id", "dow", "hod"], "left")
                  .withColumn("i0", i0.cast("long"))
-                 .withColumn("n_weeks", n_weeks.cast("long")))
+                 .withColumn("w0", F.floor(F.col("i0") / F.lit(period)).cast("long"))
+                 .withColumn("n_weeks", n_weeks.cast("long"))
+                 .withColumn("obs", F.filter("obs", lambda o: o["k"] >= F.col("w0")))
+                 .drop("_birth"))
 
 
 def _walk(obs: Column, p: Column, key: Column) -> tuple[Column, Column]:
@@ -127,7 +135,7 @@ def slot_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column
         init = F.coalesce(F.col("_seed"), init)
     active = F.col("n_weeks") > F.lit(0)
     sf = sf.where(active | F.col("_seed").isNotNull() if seed is not None else active)
-    weeks = F.sequence(F.lit(0).cast("long"), F.col("n_weeks") - F.lit(1))
+    weeks = F.sequence(F.col("w0"), F.col("w0") + F.col("n_weeks") - F.lit(1))
     state = F.when(F.col("n_weeks") > F.lit(0),
                    F.aggregate(weeks, init, _fold_state)).otherwise(init)
     last_i = F.col("i0") + (F.col("n_weeks") - F.lit(1)) * F.lit(period)
@@ -143,7 +151,7 @@ def slot_history(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
                  bucket: str = "hour") -> DataFrame:
     """One row per entity and bucket in [lo, hi] with the slot state before
     (prev_*) and after the bucket's observation x (see ``replay``)."""
-    return replay(dense_with_totals(counts, catalog, lo, hi, bucket), bucket)
+    return replay(entity_series(counts, catalog, lo, hi, bucket), lo, hi, bucket)
 
 
 # ------------------------------------------------------------------ tiers
@@ -194,10 +202,14 @@ def tiers(baselines: DataFrame, dow_col: Column, hod_col: Column) -> DataFrame:
     )
 
 
+TIER_COLUMNS = ["slot_mean", "slot_std", "slot_n", "hour_mean", "hour_std", "hour_n",
+                "agg_mean", "agg_std", "agg_n"]
+
+
 def tier_history(history: DataFrame) -> DataFrame:
-    """Tiers as of each bucket (state from earlier buckets only) — the
-    tier columns of ``replay`` (slot_*, hour_*, agg_*)."""
-    return history
+    """Tiers as of each bucket (state from earlier buckets only), which
+    the replay computes in the same pass."""
+    return history.select("entity_id", "hour", *TIER_COLUMNS)
 
 
 # ------------------------------------------------------------------ shares
@@ -279,30 +291,17 @@ _REPLAY_SCHEMA = T.StructType([
 ])
 
 
-def _replay_entity(pdf: pd.DataFrame, period: int, daily: bool) -> pd.DataFrame:
-    """Replay one entity's bucket series: slot EWMA and share EWMA state before
-    and after every bucket.  Input rows are the entity's bucket keys (with the
-    bucket total) plus its sparse counts; they are merged here.  Same operation
-    order as the JVM fold and the reference, so values are bit-identical."""
-    is_key = pdf["is_key"].to_numpy(dtype=bool)
-    hours = pdf["hour"].to_numpy()
-    k_idx = np.flatnonzero(is_key)
-    k_idx = k_idx[np.argsort(hours[k_idx], kind="mergesort")]
-    h = len(k_idx)
+def _replay_entity(entity: str, x: np.ndarray, tot: np.ndarray, sec: np.ndarray, period: int,
+                   daily: bool) -> pd.DataFrame:
+    """Replay one entity's bucket series (counts, totals and unix seconds of
+    consecutive buckets): slot EWMA and share EWMA state before and after every
+    bucket.  Same operation order as the JVM fold and the reference, so values
+    are bit-identical."""
+    h = len(x)
     if h == 0:
         return pd.DataFrame({f.name: pd.Series(dtype=object) for f in _REPLAY_SCHEMA.fields})
-    key_hours = hours[k_idx]
-    # place the sparse counts on their bucket (one count row per entity and bucket)
-    x = np.zeros(h, dtype=np.int64)
-    s_idx = np.flatnonzero(~is_key)
-    if len(s_idx):
-        pos = np.searchsorted(key_hours, hours[s_idx])
-        hit = pos < h
-        hit[hit] = key_hours[pos[hit]] == hours[s_idx][hit]
-        np.add.at(x, pos[hit], pdf["x"].to_numpy()[s_idx][hit].astype(np.int64))
-    tot = pdf["total"].to_numpy()[k_idx].astype(np.int64)
-    dow_a = pdf["dow"].to_numpy()[k_idx].astype(np.int64)
-    hod_a = pdf["hod"].to_numpy()[k_idx].astype(np.int64)
+    dow_a = (sec // 86400 + 4) % 7  # 1970-01-01 was a Thursday; 0 = Sunday
+    hod_a = np.zeros(h, np.int64) if daily else sec // 3600 % 24
     slot = dow_a if daily else dow_a * 24 + hod_a
     off = int(slot[0])
     weeks = (off + h + period - 1) // period
@@ -375,7 +374,7 @@ def _replay_entity(pdf: pd.DataFrame, period: int, daily: bool) -> pd.DataFrame:
         sh_after[i], tt_after[i] = share, total
 
     return pd.DataFrame({
-        "entity_id": pdf["entity_id"].to_numpy()[k_idx], "hour": key_hours,
+        "entity_id": entity, "hour": pd.to_datetime(sec, unit="s", utc=True),
         "dow": dow_a.astype(np.int32), "hod": hod_a.astype(np.int32),
         "x": x, "total": tot,
         "prev_mean": np.where(seen, pm.reshape(-1)[cut], np.nan),
@@ -401,57 +400,59 @@ def _np_round9(x):
     return np.floor(x * scale + 0.5) / scale
 
 
-def replay(series: DataFrame, bucket: str = "hour") -> DataFrame:
+def replay(series: DataFrame, lo: Column, hi: Column, bucket: str = "hour") -> DataFrame:
     """C3 + C3b + C5b: slot state, as-of tiers and share state before and after
     every bucket of every entity, in one pass per entity.
 
-    ``series`` comes from ``dense_with_totals``: one key row per entity and
-    bucket (with the bucket total) plus the sparse count rows.  Every entity
-    has one key row per bucket, so groups are equal-sized — bounded by the
-    number of buckets, independent of signal volume (a hot entity has larger
-    numbers, not more rows).  Within an entity the slot recurrence runs week by
+    ``series`` comes from ``entity_series``: one row per entity with its sparse
+    observations.  Only these rows are shuffled; the dense rows are produced
+    where they are replayed.  Within an entity the slot recurrence runs week by
     week, vectorised over the entity's slots; the share recurrence is a scalar
     loop: O(buckets) per entity.  Computing the as-of tiers here too (prefix
-    and suffix sums per week) saves a second shuffle and two sorts of the dense
-    rows, which window functions over the replay output would need.
+    and suffix sums per week) saves a shuffle and two sorts of the dense rows,
+    which window functions over the replay output would need.
     """
-    _, period = BUCKETS[bucket]
+    secs, period = BUCKETS[bucket]
     daily = bucket == "day"
-    # An explicit partition count: it satisfies the grouping (no extra
-    # exchange) and AQE does not coalesce it, so this CPU-bound Python stage
-    # keeps full parallelism even when the input is small.
+    # An explicit partition count: AQE does not coalesce it, so this CPU-bound
+    # Python stage keeps full parallelism even when the input is small.
     parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = (series.repartition(parts, "entity_id").groupBy("entity_id")
-                 .applyInPandas(lambda pdf: _replay_entity(pdf, period, daily), _REPLAY_SCHEMA))
+
+    def run(frames):
+        for pdf in frames:
+            for e, b, obs, active, first, n in zip(pdf["entity_id"], pdf["_birth"], pdf["_obs"], pdf["_active"],
+                                                   pdf["_lo"], pdf["_nb"]):
+                if b >= n:
+                    continue
+                x, tot = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                for target, pairs, value in ((x, obs, "n"), (tot, active, "t")):
+                    if len(pairs):
+                        target[[p["i"] for p in pairs]] = [p[value] for p in pairs]
+                sec = first + np.arange(n, dtype=np.int64) * secs
+                yield _replay_entity(e, x[b:], tot[b:], sec[b:], period, daily)
+
+    out = (series.repartition(parts, "entity_id")
+                 .withColumn("_lo", F.unix_seconds(lo)).withColumn("_nb", bucket_index(hi, lo, bucket) + F.lit(1))
+                 .mapInPandas(run, _REPLAY_SCHEMA))
     # sample counts of a missing tier come back as 0: make them null
     return out.select(*[F.when(F.col(c) > 0, F.col(c)).alias(c) if c in ("slot_n", "hour_n", "agg_n")
                         else F.col(c) for c in out.columns])
 
 
-def dense_with_totals(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
-                      bucket: str = "hour") -> DataFrame:
-    """The bucket series of every catalog entity over [lo, hi] in sparse form:
-    generated key rows (entity_id, hour, dow, hod, total, is_key = true) plus the
-    sparse count rows (x, is_key = false).  The bucket totals (one row per
-    bucket) are attached with a join whose strategy Spark picks by size; the
-    counts are merged into the keys inside ``replay``'s per-entity group, so the
-    dense rows are shuffled once."""
-    from outcry.operators.counts import hourly_totals, spine_keys
-    rng = counts.where((F.col("hour") >= lo) & (F.col("hour") <= hi))
-    tot = hourly_totals(rng)
-    keys = (spine_keys(catalog, lo, hi, bucket).join(tot, "hour", "left")
-            .select("entity_id", "hour", "dow", "hod", F.lit(None).cast("long").alias("x"),
-                    F.coalesce("total", F.lit(0).cast("long")).alias("total"), F.lit(True).alias("is_key")))
-    sparse = rng.select("entity_id", "hour", F.lit(None).cast("int").alias("dow"),
-                        F.lit(None).cast("int").alias("hod"), F.col("n").cast("long").alias("x"),
-                        F.lit(None).cast("long").alias("total"), F.lit(False).alias("is_key"))
-    return keys.unionByName(sparse)
+def entity_series(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
+                  bucket: str = "hour") -> DataFrame:
+    """Input of ``replay``: per catalog entity its birth and sparse observations
+    (``counts.bucket_arrays``), and the totals of the active buckets (one value
+    per bucket of the range, the same for every entity)."""
+    totals = hourly_totals(counts)
+    return (bucket_arrays(counts, catalog, lo, hi, bucket)
+            .withColumn("_active", active_buckets(totals, lo, hi, bucket)))
 
 
-def share_history(series: DataFrame, bucket: str = "hour") -> DataFrame:
+def share_history(series: DataFrame, lo: Column, hi: Column, bucket: str = "hour") -> DataFrame:
     """Share state before and after every bucket (from the replay)."""
-    return replay(series, bucket).select("entity_id", "hour", "prev_share", "prev_total", "share",
-                                         "lifetime_total")
+    return replay(series, lo, hi, bucket).select("entity_id", "hour", "prev_share", "prev_total", "share",
+                                                 "lifetime_total")
 
 
 def lifetime_totals(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column) -> DataFrame:

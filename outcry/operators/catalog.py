@@ -8,9 +8,8 @@ Order: E2 -> E3 -> E5 -> E6 -> E7 -> E8.  A feed row is ``pos, id, name``.
   aggregate with map-side partial combine, so one key holding a third of the
   feed does not land whole in one task (a window would).
 * E7's per-provider running count uses the distributed ``ordered_rank``.
-* The provider map and alias rules are small configuration tables; the map is
-  broadcast after a size check (plain join beyond it), the alias rules compile
-  to one CASE expression (first match wins) — no join at all.
+* The provider map is joined by the strategy Spark picks for its measured size;
+  the alias rules compile to one CASE expression (first match wins), no join.
 """
 
 from __future__ import annotations
@@ -48,19 +47,10 @@ def parse_feed(feed: DataFrame) -> DataFrame:
                          .otherwise(F.col("name")).alias("display_name")))
 
 
-MAX_BROADCAST_ROWS = 100_000
-
-
-def map_provider(parsed: DataFrame, providers: DataFrame,
-                 max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def map_provider(parsed: DataFrame, providers: DataFrame) -> DataFrame:
     """Keep rows whose provider prefix is allowed; rename the provider.
-
-    The allow-list is broadcast only after its size is checked (one count of
-    a configuration-sized table); a larger list falls back to a regular join
-    whose strategy Spark chooses."""
-    small = providers.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    right = F.broadcast(providers) if small else providers
-    return parsed.join(right, "provider_key", "inner")
+    Spark picks the join by the measured size of the allow-list."""
+    return parsed.join(providers, "provider_key", "inner")
 
 
 def with_norm_key(df: DataFrame, col: str = "slug", out: str = "norm") -> DataFrame:
@@ -107,13 +97,19 @@ def merge_catalog(catalog: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def catalog_check(expected: DataFrame, catalog: DataFrame, min_rows: int) -> DataFrame:
-    """Expected ids missing from the catalog, with the catalog row count
-    and whether it meets ``min_rows``."""
-    n = catalog.agg(F.count(F.lit(1))).scalar()
-    return (expected.select("entity_id").distinct()
-                    .join(catalog.select("entity_id"), "entity_id", "left_anti")
-                    .select("entity_id", n.cast("long").alias("catalog_rows"),
-                            (n >= F.lit(min_rows)).alias("meets_min")))
+    """One ``summary`` row, also when nothing is missing, and one ``missing``
+    row per expected id without a catalog entry; every row carries the catalog
+    row count, whether it meets ``min_rows`` and the number of missing ids.  Ids
+    are compared by their normalised key (E4), so spelling variants match."""
+    n = catalog.agg(F.count(F.lit(1)).cast("long").alias("n")).scalar()
+    known = catalog.select(norm_key("entity_id").alias("_norm"))
+    missing = (expected.select("entity_id").distinct().withColumn("_norm", norm_key("entity_id"))
+               .join(known, "_norm", "left_anti").select("entity_id"))
+    counted = missing.agg(F.count(F.lit(1)).cast("long").alias("missing_rows"))
+    listed = missing.select(F.lit("missing").alias("kind"), "entity_id", counted.scalar().alias("missing_rows"))
+    return (counted.select(F.lit("summary").alias("kind"), F.lit(None).cast("string").alias("entity_id"), "missing_rows")
+            .unionByName(listed)
+            .select("kind", "entity_id", n.alias("catalog_rows"), (n >= F.lit(min_rows)).alias("meets_min"), "missing_rows"))
 
 
 def glob_to_regex(glob: str) -> str:

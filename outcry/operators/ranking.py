@@ -36,9 +36,14 @@ def ordered_rank(df: DataFrame, order: list[Column], out: str = "rank",
     w = (Window.partitionBy(*grp) if grp else Window.partitionBy(F.lit(0))) \
         .orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    res = tagged.join(stats, ["_pid", *grp])
+    stats = stats.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(grp)],
+                         "_first", "_off")
+    same = F.col("_pid") == F.col("_p")
+    for i, c in enumerate(grp):  # null groups are groups too
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    res = tagged.join(stats, same)
     return (res.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + F.lit(1)).cast("long"))
-               .drop("_pid", "_mid", "_cnt", "_first", "_off"))
+               .drop("_pid", "_mid", "_p", "_first", "_off", *[f"_g{i}" for i in range(len(grp))]))
 
 
 def list_catalog(catalog: DataFrame) -> DataFrame:
@@ -64,8 +69,9 @@ def rank_by_score(status: DataFrame, direction: str = "desc") -> DataFrame:
 
 
 def rank_by_name(status: DataFrame, direction: str = "asc") -> DataFrame:
-    """leaderboard by display name (case-insensitive first, then exact)."""
-    order = [_dir(F.lower("display_name"), direction), _dir(F.col("display_name"), direction),
+    """leaderboard by display name in root-locale Unicode collation (letters
+    before accents before case), then by code point."""
+    order = [_dir(F.collate(F.col("display_name"), "UNICODE"), direction), _dir(F.col("display_name"), direction),
              F.col("sort_order").asc(), F.col("entity_id").asc()]
     return ordered_rank(status, order)
 

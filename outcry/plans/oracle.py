@@ -15,7 +15,7 @@ from outcry import constants as K
 from outcry.plans import queries as Q
 
 
-def _case(col: str, mapping: dict, default: str) -> str:
+def _case(col: str, mapping: dict, default) -> str:
     whens = " ".join(f"WHEN {col} = {_lit(k)} THEN {_lit(v)}" for k, v in mapping.items())
     return f"CASE {whens} ELSE {_lit(default)} END"
 
@@ -44,9 +44,12 @@ def d(v: float) -> str:
 
 # ------------------------------------------------------------------ bindings
 def _sig(kind: str) -> str:
-    if kind == "ev":
+    if kind in ("ev", "born"):
         return ("SELECT event_id AS signal_id, event_type AS entity_id, "
                 "CAST(user_id AS VARCHAR) AS actor_key, ts FROM events")
+    if kind == "ontime":  # without the events that the capped streams get late
+        return (f"{_sig('ev')} WHERE NOT (event_id % {Q.LATE_EVERY} = 0 AND ts < "
+                f"(SELECT date_trunc('second', min(ts)) + INTERVAL {Q.LATE_DAYS} DAY FROM events))")
     if kind == "evk":
         return ("SELECT event_id AS signal_id, json_extract_string(props, '$.k') AS entity_id, "
                 "CAST(user_id AS VARCHAR) AS actor_key, ts FROM events")
@@ -57,6 +60,7 @@ def _sig(kind: str) -> str:
 
 
 def _cat(kind: str) -> str:
+    kind = "ev" if kind in ("ontime", "born") else kind
     ents = f"SELECT DISTINCT entity_id FROM ({_sig(kind)}) WHERE entity_id IS NOT NULL"
     if kind == "ev":
         return (f"SELECT entity_id, {initcap('entity_id')} AS display_name, "
@@ -72,6 +76,10 @@ def _cat(kind: str) -> str:
             f"{num} AS sort_order FROM ({ents})")
 
 
+def _born_hours() -> str:
+    return _case("c.entity_id", B.EV_BORN_AFTER, 0)
+
+
 def base_ctes(kind: str = "ev", cap: int = K.RATE_CAP) -> str:
     """sig, cat, counts (entity_id, hour, n, dow, hod), bounds (lo, hi)."""
     unit = "day" if kind == "ret" else "hour"
@@ -86,17 +94,19 @@ capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY actor_key, h
            WHERE rl_rank <= {cap}),
 dd AS (SELECT actor_key, entity_id, hour, min(signal_id) AS signal_id, max(ts) AS created_at
        FROM capped GROUP BY actor_key, entity_id, hour),
-counts AS (SELECT entity_id, hour, count(*) AS n, CAST(dayofweek(hour) AS INTEGER) AS dow,
-                  {hod_expr} AS hod FROM dd GROUP BY entity_id, hour),
-bounds AS (SELECT min(hour) AS lo, max(hour) AS hi FROM counts)"""
+seen AS (SELECT entity_id, hour, count(*) AS n, CAST(dayofweek(hour) AS INTEGER) AS dow,
+                {hod_expr} AS hod FROM dd GROUP BY entity_id, hour),
+bounds AS (SELECT min(hour) AS lo, max(hour) AS hi FROM seen),
+birth AS (SELECT c.entity_id, b.lo + to_hours({_born_hours() if kind == 'born' else '0'}) AS since FROM cat c CROSS JOIN bounds b),
+counts AS (SELECT s.* FROM seen s JOIN birth f ON f.entity_id = s.entity_id AND s.hour >= f.since)"""
 
 
 def spine_ctes(kind: str = "ev", hi_expr: str = "b.hi") -> str:
     """spine (entity_id, hour, x, dow, hod, total) over [lo, hi_expr]."""
     step = "INTERVAL 1 DAY" if kind == "ret" else "INTERVAL 1 HOUR"
     return f""",
-grid AS (SELECT c.entity_id, unnest(generate_series(b.lo, {hi_expr}, {step})) AS hour
-         FROM cat c CROSS JOIN bounds b),
+grid AS (SELECT c.entity_id, unnest(generate_series(c.since, {hi_expr}, {step})) AS hour
+         FROM birth c CROSS JOIN bounds b),
 tot AS (SELECT hour, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY hour),
 spine AS (SELECT g.entity_id, g.hour, coalesce(k.n, 0) AS x,
                  CAST(dayofweek(g.hour) AS INTEGER) AS dow, CAST(hour(g.hour) AS INTEGER) AS hod,
@@ -204,8 +214,7 @@ r1 AS (SELECT *,
                                        ELSE greatest(m_r * {d(L.Z_FALLBACK_SCALE)}, 1.0::DOUBLE) END) END AS z_raw,
    CASE WHEN m_r IS NULL THEN 0.0::DOUBLE
         WHEN share_raw = 0.0::DOUBLE THEN 0.0::DOUBLE
-        WHEN exp_raw <= 0.0::DOUBLE THEN (CASE WHEN share_raw > 0.0::DOUBLE THEN {d(L.D_NO_EXPECTATION)}
-                                              ELSE 1.0::DOUBLE END)
+        WHEN exp_raw <= 0.0::DOUBLE THEN {d(L.D_NO_EXPECTATION)}
         ELSE share_raw / exp_raw END AS d_raw
  FROM r0),
 r2 AS (SELECT *,
@@ -352,7 +361,7 @@ def _fmt(expr: str, dp: int) -> str:
 def _digest(kind: str) -> str:
     k = K.TOP_PEERS
     n_txt = "CAST(n_signals AS VARCHAR) || ' signals/hr'"
-    score_txt = f"CASE WHEN score > 0 THEN {_fmt('score', 1)} || '/5 (' || status || ')' ELSE 'calibrating' END"
+    score_txt = f"CASE WHEN score > 0 THEN {_fmt('score', 1)} || '/5 (' || status || ')' ELSE 'no score yet' END"
     pre = snapshot_ctes(kind)
     return pre + f""",
 top AS (SELECT entity_id AS id, display_name || ' ' || {score_txt} || ' ' || {n_txt} AS line,
@@ -364,13 +373,13 @@ peers AS (SELECT s.entity_id, string_agg(t.line, '; ' ORDER BY t.rk) AS peers
           GROUP BY s.entity_id)
 SELECT s.entity_id,
   CASE WHEN s.score > 0 THEN s.display_name || ': ' || {score_txt.replace('score', 's.score').replace('status', 's.status')}
-       ELSE s.display_name || ': calibrating (' || {n_txt.replace('n_signals', 's.n_signals')} || ')' END AS headline,
+       ELSE s.display_name || ': no score yet (' || {n_txt.replace('n_signals', 's.n_signals')} || ')' END AS headline,
   CASE WHEN s.score > 0 THEN concat_ws(', ', {n_txt.replace('n_signals', 's.n_signals')},
          CASE WHEN coalesce(s.baseline_mean, 0.0) > 0 THEN 'baseline ~' || {_fmt('coalesce(s.baseline_mean, 0.0)', 1)} END,
          CASE WHEN s.z_score <> 0 THEN 'z=' || {_fmt('s.z_score', 2)} END)
-       ELSE 'Need more signals to build baseline' END AS detail,
-  CASE WHEN s.score <= 0 THEN NULL WHEN s.z_score > 1.5 THEN 'Getting more signals than usual'
-       WHEN s.z_score < -0.5 THEN 'Quieter than usual' END AS flag,
+       ELSE 'history too short for a baseline' END AS detail,
+  CASE WHEN s.score <= 0 THEN NULL WHEN s.z_score > 1.5 THEN 'busier than its baseline'
+       WHEN s.z_score < -0.5 THEN 'calmer than its baseline' END AS flag,
   coalesce((SELECT string_agg(line, '; ' ORDER BY rk) FROM
              (SELECT line, rk FROM top WHERE id <> s.entity_id ORDER BY rk LIMIT {k})), '') AS peers
 FROM snap s"""
@@ -418,6 +427,10 @@ def oracle_sql() -> dict[str, str]:
         "(coalesce(known, false) AND NOT missing) ORDER BY ts, signal_id) AS rk FROM t) "
         f"SELECT signal_id, CASE WHEN missing THEN 'missing_entity' WHEN NOT ok THEN 'unknown_entity' "
         f"WHEN rk > {cap_h} THEN 'rate_limited' ELSE 'accepted' END AS reason FROM r")
+    actorless = ("SELECT signal_id, entity_id, CASE WHEN CAST(actor_key AS BIGINT) % 7 <> 0 THEN actor_key END AS actor_key, "
+                 f"ts FROM ({sig})")
+    for key in ("a8_admission_tags", "a8_admission_report"):
+        o[key + "_no_actor"] = o[key].replace(f"sig AS ({sig})", f"sig AS ({actorless})")
     o["a9_dedup"] = _ev_with(f"\nSELECT signal_id, actor_key, entity_id, {iso('hour')} AS hour, "
                              "CAST(dayofweek(hour) AS INTEGER) AS dow, CAST(hour(hour) AS INTEGER) AS hod, "
                              "strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM dd")
@@ -440,6 +453,8 @@ def oracle_sql() -> dict[str, str]:
                               "CAST(sum(n) OVER (PARTITION BY hour) AS DOUBLE) ELSE 0.0 END AS share FROM counts")
     o["b6_dense_spine"] = ("WITH" + base_ctes("ev") + spine_ctes("ev")
                            + f"\nSELECT entity_id, {iso('hour')} AS hour, CAST(x AS BIGINT) AS n, dow, hod FROM spine")
+    o["b6_dense_spine_born"] = ("WITH" + base_ctes("born") + spine_ctes("born")
+                                + f"\nSELECT entity_id, {iso('hour')} AS hour, CAST(x AS BIGINT) AS n, dow, hod FROM spine")
     o["b7_trend"] = _trend_sql(f"SELECT entity_id, pos, {iso('hour')} AS hour, n FROM trend")
     o["f5_scaled_trend"] = _trend_sql(f"SELECT entity_id, pos, {iso('hour')} AS hour, n, CAST(n AS DOUBLE) / "
                                       "CAST(greatest(max(n) OVER (PARTITION BY entity_id), 1) AS DOUBLE) AS scaled FROM trend")
@@ -454,6 +469,7 @@ def oracle_sql() -> dict[str, str]:
     o["c2_slot_baselines"] = full + f"""
 SELECT entity_id, dow, hod, mean, std, n, {iso('hour')} AS last_hour FROM fold
 QUALIFY row_number() OVER (PARTITION BY entity_id, dow, hod ORDER BY k DESC) = 1"""
+    o["c2_slot_baselines_born"] = o["c2_slot_baselines"].replace(base_ctes("ev"), base_ctes("born"))
     o["c4_apply_hour"] = ("WITH RECURSIVE" + base_ctes("ev") + spine_ctes("ev", "b.hi - INTERVAL 1 HOUR")
                           + fold_ctes() + f"""
 SELECT entity_id, dow, hod, mean, std, n, {iso('hour')} AS last_hour FROM fold
@@ -498,6 +514,8 @@ LEFT JOIN counts k ON k.entity_id = s.entity_id AND k.hour = t.th
 WHERE s.entity_id = '{focus}'"""
     o["d12_score_history"] = history_sql("ev")
     o["d12_score_history_evk"] = history_sql("evk")
+    o["d12_score_history_born"] = history_sql("born")
+    o["d9_from_state"] = o["d9_status_snapshot"]
     o["ret_daily_score"] = history_sql("ret")
     o["ret_daily_snapshot"] = snapshot_ctes("ret") + f"\nSELECT {STATUS} FROM snap"
 
@@ -517,10 +535,16 @@ WHERE s.entity_id = '{focus}'"""
     o["e8_merge_catalog"] = feed + ("SELECT entity_id, display_name, provider, sort_order, false AS added FROM pcatalog "
                                     "UNION ALL SELECT slug AS entity_id, display_name, provider, sort_order, true AS added "
                                     "FROM added WHERE slug NOT IN (SELECT entity_id FROM pcatalog)")
-    o["e9_catalog_check"] = feed + (
-        "SELECT DISTINCT slug AS entity_id, (SELECT count(*) FROM pcatalog) AS catalog_rows, "
-        f"(SELECT count(*) FROM pcatalog) >= {Q.CATALOG_MIN_ROWS} AS meets_min FROM mapped "
-        "WHERE slug NOT IN (SELECT entity_id FROM pcatalog)")
+    def check(expected: str) -> str:
+        norm = lambda e: f"regexp_replace(lower({e}), '[^a-z0-9]', '', 'g')"
+        return feed.rstrip() + f""", expected AS ({expected}),
+missing AS (SELECT entity_id FROM expected WHERE {norm('entity_id')} NOT IN (SELECT {norm('entity_id')} FROM pcatalog))
+SELECT k.*, (SELECT count(*) FROM pcatalog) AS catalog_rows,
+       (SELECT count(*) FROM pcatalog) >= {Q.CATALOG_MIN_ROWS} AS meets_min, (SELECT count(*) FROM missing) AS missing_rows
+FROM (SELECT 'summary' AS kind, CAST(NULL AS VARCHAR) AS entity_id UNION ALL SELECT 'missing', entity_id FROM missing) k"""
+
+    o["e9_catalog_check"] = check("SELECT DISTINCT slug AS entity_id FROM mapped")
+    o["e9_catalog_complete"] = check("SELECT DISTINCT upper(entity_id) AS entity_id FROM pcatalog")
     o["e10_resolve_alias"] = feed + (f"SELECT pos, id, entity_id FROM (SELECT pos, id, {_alias_case()} AS entity_id "
                                      "FROM feed) WHERE entity_id IS NOT NULL")
 
@@ -528,6 +552,7 @@ WHERE s.entity_id = '{focus}'"""
     o["f1_rank_score_desc"] = _leader(_score_order("DESC"))
     o["f1_rank_score_asc"] = _leader(_score_order("ASC"))
     o["f2_rank_name"] = _leader("lower(display_name) DESC, display_name DESC, sort_order ASC, entity_id ASC")
+    o["f2_rank_name_asc"] = _leader("lower(display_name) ASC, display_name ASC, sort_order ASC, entity_id ASC")
     o["f3_search"] = _evk_snap(
         f"SELECT entity_id, display_name, provider, score FROM snap WHERE "
         f"contains(lower(display_name), '{Q.SEARCH}') OR contains(lower(provider), '{Q.SEARCH}') "
@@ -540,20 +565,30 @@ WHERE s.entity_id = '{focus}'"""
     o["f4b_first_peers"] = _evk_snap(
         "SELECT CAST(row_number() OVER (ORDER BY sort_order, entity_id) AS BIGINT) AS rank, entity_id, "
         f"display_name, n_signals, score, status FROM snap WHERE n_signals > 0 QUALIFY rank <= {k}")
+    for key in ("f4_top_peers", "f4b_first_peers"):
+        o[key + "_of"] = o[key].replace("WHERE n_signals > 0 QUALIFY", f"WHERE n_signals > 0 AND entity_id <> '{Q.PEERS_OF}' QUALIFY")
     o["f9_flags"] = _evk_snap(
         "SELECT entity_id, z_score, score, CASE WHEN score <= 0 THEN NULL WHEN z_score > 1.5 THEN "
-        "'Getting more signals than usual' WHEN z_score < -0.5 THEN 'Quieter than usual' END AS flag FROM snap")
+        "'busier than its baseline' WHEN z_score < -0.5 THEN 'calmer than its baseline' END AS flag FROM snap")
     # ---- G: streams close a bucket once the watermark (2 h on the bucket
     # start) passes its end, so closed buckets are those <= last - 3 h.
     closed = "b.hi - INTERVAL 3 HOUR"
     o["g1_stream_counts"] = _ev_with(f"\nSELECT k.entity_id, {iso('k.hour')} AS hour, k.n FROM counts k, bounds b "
                                      f"WHERE k.hour <= {closed}")
     o["g2_stream_dedup"] = _ev_with(f"\nSELECT actor_key, entity_id, {iso('hour')} AS hour FROM dd")
-    o["g3_stream_rate_cap"] = o["a7_rate_cap_hour"]
+    o["g3_stream_rate_cap"] = o["a7_rate_cap_hour"].replace(f"sig AS ({sig})", f"sig AS ({_sig('ontime')})")
+    o["g6_late_rows"] = (f"SELECT {iso('hour')} AS hour, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS hour FROM ({sig}) "
+                         f"WHERE signal_id NOT IN (SELECT signal_id FROM ({_sig('ontime')}))) GROUP BY hour")
+    o["g4_capped_close"] = ("WITH RECURSIVE" + base_ctes("ontime", cap_h) + spine_ctes("ontime", closed) + fold_ctes() + f"""
+SELECT entity_id, dow, hod, mean, std, n, {iso('hour')} AS last_hour FROM fold
+QUALIFY row_number() OVER (PARTITION BY entity_id, dow, hod ORDER BY k DESC) = 1""")
     g4 = "WITH RECURSIVE" + base_ctes("ev") + spine_ctes("ev", closed) + fold_ctes()
     o["g4_hour_close"] = g4 + f"""
 SELECT entity_id, dow, hod, mean, std, n, {iso('hour')} AS last_hour FROM fold
 QUALIFY row_number() OVER (PARTITION BY entity_id, dow, hod ORDER BY k DESC) = 1"""
+    o["c4_apply_hour_shares"] = ("WITH RECURSIVE" + base_ctes("ev") + spine_ctes("ev", "b.hi - INTERVAL 1 HOUR") + share_ctes() + """,
+last AS (SELECT * FROM sfold QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY k DESC) = 1)
+SELECT c.entity_id, l.share AS expected_share, l.ltotal AS total FROM cat c LEFT JOIN last l ON l.entity_id = c.entity_id""")
     o["g4_share_close"] = ("WITH RECURSIVE" + base_ctes("ev") + spine_ctes("ev", closed) + share_ctes() + """,
 last AS (SELECT * FROM sfold QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY k DESC) = 1)
 SELECT c.entity_id, l.share AS expected_share, l.ltotal AS total FROM cat c LEFT JOIN last l ON l.entity_id = c.entity_id""")

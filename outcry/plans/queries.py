@@ -10,12 +10,15 @@ Defaults: as_of = last bucket with data; the single-entity views use
 
 from __future__ import annotations
 
+import datetime as dt
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outcry import bindings as B
+from outcry.constants import RATE_CAP, TREND_BUCKETS
 from outcry.functions.keys import actor_key
 from outcry.functions.time import bucket_start, dow, hod, iso_hour
 from outcry.operators import admission as A
@@ -31,6 +34,7 @@ from outcry.sources.signals import parse_payload, table
 # Fixed query parameters.
 FOCUS = "error"            # entity of the single-entity views (EV)
 LOCAL_TZ = "Asia/Kolkata"  # time zone of the local labels (F7)
+PEERS_OF = "2"             # entity of the peer lists (EVK)
 SEARCH = "o"               # search text of F3
 CAP_HOUR = 1               # A7 fixture: cap per (actor, hour)
 CAP_DAY = 2                # A7 fixture: cap per (actor, day)
@@ -41,24 +45,17 @@ ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 # ------------------------------------------------------------------ helpers
 class Ctx:
-    """Per-call frames of one binding (lazy DataFrames; nothing collected)."""
+    """Frames of one binding.  Building it ingests the binding's signals once:
+    the counts are written to the shared folder (sorted by bucket, so that
+    Parquet statistics on ``hour`` skip row groups) and their bounds are read.
+    The binding's catalog is every entity seen, so counts need no catalog filter
+    and the catalog comes from the counts (one scan of the raw signals)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, kind: str = "ev"):
         self.spark, self.sf_dir, self.kind = spark, sf_dir, kind
         self.bucket = "day" if kind == "ret" else "hour"
-        if kind == "ev":
-            self.signals = B.ev_signals(spark, sf_dir)
-        elif kind == "evk":
-            self.signals = B.evk_signals(spark, sf_dir)
-        else:
-            self.signals = B.ret_signals(spark, sf_dir)
-        # The binding's catalog is every entity seen, so counts need no catalog
-        # filter and the catalog comes from the small counts table (one scan
-        # of the raw signals instead of two).
-        # Sorted by bucket inside each file: Parquet row-group statistics on
-        # ``hour`` then let the pushed-down range filters (trend, current
-        # bucket, fold ranges) skip row groups.
-        self.counts = materialize(P.signal_counts(self.signals, None, bucket=self.bucket)
+        signals = {"ev": B.ev_signals, "evk": B.evk_signals, "ret": B.ret_signals}[kind](spark, sf_dir)
+        self.counts = materialize(P.signal_counts(signals, None, bucket=self.bucket)
                                   .sortWithinPartitions("hour"), f"counts-{kind}")
         self.catalog = B.catalog_from(self.counts, kind)
         self.lo, self.hi = CN.bounds(self.counts)
@@ -74,6 +71,19 @@ class Ctx:
         return P.status_snapshot(self.counts, self.catalog, self.as_of, self.lo, self.bucket)
 
 
+class RecentCtx:
+    """EV frames of the last ``hours`` buckets: cap, dedup and counts are per
+    bucket, so only the raw signals of these buckets are read (the range is in
+    the scan's pushed filters)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, hours: int = 1):
+        last = B.ev_last_hour(spark, sf_dir)
+        hour = dt.timedelta(hours=1)
+        self.as_of = F.timestamp_seconds(F.lit(int(last.replace(tzinfo=dt.timezone.utc).timestamp())).cast("long"))
+        self.counts = P.signal_counts(B.ev_signals(spark, sf_dir, last - (hours - 1) * hour, last + hour), None)
+        self.catalog = B.ev_catalog(spark, sf_dir)
+
+
 def _iso(c):
     return iso_hour(c)
 
@@ -108,18 +118,18 @@ def a6_unknown_rejects(spark, sf):
     return A.unknown_rejects(sig, B.ev_partial_catalog(spark, sf)).select("signal_id", "entity_id", "actor_key")
 
 
-def _capped(spark, sf, k, bucket):
+def _first_k(spark, sf, k, bucket):
     sig = B.ev_signals(spark, sf)
     kept = A.rate_cap(A.admit_known(sig, B.ev_catalog(spark, sf)), k=k, bucket=bucket)
     return kept.select("signal_id", "entity_id", "actor_key", _iso("hour").alias("bucket"))
 
 
 def a7_rate_cap_hour(spark, sf):
-    return _capped(spark, sf, CAP_HOUR, "hour")
+    return _first_k(spark, sf, CAP_HOUR, "hour")
 
 
 def a7_rate_cap_day(spark, sf):
-    return _capped(spark, sf, CAP_DAY, "day")
+    return _first_k(spark, sf, CAP_DAY, "day")
 
 
 def a8_admission_report(spark, sf):
@@ -135,6 +145,23 @@ def a8_admission_tags(spark, sf):
     return adm.select("signal_id", "reason")
 
 
+def _actorless(spark, sf):
+    """EV signals in which every seventh user is unknown (null actor)."""
+    return B.ev_signals(spark, sf).withColumn(
+        "actor_key", F.when(F.col("actor_key").cast("long") % 7 != 0, F.col("actor_key")))
+
+
+def a8_admission_tags_no_actor(spark, sf):
+    """A8 with null actors: they share one quota per bucket."""
+    adm = A.admission(_actorless(spark, sf), B.ev_partial_catalog(spark, sf), k=CAP_HOUR)
+    return adm.select("signal_id", "reason")
+
+
+def a8_admission_report_no_actor(spark, sf):
+    rep = A.admission_report(_actorless(spark, sf), B.ev_partial_catalog(spark, sf), k=CAP_HOUR)
+    return rep.select("reason", _iso("hour").alias("hour"), "n")
+
+
 def a9_dedup(spark, sf):
     # The EV catalog is every event type, so the known-entity filter reduces to
     # "entity present" and the raw table is scanned once.
@@ -177,12 +204,12 @@ def b2_hourly_totals(spark, sf):
 
 
 def b3_count_at(spark, sf):
-    x = Ctx(spark, sf)
+    x = RecentCtx(spark, sf)
     return CN.count_at(x.counts, FOCUS, x.as_of).select("entity_id", _iso("hour").alias("hour"), "n")
 
 
 def b4_peer_counts(spark, sf):
-    x = Ctx(spark, sf)
+    x = RecentCtx(spark, sf)
     return _counts_out(CN.peer_counts(x.counts, FOCUS, x.as_of))
 
 
@@ -197,8 +224,23 @@ def b6_dense_spine(spark, sf):
     return sp.select("entity_id", _iso("hour").alias("hour"), "n", "dow", "hod")
 
 
+class BornCtx(Ctx):
+    """EV with a catalog in which some entities exist only from a later hour."""
+
+    def __init__(self, spark, sf):
+        super().__init__(spark, sf)
+        self.catalog = B.ev_born_catalog(spark, sf, self.lo)
+        self.counts = CN.born(self.counts, self.catalog)
+
+
+def b6_dense_spine_born(spark, sf):
+    x = BornCtx(spark, sf)
+    sp = CN.dense_spine(x.counts, x.catalog, x.lo, x.hi)
+    return sp.select("entity_id", _iso("hour").alias("hour"), "n", "dow", "hod")
+
+
 def _trend(spark, sf):
-    x = Ctx(spark, sf)
+    x = RecentCtx(spark, sf, TREND_BUCKETS)
     return CN.trend(x.counts, x.catalog, x.as_of)
 
 
@@ -230,6 +272,11 @@ def c2_slot_baselines(spark, sf):
     return _state_out(C.slot_baselines(x.counts, x.catalog, x.lo, x.hi))
 
 
+def c2_slot_baselines_born(spark, sf):
+    x = BornCtx(spark, sf)
+    return _state_out(C.slot_baselines(x.counts, x.catalog, x.lo, x.hi))
+
+
 def c3_slot_history(spark, sf):
     x = Ctx(spark, sf)
     h = C.slot_history(x.counts, x.catalog, x.lo, x.hi)
@@ -237,8 +284,7 @@ def c3_slot_history(spark, sf):
                     "prev_mean", "prev_std", "prev_n", "mean", "std", "n")
 
 
-TIER_COLS = ["slot_mean", "slot_std", "slot_n", "hour_mean", "hour_std", "hour_n",
-             "agg_mean", "agg_std", "agg_n"]
+TIER_COLS = C.TIER_COLUMNS
 
 
 def c3b_tier_history(spark, sf):
@@ -247,13 +293,42 @@ def c3b_tier_history(spark, sf):
     return h.select("entity_id", _iso("hour").alias("hour"), *TIER_COLS)
 
 
-def c4_apply_hour(spark, sf):
-    """C2 state over [lo, as_of - 2h], then the closed hour as_of - 1h applied
-    incrementally: equals c2 over [lo, as_of - 1h]."""
+def _close(x: Ctx, *until: int) -> str:
+    """State root after closing the history in one batch up to each of
+    ``until`` (unix seconds): the batch form of the hourly job.  A batch reads
+    and rewrites only the slot partitions of its buckets."""
+    from outcry.streaming import jobs as G
+    root = _scratch(x.spark, "state")
+    closer = G.BucketCloser(x.spark, x.catalog, root)
+    sec, lo = F.unix_seconds("hour"), None
+    for k, hi in enumerate(until):
+        part = x.counts.where((sec <= F.lit(hi)) & (F.lit(True) if lo is None else sec > F.lit(lo)))
+        closer(part.select("entity_id", "hour", "n"), k, hi)
+        lo = hi
+    return root
+
+
+def _seconds(x: Ctx) -> tuple[int, int]:
+    r = x.counts.agg(F.unix_seconds(F.min("hour")).alias("lo"), F.unix_seconds(F.max("hour")).alias("hi")).first()
+    return r["lo"], r["hi"]
+
+
+def _applied_hour(spark, sf):
+    """State through as_of - 2h, then the closed hour as_of - 1h as one batch."""
+    from outcry.streaming import jobs as G
     x = Ctx(spark, sf)
-    before = x.before()
-    prior = C.slot_baselines(x.counts, x.catalog, x.lo, P.prev_bucket(before))
-    return _state_out(C.apply_bucket(prior, x.counts, x.catalog, before))
+    _, hi = _seconds(x)
+    return G.closed_state(spark, _close(x, hi - 7200, hi - 3600))
+
+
+def c4_apply_hour(spark, sf):
+    """The slots after the one-bucket job: equals c2 over [lo, as_of - 1h]."""
+    return _state_out(_applied_hour(spark, sf)[0])
+
+
+def c4_apply_hour_shares(spark, sf):
+    """The shares after the one-bucket job: equals c5 over [lo, as_of - 1h]."""
+    return _applied_hour(spark, sf)[1].select("entity_id", "expected_share", "total")
 
 
 def c4_close_batches(spark, sf):
@@ -262,14 +337,8 @@ def c4_close_batches(spark, sf):
     equals the one-shot fold ``c2_slot_baselines``."""
     from outcry.streaming import jobs as G
     x = Ctx(spark, sf)
-    r = x.counts.agg(F.unix_seconds(F.min("hour")).alias("lo"), F.unix_seconds(F.max("hour")).alias("hi")).first()
-    mid = (r["lo"] + r["hi"]) // 2
-    root = _scratch(spark, "c4b")
-    closer = G.BucketCloser(spark, x.catalog, f"{root}/state")
-    sec = F.unix_seconds("hour")
-    closer(x.counts.where(sec <= F.lit(mid)).select("entity_id", "hour", "n"), 0)
-    closer(x.counts.where(sec > F.lit(mid)).select("entity_id", "hour", "n"), 1)
-    base, _ = G.closed_state(spark, f"{root}/state")
+    lo, hi = _seconds(x)
+    base, _ = G.closed_state(spark, _close(x, lo + (hi - lo) // 7200 * 3600, hi))
     return _state_out(base)
 
 
@@ -280,7 +349,7 @@ def c5_share_baselines(spark, sf):
 
 def c5b_share_history(spark, sf):
     x = Ctx(spark, sf)
-    h = C.share_history(C.dense_with_totals(x.counts, x.catalog, x.lo, x.hi))
+    h = C.share_history(C.entity_series(x.counts, x.catalog, x.lo, x.hi), x.lo, x.hi)
     return h.select("entity_id", _iso("hour").alias("hour"), "prev_share", "prev_total",
                     "share", "lifetime_total")
 
@@ -320,6 +389,17 @@ def d9_status_snapshot(spark, sf):
     return Ctx(spark, sf).snapshot()
 
 
+def d9_from_state(spark, sf):
+    """D9 as a service answers it: the history is closed into stored state once,
+    the status reads that state and the current bucket only."""
+    from outcry.streaming import jobs as G
+    x = Ctx(spark, sf)
+    _, hi = _seconds(x)
+    baselines, shares = G.closed_state(spark, _close(x, hi - 3600))
+    now = RecentCtx(spark, sf)
+    return P.status_from_state(now.catalog, baselines, shares, now.counts, now.as_of)
+
+
 def d8_score_entity(spark, sf):
     return P.score_entity(Ctx(spark, sf).snapshot(), FOCUS)
 
@@ -338,6 +418,11 @@ def d12_score_history(spark, sf):
     return P.score_history(x.counts, x.catalog, x.lo, x.hi)
 
 
+def d12_score_history_born(spark, sf):
+    x = BornCtx(spark, sf)
+    return P.score_history(x.counts, x.catalog, x.lo, x.hi)
+
+
 def d12_score_history_evk(spark, sf):
     x = Ctx(spark, sf, "evk")
     return P.score_history(x.counts, x.catalog, x.lo, x.hi)
@@ -402,6 +487,12 @@ def e9_catalog_check(spark, sf):
     return E.catalog_check(expected, B.part_catalog(spark, sf), CATALOG_MIN_ROWS)
 
 
+def e9_catalog_complete(spark, sf):
+    """E9 when nothing is missing: the summary row alone."""
+    cat = B.part_catalog(spark, sf)
+    return E.catalog_check(cat.select(F.upper("entity_id").alias("entity_id")), cat, CATALOG_MIN_ROWS)
+
+
 def e10_resolve_alias(spark, sf):
     feed = B.part_feed(spark, sf)
     return E.resolve_alias(feed, "id", B.PART_ALIAS_RULES).select("pos", "id", "entity_id")
@@ -427,6 +518,10 @@ def f2_rank_name(spark, sf):
     return R.rank_by_name(_evk_snapshot(spark, sf), "desc").select(*LEADER_COLS)
 
 
+def f2_rank_name_asc(spark, sf):
+    return R.rank_by_name(_evk_snapshot(spark, sf), "asc").select(*LEADER_COLS)
+
+
 def f3_search(spark, sf):
     return R.search_entities(_evk_snapshot(spark, sf), SEARCH) \
             .select("entity_id", "display_name", "provider", "score")
@@ -436,6 +531,15 @@ def f4_top_peers(spark, sf):
     return R.top_peers(_evk_snapshot(spark, sf), None).select(*LEADER_COLS)
 
 
+def f4_top_peers_of(spark, sf):
+    """F4 seen from one entity, which is not its own peer."""
+    return R.top_peers(_evk_snapshot(spark, sf), PEERS_OF).select(*LEADER_COLS)
+
+
+def f4b_first_peers_of(spark, sf):
+    return R.first_peers(_evk_snapshot(spark, sf), PEERS_OF).select(*LEADER_COLS)
+
+
 def f4b_first_peers(spark, sf):
     return R.first_peers(_evk_snapshot(spark, sf), None).select(*LEADER_COLS)
 
@@ -482,43 +586,92 @@ def g2_stream_dedup(spark, sf):
     return spark.read.parquet(f"{root}/out").select("actor_key", "entity_id", _iso("hour").alias("hour"))
 
 
+SLICES = 4                 # time-ordered input files of the capped streams
+LATE_EVERY, LATE_DAYS = 37, 3  # events held back and delivered last: every n-th of the first days
+
+
+def _sliced_events(spark, sf, late: bool) -> str:
+    """A folder with the events as time-ordered files; ``late`` holds some early
+    ones back for a last file, far behind the watermark by then."""
+    root = _scratch(spark, "events")
+    ev = table(spark, sf, "events")
+    sec = F.unix_seconds(F.col("ts").cast("timestamp"))
+    r = ev.agg(F.min(sec).alias("lo"), F.max(sec).alias("hi")).first()
+    held = (F.col("event_id") % LATE_EVERY == 0) & (sec < F.lit(r["lo"] + LATE_DAYS * 86400)) if late else F.lit(False)
+    step = (r["hi"] - r["lo"]) // SLICES + 1
+    for k in range(SLICES):
+        ev.where(~held & (sec >= r["lo"] + k * step) & (sec < r["lo"] + (k + 1) * step)) \
+            .repartition(1).write.mode("append").parquet(root)
+        time.sleep(0.05)  # the file source goes by modification time
+    if late:
+        ev.where(held).repartition(1).write.mode("append").parquet(root)
+    return root
+
+
+def _capped(spark, sf, k: int, late: bool = False):
+    """(root, catalog) after the rate cap ran over the sliced events, one file a
+    micro-batch; accepted signals are in root/capped."""
+    from outcry.sources.signals import stream_signals
+    from outcry.streaming import jobs as G
+    root = _scratch(spark, "g")
+    cat = materialize(B.ev_catalog(spark, sf), "catalog-ev")
+    src = stream_signals(spark, _sliced_events(spark, sf, late), table(spark, sf, "events").schema, signal_id="event_id",
+                         entity="event_type", actor="user_id", ts="ts", max_files_per_trigger=1)
+    capper = G.RateCapper(spark, f"{root}/cap", f"{root}/capped", k=k)
+    G.run_available_now(src.join(cat.select("entity_id"), "entity_id", "left_semi"), f"{root}/ckpt-cap",
+                        foreach_batch=capper)
+    return root, cat
+
+
 def g3_stream_rate_cap(spark, sf):
+    root, _ = _capped(spark, sf, CAP_HOUR, late=True)
+    return spark.read.parquet(f"{root}/capped").select("signal_id", "entity_id", "actor_key",
+                                                       _iso("hour").alias("bucket"))
+
+
+def g6_late_rows(spark, sf):
+    """Attempts behind the watermark, per bucket."""
     from outcry.streaming import jobs as G
-    root = _scratch(spark, "g3")
-    src = _event_stream(spark, sf).join(B.ev_catalog(spark, sf).select("entity_id"), "entity_id", "left_semi")
-    capper = G.RateCapper(spark, f"{root}/state", f"{root}/out", k=CAP_HOUR)
-    G.run_available_now(src, f"{root}/ckpt", foreach_batch=capper)
-    return spark.read.parquet(f"{root}/out").select("signal_id", "entity_id", "actor_key",
-                                                    _iso("hour").alias("bucket"))
+    root, _ = _capped(spark, sf, CAP_HOUR, late=True)
+    return (G.late_attempts(spark, f"{root}/cap").groupBy("hour").agg(F.count(F.lit(1)).cast("long").alias("n"))
+            .select(_iso("hour").alias("hour"), "n"))
 
 
-def _closed_state(spark, sf):
+def _closed_state(spark, sf, k: int, late: bool = False):
+    """The whole chain: cap, dedup, counts, close."""
     from outcry.streaming import jobs as G
-    root = _scratch(spark, "g4")
-    cat = materialize(B.ev_catalog(spark, sf), "catalog-ev")
-    sdf = G.stream_hourly_counts(G.stream_dedup(_event_stream(spark, sf), cat))
+    root, cat = _capped(spark, sf, k, late)
+    sdf = G.stream_hourly_counts(G.stream_dedup(G.capped_stream(spark, f"{root}/capped"), cat))
     G.run_available_now(sdf, f"{root}/ckpt", foreach_batch=G.BucketCloser(spark, cat, f"{root}/state"))
     return root, cat
 
 
 def g4_hour_close(spark, sf):
     from outcry.streaming import jobs as G
-    root, _ = _closed_state(spark, sf)
+    root, _ = _closed_state(spark, sf, RATE_CAP)
+    base, _ = G.closed_state(spark, f"{root}/state")
+    return _state_out(base)
+
+
+def g4_capped_close(spark, sf):
+    """The chain with a cap that binds and late attempts: equals the batch fold."""
+    from outcry.streaming import jobs as G
+    root, _ = _closed_state(spark, sf, CAP_HOUR, late=True)
     base, _ = G.closed_state(spark, f"{root}/state")
     return _state_out(base)
 
 
 def g4_share_close(spark, sf):
     from outcry.streaming import jobs as G
-    root, _ = _closed_state(spark, sf)
+    root, _ = _closed_state(spark, sf, RATE_CAP)
     _, shares = G.closed_state(spark, f"{root}/state")
     return shares.select("entity_id", "expected_share", "total")
 
 
 def g5_stream_status(spark, sf):
     from outcry.streaming import jobs as G
-    root, cat = _closed_state(spark, sf)
-    live = (G.stream_dedup(_event_stream(spark, sf), cat)
+    root, cat = _closed_state(spark, sf, RATE_CAP)
+    live = (G.stream_dedup(G.capped_stream(spark, f"{root}/capped"), cat)
              .groupBy("hour", "entity_id").agg(F.count(F.lit(1)).cast("long").alias("n")))
     G.run_available_now(live, f"{root}/ckpt-live", mode="update",
                         foreach_batch=G.LiveStatus(spark, cat, f"{root}/state", f"{root}/status"))
@@ -527,20 +680,21 @@ def g5_stream_status(spark, sf):
 
 NAMES = [
     "a3_parse_payload", "a4_actor_key", "a5_time_bucket", "a6_known_entities", "a6_unknown_rejects",
-    "a7_rate_cap_hour", "a7_rate_cap_day", "a8_admission_report", "a8_admission_tags", "a9_dedup", "a10_signal_sink",
+    "a7_rate_cap_hour", "a7_rate_cap_day", "a8_admission_report", "a8_admission_tags",
+    "a8_admission_tags_no_actor", "a8_admission_report_no_actor", "a9_dedup", "a10_signal_sink",
     "b1_hourly_counts", "b1_hourly_counts_evk", "b2_hourly_totals", "b3_count_at", "b4_peer_counts",
-    "b5_shares", "b6_dense_spine", "b7_trend", "f5_scaled_trend", "f6_has_signal", "f7_local_label",
-    "c2_slot_baselines", "c3_slot_history", "c3b_tier_history", "c4_apply_hour", "c4_close_batches", "c5_share_baselines",
+    "b5_shares", "b6_dense_spine", "b6_dense_spine_born", "b7_trend", "f5_scaled_trend", "f6_has_signal", "f7_local_label",
+    "c2_slot_baselines", "c2_slot_baselines_born", "c3_slot_history", "c3b_tier_history", "c4_apply_hour", "c4_apply_hour_shares", "c4_close_batches", "c5_share_baselines",
     "c5b_share_history", "c6_lifetime_totals", "c7_hour_tier", "c8_aggregate_tier", "c9_tiers",
     "c10_resolve",
-    "d8_score_entity", "d9_status_snapshot", "d10_signal_result", "d11_entity_detail",
-    "d12_score_history", "d12_score_history_evk", "ret_daily_score", "ret_daily_snapshot",
+    "d8_score_entity", "d9_status_snapshot", "d9_from_state", "d10_signal_result", "d11_entity_detail",
+    "d12_score_history", "d12_score_history_born", "d12_score_history_evk", "ret_daily_score", "ret_daily_snapshot",
     "e1_list_catalog", "e2_parse_feed", "e3_map_provider", "e4_norm_key", "e5_new_only",
-    "e6_first_by_key", "e7_sort_order", "e8_merge_catalog", "e9_catalog_check", "e10_resolve_alias",
-    "f1_rank_score_desc", "f1_rank_score_asc", "f2_rank_name", "f3_search", "f4_top_peers",
-    "f4b_first_peers", "f8_digest", "f8_digest_ev", "f9_flags",
-    "g1_stream_counts", "g2_stream_dedup", "g3_stream_rate_cap", "g4_hour_close", "g4_share_close",
-    "g5_stream_status",
+    "e6_first_by_key", "e7_sort_order", "e8_merge_catalog", "e9_catalog_check", "e9_catalog_complete", "e10_resolve_alias",
+    "f1_rank_score_desc", "f1_rank_score_asc", "f2_rank_name", "f2_rank_name_asc", "f3_search", "f4_top_peers",
+    "f4_top_peers_of", "f4b_first_peers_of", "f4b_first_peers", "f8_digest", "f8_digest_ev", "f9_flags",
+    "g1_stream_counts", "g2_stream_dedup", "g3_stream_rate_cap", "g4_hour_close", "g4_capped_close", "g4_share_close",
+    "g5_stream_status", "g6_late_rows",
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in NAMES}

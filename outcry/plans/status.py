@@ -7,8 +7,9 @@ cap and the dedup, one more for the count (both with partial aggregation).
 Snapshot: one aggregate per slot fold and per share fold over the small counts
 table, one conditional aggregate for the tiers, and joins against entity-sized
 frames (catalog, tiers, shares, current counts) which Spark broadcasts when
-their measured size is under the threshold.  History: a single exchange of the
-dense rows, into the per-entity replay.
+their measured size is under the threshold; ``status_from_state`` scores from
+stored state without any fold.  History: the sparse counts are exchanged once,
+into the per-entity replay, which produces the dense rows.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ from pyspark.sql import functions as F
 
 from outcry import constants as K
 from outcry.functions import scoring as S
-from outcry.functions.time import BUCKETS, dow, hod, iso_hour
+from outcry.functions.time import BUCKETS, bucket_start, dow, hod, iso_hour
 from outcry.labels import DEFAULT_LABELS
 from outcry.operators.admission import admit_known, dedup_signals, rate_cap
-from outcry.operators.baselines import (share_baselines, slot_baselines, slot_history,
-                                        tier_history, tiers)
-from outcry.operators.counts import hourly_counts, trend
+from outcry.operators.baselines import share_baselines, slot_baselines, slot_history, tiers
+from outcry.operators.counts import born, hourly_counts, trend
 
 
 def signal_counts(signals: DataFrame, catalog: DataFrame | None, k: int | None = K.RATE_CAP,
@@ -94,19 +94,21 @@ STATUS_COLUMNS = ["entity_id", "display_name", "provider", "sort_order", "hour",
                   "baseline_mean", "z_score", "disproportionality", "score", "status"]
 
 
-def status_snapshot(counts: DataFrame, catalog: DataFrame, as_of: Column, lo: Column,
-                    bucket: str = "hour", labels=DEFAULT_LABELS) -> DataFrame:
-    """Score every catalog entity at bucket ``as_of`` against state built
-    from the buckets in [lo, as_of)."""
-    hi = prev_bucket(as_of, bucket)
-    base = slot_baselines(counts, catalog, lo, hi, bucket)
-    t = tiers(base, dow(as_of), hod(as_of, bucket))
-    sh = share_baselines(counts, catalog, lo, hi, bucket).select("entity_id", "expected_share")
-    cur = counts.where(F.col("hour") == as_of).select("entity_id", F.col("n").cast("long").alias("n"))
+def status_from_state(catalog: DataFrame, baselines: DataFrame, shares: DataFrame, current: DataFrame,
+                      as_of: Column, bucket: str = "hour", labels=DEFAULT_LABELS) -> DataFrame:
+    """D9 from stored state: tiers from the slot baselines at the slot of
+    ``as_of``, expected shares from the shares, counts of the (possibly
+    unfinished) bucket ``as_of`` from ``current`` (entity_id, hour, n).
+    Entities born after ``as_of`` are not listed."""
+    if "valid_from" in catalog.columns:
+        catalog = catalog.where(F.col("valid_from").isNull() | (bucket_start("valid_from", bucket) <= as_of))
+    t = tiers(baselines, dow(as_of), hod(as_of, bucket))
+    cur = (born(current.where(F.col("hour") == as_of), catalog, bucket)
+           .select("entity_id", F.col("n").cast("long").alias("n")))
     total = cur.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).scalar()
     df = (with_catalog_defaults(catalog).join(cur, "entity_id", "left")
                  .join(t, "entity_id", "left")
-                 .join(sh, "entity_id", "left")
+                 .join(shares.select("entity_id", "expected_share"), "entity_id", "left")
                  .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
                  .withColumn("total", total))
     scored = score_columns(df, labels)
@@ -115,6 +117,17 @@ def status_snapshot(counts: DataFrame, catalog: DataFrame, as_of: Column, lo: Co
                            for c in STATUS_COLUMNS])
 
 
+def status_snapshot(counts: DataFrame, catalog: DataFrame, as_of: Column, lo: Column,
+                    bucket: str = "hour", labels=DEFAULT_LABELS) -> DataFrame:
+    """Score every catalog entity at bucket ``as_of`` against state built
+    from the buckets in [lo, as_of)."""
+    hi = prev_bucket(as_of, bucket)
+    counts = born(counts, catalog, bucket)
+    base = slot_baselines(counts, catalog, lo, hi, bucket)
+    shares = share_baselines(counts, catalog, lo, hi, bucket)
+    return status_from_state(catalog, base, shares, counts, as_of, bucket, labels)
+
+
 HISTORY_COLUMNS = ["entity_id", "hour", "n_signals", "total", "current_share", "expected_share",
                    "tier", "confidence", "baseline_mean", "z_score", "disproportionality",
                    "score", "status"]
@@ -124,7 +137,7 @@ def score_history(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
                   bucket: str = "hour", labels=DEFAULT_LABELS) -> DataFrame:
     """D9 for every entity and bucket in [lo, hi], each scored only with
     state from earlier buckets (no look-ahead)."""
-    hist = tier_history(slot_history(counts, catalog, lo, hi, bucket))
+    hist = slot_history(born(counts, catalog, bucket), catalog, lo, hi, bucket)
     df = (hist.drop("n").withColumnRenamed("x", "n")
               .withColumnRenamed("prev_share", "expected_share"))
     scored = score_columns(df, labels)

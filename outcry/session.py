@@ -4,13 +4,15 @@ The engine is UTC-only (hour buckets, weekday and hour-of-day are UTC parts),
 so every entry point pins ``spark.sql.session.timeZone`` to UTC.
 
 Lineage cuts go to the shared folder named by ``spark.checkpoint.dir``.  On a
-cluster that setting comes from the cluster; only when it is unset (local runs,
-tests) do we point it at a fresh scratch folder.
+cluster that setting must come from the cluster; only a local session without
+it gets a fresh scratch folder, which is removed when the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -53,13 +55,18 @@ def ensure_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the cluster's setting, else a local scratch one."""
+    """Shared checkpoint folder: the cluster's setting; for a local master
+    without one a scratch folder.  A folder of one machine would lose what the
+    others write, so a cluster session without the setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
         current = spark.conf.get(_CKPT_KEY, None) or sc.getConf().get(_CKPT_KEY, None)
         if not current:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError(f"{_CKPT_KEY} must name a folder that the driver and all executors of {sc.master} share")
             current = tempfile.mkdtemp(prefix="outcry-ckpt-")
+            atexit.register(shutil.rmtree, current, ignore_errors=True)
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current
     return current
@@ -67,8 +74,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete what ``scratch_path`` has handed out to this application.  Call it
+    when the frames built on it are no longer needed; results already written
+    elsewhere stay."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
 
 
 def materialize(df, name: str):

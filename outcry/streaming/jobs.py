@@ -12,21 +12,27 @@ baseline folds, live status) run in ``foreachBatch`` against versioned Parquet
 tables under a state root in the shared checkpoint folder.  Every write is
 keyed by the micro-batch id (dynamic partition overwrite of ``version=id``)
 and reads only versions < id, so a replayed micro-batch after a failure
-rewrites exactly the same output: exactly-once end to end.
+rewrites exactly the same output: exactly-once end to end.  Each micro-batch is
+persisted once and reused by all its writes.
+
+The chain is source -> RateCapper (G3) -> capped_stream -> stream_dedup (G2) ->
+stream_hourly_counts (G1) -> BucketCloser (G4) / LiveStatus (G5): the cap comes
+before the dedup, as in the batch path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from outcry import constants as K
 from outcry.functions.time import BUCKETS, bucket_start, dow, hod, slot_index
-from outcry.operators.baselines import share_baselines, slot_baselines, tiers
-from outcry.plans.status import STATUS_COLUMNS, score_columns, with_catalog_defaults
-from outcry.functions.time import iso_hour
+from outcry.operators.baselines import share_baselines, slot_baselines
+from outcry.operators.counts import born
+from outcry.plans.status import status_from_state
 
 DEFAULT_WATERMARK = "2 hours"
+WATERMARK_BUCKETS = 2
 
 
 # ------------------------------------------------------------------ G2 / G1
@@ -97,6 +103,10 @@ class VersionedTable:
         path, fs = self._fs()
         return fs.exists(path)
 
+    def has(self, version: int) -> bool:
+        path, fs = self._fs()
+        return fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"version={version}"))
+
     def latest(self, before: int | None = None) -> DataFrame | None:
         """The newest version strictly below ``before`` (None: any)."""
         if not self.exists():
@@ -138,44 +148,79 @@ class VersionedTable:
                 fs.delete(p, True)
 
 
-# ------------------------------------------------------------------ G3
+# ------------------------------------------------------------------ G3, G6
 class RateCapper:
     """At most ``k`` accepted attempts per (actor, bucket) across
-    micro-batches.  Used quota per (actor, bucket) is a versioned table; quota
-    of buckets older than ``retention`` buckets behind the newest is dropped."""
+    micro-batches.
+
+    Used quota per (actor, bucket) is a versioned table, kept as long as a
+    bucket can still take attempts: down to the watermark, the newest bucket of
+    the earlier batches minus ``watermark`` buckets.  Attempts behind it are
+    not accepted with a forgotten quota; they go to the ``late`` sink with
+    their bucket (G6), from where a batch recount can take them up.
+
+    The batch is ranked and cut to ``k`` per (actor, bucket) before it meets
+    the stored quota: Spark plans a partial ``WindowGroupLimit`` below the
+    exchange, so a hot actor ships at most k rows per map partition.
+    """
 
     def __init__(self, spark: SparkSession, state_root: str, sink: str, k: int = K.RATE_CAP,
-                 bucket: str = "hour", retention: int = 2):
-        self.k, self.bucket, self.sink = k, bucket, sink
+                 bucket: str = "hour", watermark: int = WATERMARK_BUCKETS):
+        self.k, self.bucket, self.sink, self.watermark = k, bucket, sink, watermark
+        self.late = f"{state_root}/late"
         self.used = VersionedTable(spark, f"{state_root}/rate_used")
-        self.retention = retention
+        self.seen = VersionedTable(spark, f"{state_root}/newest")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("hour", bucket_start("ts", self.bucket))
+        spark, (secs, _) = batch.sparkSession, BUCKETS[self.bucket]
+        b = batch.withColumn("hour", bucket_start("ts", self.bucket)).persist()
+        seen = self.seen.latest(before=batch_id)
+        newest = None if seen is None else seen.first()["newest"]
+        floor = None if newest is None else newest - self.watermark * secs
+        behind = F.lit(False) if floor is None else F.unix_seconds("hour") < F.lit(floor)
+        _write_batch(b.where(behind), self.late, batch_id)
+        w = Window.partitionBy("actor_key", "hour").orderBy("ts", "signal_id")
+        first = (b.where(~behind).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(self.k)))
         prior = self.used.latest(before=batch_id)
         if prior is None:
-            prior = b.sparkSession.createDataFrame([], "actor_key string, hour timestamp, used long")
-        j = b.join(prior, ["actor_key", "hour"], "left").fillna({"used": 0})
-        w = Window.partitionBy("actor_key", "hour").orderBy("ts", "signal_id")
-        ranked = j.withColumn("_rn", F.row_number().over(w))
-        # ``_rn <= k`` is implied (used >= 0) and lets Spark plan a partial
-        # WindowGroupLimit below the shuffle, so a hot (actor, bucket) ships at
-        # most k rows per map partition.
-        acc = (ranked.where(F.col("_rn") <= F.lit(self.k))
-                     .where(F.col("_rn") + F.col("used") <= F.lit(self.k)).drop("_rn", "used"))
-        acc = acc.cache()
-        (acc.withColumn("batch", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch").parquet(self.sink))
-        secs, _ = BUCKETS[self.bucket]
-        newest = acc.agg(F.unix_seconds(F.max("hour"))).first()[0]
+            prior = spark.createDataFrame([], "actor_key string, hour timestamp, used long")
+        quota = prior.select(F.col("actor_key").alias("_actor"), F.col("hour").alias("_hour"), "used")
+        acc = (first.join(quota, F.col("actor_key").eqNullSafe(F.col("_actor")) & (F.col("hour") == F.col("_hour")), "left")
+               .where(F.col("_rn") + F.coalesce("used", F.lit(0)) <= F.lit(self.k)).select(*b.columns).persist())
+        _write_batch(acc, self.sink, batch_id)
         merged = (prior.unionByName(acc.groupBy("actor_key", "hour").agg(F.count(F.lit(1)).alias("used")))
                        .groupBy("actor_key", "hour").agg(F.sum("used").cast("long").alias("used")))
-        if newest is not None:
-            merged = merged.where(F.unix_seconds("hour") >= F.lit(newest - self.retention * secs))
+        top = b.agg(F.unix_seconds(F.max("hour"))).first()[0]
+        top = max((t for t in (top, newest) if t is not None), default=None)
+        if top is not None:
+            merged = merged.where(F.unix_seconds("hour") >= F.lit(top - self.watermark * secs))
+            self.seen.write(spark.sql("SELECT CAST(:t AS BIGINT) AS newest", args={"t": top}), batch_id)
         self.used.write(merged, batch_id)
-        self.used.prune(batch_id)
+        for t in (self.used, self.seen):
+            t.prune(batch_id)
         acc.unpersist()
+        b.unpersist()
+
+
+def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    (df.withColumn("batch", F.lit(batch_id).cast("long"))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+
+
+def late_attempts(spark: SparkSession, state_root: str) -> DataFrame:
+    """Attempts (signal_id, entity_id, actor_key, ts, hour) that came behind
+    the watermark of a ``RateCapper``."""
+    return spark.read.schema("signal_id long, entity_id string, actor_key string, ts timestamp, hour timestamp") \
+        .parquet(f"{state_root}/late")
+
+
+def capped_stream(spark: SparkSession, sink: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The signals a ``RateCapper`` accepted, as a stream: the input of
+    ``stream_dedup`` (cap before dedup, as in the batch path)."""
+    reader = spark.readStream.schema("signal_id long, entity_id string, actor_key string, ts timestamp, hour timestamp")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(sink).select("signal_id", "entity_id", "actor_key", "ts")
 
 
 # ------------------------------------------------------------------ G4
@@ -204,7 +249,7 @@ class SlotStore:
     def write(self, df: DataFrame, version: int) -> None:
         s = slot_index("dow", "hod", self.bucket)
         (df.withColumn("slot", s.cast("int")).withColumn("version", F.lit(version).cast("long"))
-           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("slot", "version").parquet(self.root))
 
     def prune(self, current: int) -> None:
@@ -244,33 +289,47 @@ class BucketCloser:
         self.catalog, self.bucket = catalog, bucket
         self.slots = SlotStore(spark, f"{state_root}/baselines", bucket)
         self.shares = VersionedTable(spark, f"{state_root}/shares")
-        self.closed = VersionedTable(spark, f"{state_root}/closed_counts")
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.closed = VersionedTable(spark, f"{state_root}/closed_counts")  # history: never pruned
+        self.late = f"{state_root}/late_counts"
+
+    def __call__(self, batch: DataFrame, batch_id: int, until: int | None = None) -> None:
+        """``until`` (unix seconds of a bucket) closes silent buckets up to it,
+        for callers that know time has passed."""
+        batch = batch.select("entity_id", "hour", F.col("n").cast("long").alias("n")).persist()
+        try:
+            self._close(batch, batch_id, until)
+        finally:
+            batch.unpersist()
+
+    def _close(self, batch: DataFrame, batch_id: int, until: int | None) -> None:
         secs, _ = BUCKETS[self.bucket]
         rng = batch.agg(F.unix_seconds(F.min("hour")).alias("lo"),
                         F.unix_seconds(F.max("hour")).alias("hi")).first()
-        if rng is None or rng["hi"] is None:
-            return
         shares = self.shares.latest(before=batch_id)
         last = None if shares is None else shares.agg(F.unix_seconds(F.max("last_hour"))).first()[0]
+        ends = [t for t in (rng["hi"], until) if t is not None]
+        if not ends or rng["lo"] is None and last is None:
+            return
         lo_s = rng["lo"] if last is None else last + secs
-        hi_s = rng["hi"]
+        hi_s = max(ends)
+        # Counts of buckets that are folded already change nothing; they are kept apart.
+        if last is not None and rng["lo"] is not None and rng["lo"] <= last:
+            _write_batch(batch.where(F.unix_seconds("hour") <= F.lit(last)), self.late, batch_id)
         if hi_s < lo_s:
             return
         touched = _touched_slots(lo_s, hi_s, self.bucket)
         state = self.slots.current(before=batch_id, slots=touched)
         lo = F.timestamp_seconds(F.lit(lo_s).cast("long"))
         hi = F.timestamp_seconds(F.lit(hi_s).cast("long"))
-        counts = (batch.select("entity_id", "hour", F.col("n").cast("long"))
-                       .withColumn("dow", dow("hour")).withColumn("hod", hod("hour", self.bucket)))
+        counts = born(batch.where(F.unix_seconds("hour") >= F.lit(lo_s)), self.catalog, self.bucket) \
+            .withColumn("dow", dow("hour")).withColumn("hod", hod("hour", self.bucket))
         new_slots = slot_baselines(counts, self.catalog, lo, hi, self.bucket, seed=state)
         new_shares = share_baselines(counts, self.catalog, lo, hi, self.bucket, seed=shares) \
             .withColumn("last_hour", hi)
         self.slots.write(new_slots, batch_id)
         self.shares.write(new_shares, batch_id)
         self.closed.write(counts, batch_id)
-        for t in (self.slots, self.shares, self.closed):
+        for t in (self.slots, self.shares):
             t.prune(batch_id)
 
 
@@ -282,51 +341,42 @@ def closed_state(spark: SparkSession, state_root: str,
 
 
 # ------------------------------------------------------------------ G5
-def status_from_state(catalog: DataFrame, baselines: DataFrame, shares: DataFrame,
-                      current: DataFrame, as_of: Column, bucket: str = "hour") -> DataFrame:
-    """D9 from stored state: tiers from the stored slot baselines at the slot of
-    ``as_of``, expected shares from the stored shares, counts of the (possibly
-    unfinished) bucket ``as_of`` from ``current`` (entity_id, hour, n)."""
-    t = tiers(baselines, dow(as_of), hod(as_of, bucket))
-    cur = current.where(F.col("hour") == as_of).select("entity_id", F.col("n").cast("long"))
-    total = cur.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).scalar()
-    df = (with_catalog_defaults(catalog).join(cur, "entity_id", "left")
-                 .join(t, "entity_id", "left")
-                 .join(shares.select("entity_id", "expected_share"), "entity_id", "left")
-                 .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-                 .withColumn("total", total))
-    scored = score_columns(df)
-    return scored.select(*[c if c not in ("hour", "n_signals") else
-                           (iso_hour(as_of).alias("hour") if c == "hour" else F.col("n").alias("n_signals"))
-                           for c in STATUS_COLUMNS])
-
-
 class LiveStatus:
     """Live status of the newest (unfinished) bucket.  Input: update-mode
-    counts (entity_id, hour, n) of the dedup stream; the open buckets' counts
-    are upserted into a versioned table and the status is recomputed against
-    the state stored by ``BucketCloser``."""
+    counts (entity_id, hour, n) of the dedup stream; the counts of buckets that
+    are not closed yet are upserted into a versioned table and the status is
+    computed against the state stored by ``BucketCloser``.  A batch whose status
+    is already written is left as it is, so a replay changes nothing even if
+    more buckets were closed meanwhile."""
 
     def __init__(self, spark: SparkSession, catalog: DataFrame, state_root: str, out: str,
-                 bucket: str = "hour", keep: int = 3):
+                 bucket: str = "hour"):
         self.spark, self.catalog, self.state_root, self.bucket = spark, catalog, state_root, bucket
         self.live = VersionedTable(spark, f"{state_root}/live_counts")
         self.out = VersionedTable(spark, out)
-        self.keep = keep
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        secs, _ = BUCKETS[self.bucket]
+        if self.out.has(batch_id):
+            return
+        batch = batch.select("entity_id", "hour", F.col("n").cast("long").alias("n")).persist()
+        try:
+            self._score(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _score(self, upd: DataFrame, batch_id: int) -> None:
         prior = self.live.latest(before=batch_id)
-        upd = batch.select("entity_id", "hour", F.col("n").cast("long"))
         merged = upd if prior is None else \
             prior.join(upd.select("entity_id", "hour"), ["entity_id", "hour"], "left_anti").unionByName(upd)
         newest = merged.agg(F.unix_seconds(F.max("hour"))).first()[0]
         if newest is None:
             return
-        merged = merged.where(F.unix_seconds("hour") > F.lit(newest - self.keep * secs))
+        baselines, shares = closed_state(self.spark, self.state_root, self.bucket)
+        if shares is not None:  # closed buckets are in the stored state; the newest is always kept
+            last = shares.agg(F.unix_seconds(F.max("last_hour"))).first()[0]
+            merged = merged.where(F.unix_seconds("hour") > F.lit(min(last, newest - 1)))
         self.live.write(merged, batch_id)
         self.live.prune(batch_id)
-        baselines, shares = closed_state(self.spark, self.state_root)
         if baselines is None:
             return
         as_of = F.timestamp_seconds(F.lit(newest).cast("long"))

@@ -3,9 +3,10 @@ import __spark_entry__ as E
 
 
 def test_every_query_has_oracle_sql():
+    from outcry.plans.queries import QUERIES
     q, o = E.queries(), E.oracle_sql()
-    assert set(q) == set(o)
-    assert len(q) >= 60
+    assert set(QUERIES) <= set(q) and set(QUERIES) <= set(o) and set(o) <= set(q)
+    assert len(QUERIES) >= 80
     assert all(callable(f) for f in q.values())
     assert all(isinstance(s, str) and "SELECT" in s.upper() for s in o.values())
 

@@ -132,3 +132,76 @@ def test_stream_signal_sink_keeps_every_row(spark, sliced, tmp_path):
     back = spark.read.parquet(str(tmp_path / "sink"))
     assert back.count() == 10000
     assert back.select("date").distinct().count() == 30
+
+
+def _attempts(spark, rows):
+    return spark.createDataFrame(rows, "signal_id long, entity_id string, actor_key string, ts timestamp")
+
+
+def test_late_attempts_get_no_forgotten_quota(spark, tmp_path):
+    """k = 1: id 3 comes for hour 10 after hour 15 was seen; it is late, not accepted."""
+    import datetime as dt
+    h = lambda n: dt.datetime(2024, 1, 1, n, 5, tzinfo=dt.timezone.utc)
+    capper = G.RateCapper(spark, str(tmp_path / "state"), str(tmp_path / "sink"), k=1)
+    for k, row in enumerate([(1, "e", "a", h(10)), (2, "e", "a", h(15)), (3, "e", "a", h(10)), (4, "e", None, h(15)), (5, "e", None, h(14))]):
+        capper(_attempts(spark, [row]), k)
+    capper(_attempts(spark, [(6, "e", None, h(15)), (7, "e", "a", h(15))]), 5)
+    ids = lambda df: sorted(r.signal_id for r in df.collect())
+    assert ids(spark.read.parquet(str(tmp_path / "sink"))) == [1, 2, 4, 5]
+    assert ids(G.late_attempts(spark, str(tmp_path / "state"))) == [3]
+    capper(_attempts(spark, [(6, "e", None, h(15)), (7, "e", "a", h(15))]), 5)  # replay
+    assert ids(spark.read.parquet(str(tmp_path / "sink"))) == [1, 2, 4, 5]
+
+
+class _Counting:
+    """A batch frame that counts how often its rows are evaluated."""
+
+    def __init__(self, spark, rows, schema):
+        self.seen = spark.sparkContext.accumulator(0)
+        seen = self.seen
+
+        def run(frames):
+            for f in frames:
+                seen.add(len(f))
+                yield f
+        self.df = spark.createDataFrame(rows, schema).coalesce(1).mapInPandas(run, schema)
+
+
+def test_a_micro_batch_is_evaluated_once(spark, tmp_path):
+    import datetime as dt
+    h = dt.datetime(2024, 1, 1, 10, tzinfo=dt.timezone.utc)
+    cat = spark.createDataFrame([("e",)], "entity_id string")
+    batch = _Counting(spark, [("e", h, 3)], "entity_id string, hour timestamp, n long")
+    G.BucketCloser(spark, cat, str(tmp_path / "s"))(batch.df, 0)
+    assert batch.seen.value == 1
+    live = _Counting(spark, [("e", h + dt.timedelta(hours=1), 2)], "entity_id string, hour timestamp, n long")
+    status = G.LiveStatus(spark, cat, str(tmp_path / "s"), str(tmp_path / "out"))
+    status(live.df, 0)
+    assert live.seen.value == 1
+    before = G.VersionedTable(spark, str(tmp_path / "out")).latest().collect()
+    # More buckets are closed, then batch 0 is replayed: its status stays.
+    G.BucketCloser(spark, cat, str(tmp_path / "s"))(
+        spark.createDataFrame([("e", h + dt.timedelta(hours=1), 7)], "entity_id string, hour timestamp, n long"), 1)
+    status(live.df, 0)
+    assert G.VersionedTable(spark, str(tmp_path / "out")).latest().collect() == before
+    capped = _Counting(spark, [(1, "e", "a", h)], "signal_id long, entity_id string, actor_key string, ts timestamp")
+    G.RateCapper(spark, str(tmp_path / "c"), str(tmp_path / "sink"))(capped.df, 0)
+    assert capped.seen.value == 1
+
+
+def test_counts_behind_the_closed_buckets_are_kept_apart(spark, tmp_path):
+    import datetime as dt
+    h = dt.datetime(2024, 1, 1, 10, tzinfo=dt.timezone.utc)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "entity_id string, hour timestamp, n long")
+    cat = spark.createDataFrame([("e",)], "entity_id string")
+    closer = G.BucketCloser(spark, cat, str(tmp_path / "s"))
+    for k in range(4):
+        closer(frame(("e", h + dt.timedelta(hours=k), k + 1)), k)
+    before, _ = G.closed_state(spark, str(tmp_path / "s"))
+    before = sorted(map(tuple, before.collect()))
+    closer(frame(("e", h, 50)), 4)
+    after, _ = G.closed_state(spark, str(tmp_path / "s"))
+    assert sorted(map(tuple, after.collect())) == before
+    assert [r.n for r in spark.read.parquet(str(tmp_path / "s" / "late_counts")).collect()] == [50]
+    closed = spark.read.parquet(str(tmp_path / "s" / "closed_counts"))
+    assert closed.count() == 4  # the whole history
