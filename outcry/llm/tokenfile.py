@@ -16,8 +16,8 @@ partition; ``read`` decodes the files again, in parallel over files.
 
 Tokenizing splits a text at ASCII white space, where the vocabulary's
 own splitting always ends a token, and keeps the ids of the words seen in the
-process (at most ``CACHE`` of them), so the tokenizer library is called for new
-words only.
+process (about twice ``CACHE`` at most), so the tokenizer library is called for
+new words only.
 
 Defined results: a null text counts as empty and gives the end id alone; rows
 with equal doc_id are ordered by text, rows without doc_id come first; repeated
@@ -43,7 +43,7 @@ MAGIC = b"S8BTOKEN"
 BLOCK = 1024
 #: Ids after which a file is closed.
 FILE_IDS = 8_000_000
-CACHE = 400_000
+CACHE = 250_000
 #: Selector -> (ids in a word, bits of an id); 15 is the escape.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
              (6, 10), (5, 12), (4, 15), (3, 20), (2, 30)]
@@ -56,24 +56,25 @@ def _bits(ids: np.ndarray) -> np.ndarray:
     return np.where(ids >> np.uint64(52), 64, np.frexp(ids.astype(np.float64))[1]).astype(np.uint8)
 
 
+#: Room behind a block: a word that starts in it may reach so far.
+_ROOM = 256
+
+
 def _choices(bits: np.ndarray) -> np.ndarray:
     """The selector of a word that starts at each place of the blocks (rows of
-    bit lengths).  Beyond its block a word finds width 0: the last word of a
-    block may hold fewer ids than it has room for."""
-    blocks = len(bits)
-    room = 256
-    widest = {1: np.concatenate([bits, np.zeros((blocks, room), np.uint8)], axis=1)}
-    step = 1
+    bit lengths with ``_ROOM`` zeros behind them, so that the last word of a
+    block may hold fewer ids than it has room for)."""
+    widest, step = {1: bits}, 1
     while step < 128:  # widest[c][i]: largest width of the c ids from i
         m = widest[step]
         widest[2 * step] = np.maximum(m[:, :-step], m[:, step:])
         step *= 2
-    choice = np.full(bits.shape, ESCAPE, np.uint8)
-    for s in range(len(SELECTORS) - 1, -1, -1):
-        count, width = SELECTORS[s]
+    # A selector that fits is followed by fitting ones only: fewer ids, more bits.
+    choice = np.zeros((len(bits), BLOCK), np.uint8)
+    for count, width in SELECTORS:
         p = 1 << (count.bit_length() - 1)
         m = np.maximum(widest[p][:, :BLOCK], widest[p][:, count - p:count - p + BLOCK])
-        choice[m <= width] = s
+        choice += (m > width).view(np.uint8)
     return choice
 
 
@@ -83,30 +84,34 @@ _RUN = 512
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, word offset of each block) of unsigned ids."""
-    ids = ids.astype(np.uint64)
     blocks = -(-len(ids) // BLOCK)
     if not blocks:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    start = np.arange(blocks) * BLOCK
-    stop = np.minimum(start + BLOCK, len(ids))
-    choice = np.empty(blocks * BLOCK, np.uint8)
+    wide = BLOCK + _ROOM
+    padded = np.zeros((blocks, wide), np.uint64)
+    full = len(ids) // BLOCK
+    padded[:full, :BLOCK] = ids[:full * BLOCK].reshape(full, BLOCK)
+    if full < blocks:
+        padded[full, :len(ids) - full * BLOCK] = ids[full * BLOCK:]
+    choice = np.empty((blocks, BLOCK), np.uint8)
     for b in range(0, blocks, _RUN):
-        e = min(b + _RUN, blocks)
-        bits = np.zeros((e - b) * BLOCK, np.uint8)
-        run = ids[b * BLOCK:e * BLOCK]
-        bits[:len(run)] = _bits(run)
-        choice[b * BLOCK:e * BLOCK] = _choices(bits.reshape(-1, BLOCK)).ravel()
+        choice[b:b + _RUN] = _choices(_bits(padded[b:b + _RUN]))
+    choice, padded = choice.ravel(), padded.ravel()
     # All blocks step from word to word together.
-    begins = np.zeros(len(ids), bool)
-    here, end = start.copy(), stop
+    begins = np.zeros(len(choice), bool)
+    here = np.arange(blocks) * BLOCK
+    end = np.minimum(here + BLOCK, len(ids))
+    counts = _COUNT[choice]
     while len(here):
         begins[here] = True
-        here = here + _COUNT[choice[here]]
+        here = here + counts[here]
         live = here < end
-        here, end = here[live], end[live]
+        if not live.all():
+            here, end = here[live], end[live]
     first = np.flatnonzero(begins)
     owner = first // BLOCK
     chosen = choice[first]
+    place = first + owner * _ROOM
     escaped = chosen == ESCAPE
     words = np.zeros(len(first), np.uint64)
     for s, (count, bits) in enumerate(SELECTORS):
@@ -115,12 +120,9 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         word = np.full(len(at), s << 60, np.uint64)
         if bits:
-            base, limit = first[at], stop[owner[at]]
+            base = place[at]
             for k in range(count):
-                p = base + k
-                value = ids[np.minimum(p, len(ids) - 1)]
-                value[p >= limit] = 0
-                word |= value << np.uint64(k * bits)
+                word |= padded[base + k] << np.uint64(k * bits)
         words[at] = word
     if escaped.any():
         # Neighbouring escapes of a block share one selector word.
@@ -129,11 +131,11 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         run = np.cumsum(new) - 1
         sizes = np.bincount(run[escaped])
         width = np.where(escaped, np.where(new, 2, 1), 1)
-        place = np.cumsum(width) - 1
-        out = np.zeros(int(place[-1]) + 1, np.uint64)
-        out[place] = np.where(escaped, ids[first], words)
-        out[place[new] - 1] = np.uint64(ESCAPE << 60) | sizes.astype(np.uint64)
-        begin = place - width + 1
+        at = np.cumsum(width) - 1
+        out = np.zeros(int(at[-1]) + 1, np.uint64)
+        out[at] = np.where(escaped, padded[place], words)
+        out[at[new] - 1] = np.uint64(ESCAPE << 60) | sizes.astype(np.uint64)
+        begin = at - width + 1
         words = out
     else:
         begin = np.arange(len(first))
@@ -157,12 +159,12 @@ def decode(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
                 at = p + 1 + n
         selector[raw] = ESCAPE
     count = np.where(raw, 1, np.where(selector == ESCAPE, 0, _COUNT[selector]))
-    block = np.searchsorted(offsets, np.arange(len(words)), side="right") - 1
+    block = np.repeat(np.arange(len(offsets)), np.diff(offsets, append=len(words)))
     ends = np.cumsum(count)
     before = ends - count
     start = block * BLOCK + before - before[offsets[block]]
     # A block may overshoot its end by the unused room of its last word.
-    n_blocks, wide = len(offsets), BLOCK + 256
+    n_blocks, wide = len(offsets), BLOCK + _ROOM
     out = np.zeros(n_blocks * wide, np.uint64)
     start += block * (wide - BLOCK)
     for s, (n, bits) in enumerate(SELECTORS):
@@ -250,28 +252,45 @@ class _Cache(dict):
         self.model = self.library.model
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {}
-        self[""] = b""
+        self.old: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def part(self, match: str) -> bytes:
-        text = match if match.isascii() else "".join(map(self.letters.__getitem__, match.encode()))
-        ids = self.parts[match] = struct.pack(f"<{len(t := self.model.tokenize(text))}I", *[x.id for x in t])
+        """Ids of one match of the vocabulary's split."""
+        ids = self.old_parts.get(match)
+        if ids is None:
+            text = match if match.isascii() else "".join(map(self.letters.__getitem__, match.encode()))
+            ids = struct.pack(f"<{len(t := self.model.tokenize(text))}I", *[x.id for x in t])
+        self.parts[match] = ids
         return ids
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > CACHE:
-            self.clear()
-            self[""] = b""
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        rest, get, part = [], self.parts.get, self.part
+        rest, get, part, old = [], self.parts.get, self.part, self.old.get
         for w in words:
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                self[w] = b"".join([get(m) or part(m) for m in _MATCH.findall(w.lower())])
+            ids = old(w)
+            if ids is not None:
+                pass
+            elif w.isalpha() and (w.isascii() or max(w) <= "\xff") and len(w) <= 64:
+                low = w.lower()
+                ids = get(low) or part(low)
+            elif _PLAIN.fullmatch(w) and "<|" not in w:
+                ids = b"".join([get(m) or part(m) for m in _MATCH.findall(w.lower())])
             else:
                 rest.append(w)
+                continue
+            self[w] = ids
         for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
             self[w] = np.array(e.ids, "<u4").tobytes()
 
+    def age(self) -> None:
+        """Beyond CACHE words or parts, those not asked for again are forgotten
+        at the next time."""
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+        if len(self.parts) > CACHE:
+            self.old_parts, self.parts = self.parts, {}
+
 
 _CACHES: dict[str, _Cache] = {}
 
@@ -289,7 +308,8 @@ def tokenize(texts: list[str | None], path: str, end_id: int) -> tuple[np.ndarra
     try:
         found = list(map(cache.__getitem__, words))
     except KeyError:
-        cache.learn(set(words) if len(cache) > CACHE else {w for w in words if w not in cache})
+        cache.age()
+        cache.learn({w for w in words if w not in cache})
         found = list(map(cache.__getitem__, words))
     # The end id is one more word, after the last of every text.
     found.append(np.array([end_id], "<u4").tobytes())
