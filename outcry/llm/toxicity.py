@@ -2,14 +2,15 @@
 
 ``fit`` learns a lexicon from a bounded sample of labelled texts (``SAMPLE_TOXIC``
 and ``SAMPLE_CLEAN`` rows, smallest hash of doc_id first): words that are far
-more frequent in toxic texts, and stems, prefixes that many such words share
-(compounds).  At most ``TERMS`` entries are kept.
+more frequent in toxic texts, beyond what chance gives among so many words, and
+stems, prefixes that many such words share (compounds).  At most ``TERMS`` entries are kept.
 
 The lexicon is a trie; intersected with the Levenshtein automaton of the word
 being read it is one automaton whose states are sets of (trie node, edits).
 States and transitions are made when first met and kept, so a word costs a few
 dictionary look-ups and most words die after some letters.  Terms of 5-7
-letters allow one edit, longer ones two, shorter ones none; a stem must match
+letters allow one edit, longer ones two, shorter ones none, all behind a right
+first letter; a stem must match
 exactly and leaves the rest of the word free.
 
 Every hit is scored in its context window (``WINDOW`` words on each side): hits
@@ -24,6 +25,7 @@ extra columns pass through; empty tables give empty tables.
 
 from __future__ import annotations
 
+import math
 import re
 from typing import NamedTuple
 
@@ -38,7 +40,8 @@ SAMPLE_CLEAN = 10_000
 TERMS = 500
 SUPPORT = 3
 ODDS = 8.0
-GAIN = 15.0
+GAIN = 2.0
+CLEAR = 100.0
 STEM_WORDS = 4
 WINDOW = 8
 
@@ -87,6 +90,11 @@ class Automaton:
         self.alphabet = {c for ch in self.children for c in ch}
         self._reset()
 
+    def trim(self) -> None:
+        """Forgets states and words when they are many."""
+        if len(self.sets) > self.KEEP_STATES or len(self.words) > self.KEEP_WORDS:
+            self._reset()
+
     def _reset(self):
         self.ids: dict[tuple, int] = {}
         self.sets: list[tuple] = []
@@ -94,6 +102,7 @@ class Automaton:
         self.accepts: list[tuple[int, int] | None] = []
         self.stems: list[int] = []
         self.words: dict[str, tuple[int, int] | None] = {}
+        self.hits: set[str] = set()
         self.start = self._state({0: 0})
 
     def _state(self, edits: dict[int, int]) -> int:
@@ -101,6 +110,8 @@ class Automaton:
         todo = list(edits)
         while todo:
             node = todo.pop()
+            if not node:  # the first letter is taken as right
+                continue
             e = edits[node] + 1
             for child in self.children[node].values():
                 if e <= self.room[child] and e < edits.get(child, 9):
@@ -120,10 +131,10 @@ class Automaton:
         out: dict[int, int] = {}
         for node, e in self.sets[state]:
             for letter, child in self.children[node].items():
-                cost = e if letter == c else e + 1
+                cost = e if letter == c else e + 1 if node else 9
                 if cost <= self.room[child] and cost < out.get(child, 9):
                     out[child] = cost
-            if e + 1 <= self.room[node] and e + 1 < out.get(node, 9):
+            if node and e + 1 <= self.room[node] and e + 1 < out.get(node, 9):
                 out[node] = e + 1
         return self._state(out) if out else -1
 
@@ -131,8 +142,6 @@ class Automaton:
         """(term number, edits) of the closest term, else of a stem, else None."""
         if word in self.words:
             return self.words[word]
-        if len(self.sets) > self.KEEP_STATES or len(self.words) > self.KEEP_WORDS:
-            self._reset()
         state, stem = self.start, -1
         for c in word:
             if c not in self.alphabet:
@@ -150,8 +159,17 @@ class Automaton:
         if found is None and stem >= 0:
             found = (stem, 0)
         self.words[word] = found
+        if found is not None:
+            self.hits.add(word)
         return found
 
+    def matches(self, words: list[str]) -> dict[str, tuple[int, int]]:
+        """The distinct words that match, with their matches."""
+        distinct = set(words)
+        for w in distinct.difference(self.words):
+            self.match(w)
+        return {w: found for w in distinct & self.hits if (found := self.words.get(w)) is not None}
+
 
 FEATURES = 6
 
@@ -161,12 +179,8 @@ def features(text: str | None, automaton: Automaton, terms) -> list[float]:
     hits; quoted mass; hits per 100 words."""
     low = (text or "").lower()
     words = WORD.findall(low)
-    match = automaton.match
-    known = {}
-    for w in set(words):
-        found = match(w)
-        if found is not None:
-            known[w] = found
+    automaton.trim()
+    known = automaton.matches(words)
     if not known:
         return [0.0] * FEATURES
     spans = [m.span() for m in WORD.finditer(low)]
@@ -193,6 +207,25 @@ def features(text: str | None, automaton: Automaton, terms) -> list[float]:
             float(np.log1p(score[quoted].sum())), min(100.0 * len(hits) / len(words), 10.0)]
 
 
+def _least_hash(seed: int):
+    return F.array_min(F.transform("h", lambda x: F.xxhash64(F.lit(seed), x)))
+
+
+def _one_of_copies(sample: DataFrame) -> DataFrame:
+    """(text__, toxic) with one text of most groups of near copies, so that the
+    words of a copied text do not count as often as it was copied: texts that
+    share a minimum hash of their word triples, for three hash functions."""
+    words = F.split(F.lower("text__"), r"[^\p{L}\p{N}\p{M}]+")
+    sign = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))),
+                       lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    signed = sample.withColumn("w", words).withColumn("h", sign)
+    signed = signed.select("id__", "text__", "toxic", *[_least_hash(k).alias(f"s{k}") for k in range(3)])
+    for k in range(3):
+        rest = [c for c in signed.columns if c != f"s{k}"]
+        signed = signed.groupBy(f"s{k}").agg(F.min(F.struct(*rest)).alias("r")).select("r.*")
+    return signed.select("text__", "toxic")
+
+
 def _gain(a, b, n_toxic: int, n_clean: int):
     """Log-likelihood ratio of the toxic and clean text counts against chance."""
     share = n_toxic / (n_toxic + n_clean)
@@ -214,8 +247,11 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple:
               .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
               .withColumn("odds", (F.col("a") / n_toxic) / ((F.col("b") + 0.5) / n_clean))
               .withColumn("gain", _gain(F.col("a"), F.col("b"), n_toxic, n_clean))
-              .filter((F.col("a") >= SUPPORT) & (F.col("odds") >= ODDS) & (F.col("gain") >= GAIN)))
+              .filter(F.col("a") >= SUPPORT))
     counts = materialize(counts, "entries")
+    # Of n chance entries about exp(-gain / 2) * n reach a gain: the more are tried, the higher the bar.
+    bar = GAIN + 2 * math.log(max(counts.count(), 1))
+    counts = counts.filter((F.col("odds") >= ODDS) & (F.col("gain") >= bar))
     terms = counts.filter("NOT endswith(w, '*')").select("w", "gain", "odds", F.lit(False).alias("stem"))
     # A stem joins several words, none of which explains it alone.
     toxic_words = (per_text.filter("toxic = 1").select(F.explode("words").alias("word")).filter("length(word) > 4")
@@ -229,10 +265,13 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple:
     kept, roots = [], []
     for r in rows:  # of stems that begin alike the most telling one stays
         if r["stem"]:
-            if any(r["w"].startswith(x) or x.startswith(r["w"]) for x in roots):
+            if any(r["w"].startswith(x["w"]) or x["w"].startswith(r["w"]) for x in roots):
                 continue
-            roots.append(r["w"])
+            roots.append(r)
         kept.append(r)
+    # A word says no more than a stem of it that is as clear.
+    clear = tuple(x["w"] for x in roots if x["odds"] >= CLEAR)
+    kept = [r for r in kept if r["stem"] or not r["w"].startswith(clear)]
     return tuple((r["w"], r["stem"], min(float(np.log(r["odds"])), 8.0) / 8.0) for r in kept[:TERMS])
 
 
@@ -267,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # At most SAMPLE_TOXIC + SAMPLE_CLEAN rows of 12 bytes.
     sample = (docs.select(F.col(doc_id).cast("long").alias("id__"), text_or_empty(docs[text]).alias("text__"))
               .join(F.broadcast(some[0].union(some[1])), "id__"))
-    sample = materialize(sample.select("text__", "toxic"), "labelled")
+    sample = materialize(_one_of_copies(sample.select("id__", "text__", "toxic")), "labelled")
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         return Model((), (0.0,) * (1 + FEATURES))
