@@ -120,3 +120,14 @@ def test_cluster_session_without_a_shared_folder_is_an_error():
     sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, getConf=lambda: conf)
     with pytest.raises(ValueError, match="checkpoint.dir"):
         checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_release_scratch_removes_this_applications_tables(spark):
+    from outcry.session import materialize, release_scratch, scratch_path
+    path = scratch_path(spark, "probe")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    release_scratch(spark)
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
+    assert materialize(spark.range(2), "again").count() == 2
