@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_dir, ensure_utc, materialize, scratch_path, ship_package
 
-__all__ = ["prepare", "table", "materialize", "scratch_path", "text_or_empty", "WORD_GAP", "word_hashes"]
+__all__ = ["prepare", "table", "materialize", "scratch_path", "text_or_empty", "WORD_GAP"]
 
 #: Everything between two words: words are runs of letters, digits and marks.
 WORD_GAP = r"[^\p{L}\p{N}\p{M}]+"
@@ -27,9 +27,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(text):
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-
-
-def word_hashes(text):
-    """array<long>: xxhash64 of each lower-cased word, in text order."""
-    words = F.filter(F.split(F.lower(text_or_empty(text)), WORD_GAP), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
