@@ -295,16 +295,18 @@ class _Cache(dict):
 _CACHES: dict[str, _Cache] = {}
 
 
-def tokenize(texts: list[str | None], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def tokenize(texts: list[str | None] | pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, tokens per text, the end id included)."""
     cache = _CACHES.get(path)
     if cache is None:
         cache = _CACHES[path] = _Cache(path)
-    if not texts:
+    if not len(texts):
         return np.empty(0, np.uint32), np.empty(0, np.int64)
-    split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.large_string())
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     coded = split.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     try:
         found = list(map(cache.__getitem__, words))
     except KeyError:
@@ -351,7 +353,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, lens = tokenize(b.column(1).to_pylist(), tokenizer_path, end_id)
+            ids, lens = tokenize(b.column(1), tokenizer_path, end_id)
             held.append((b.column(0).to_pylist(), lens, ids))
             total += len(ids)
             if total >= FILE_IDS:
