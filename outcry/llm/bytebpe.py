@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import wordmap
+from .memory import tidy
 from .runtime import prepare, text_or_empty
 
 #: White space as the tokenizer library sees it (the White_Space property).
@@ -109,7 +110,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     names = fields.fieldNames()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", decoded binary"
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lambda batches: tidy(run(batches)), schema)
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:

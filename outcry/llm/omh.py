@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
+from .memory import tidy
 from .runtime import WORD_GAP, materialize, prepare, text_or_empty
 
 K = 5
@@ -291,7 +292,7 @@ def _test_blocks(left: DataFrame, seqs: DataFrame) -> DataFrame:
     outside = (rows.filter("class <> main").groupBy("key", F.col("block").alias("own"), "blocks").agg(member.alias("left"))
                .select("key", "left", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
     return (outside.join(every, ["key", "block"]).select("left", "right")
-            .mapInArrow(_block_batches, "u long, v long, similarity double"))
+            .mapInArrow(lambda batches: tidy(_block_batches(batches)), "u long, v long, similarity double"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -305,7 +306,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # Equal word sequences are one text; without any word, only equal texts are.
     text_key = F.when(F.col("normal__") == "", F.concat(F.lit("-"), F.md5("text__"))).otherwise(F.md5("normal__"))
     one_pass = rows.select("doc_id", text_key.alias("text_key"), _word_ids("normal__").alias("words")).mapInArrow(
-        _sketch_batches, "doc_id long, text_key string, n_words int, keys array<long>")
+        lambda batches: tidy(_sketch_batches(batches)), "doc_id long, text_key string, n_words int, keys array<long>")
     sketched = materialize(one_pass, "omh")
 
     # Equal texts become one node, named by the smallest doc_id.
@@ -338,7 +339,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         a = seqs.select(F.col("node").alias("u"), F.col("words").alias("a"))
         b = seqs.select(F.col("node").alias("v"), F.col("words").alias("b"))
         return materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
-                           .mapInArrow(_verify_batches, "u long, v long, similarity double"), "links")
+                           .mapInArrow(lambda batches: tidy(_verify_batches(batches)), "u long, v long, similarity double"), "links")
 
     tested = materialize(
         members.filter((F.col("node") != F.col("lead")) & length_ok(F.col("n_words"), F.col("lead_words")))

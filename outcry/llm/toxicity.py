@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .memory import tidy
 from .runtime import materialize, prepare, text_or_empty
 
 SAMPLE_TOXIC = 5_000
@@ -321,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_pydict(
                 {"x": pa.array(rows, pa.list_(pa.float64())), "toxic": b.column(1).cast(pa.int32())})
 
-    rows = sample.mapInArrow(measured, "x array<double>, toxic int").toPandas()
+    rows = sample.mapInArrow(lambda batches: tidy(measured(batches)), "x array<double>, toxic int").toPandas()
     y = rows["toxic"].to_numpy(float)
     weight = np.where(y == 1, totals[1] / n[1], totals[0] / n[0])
     order = np.lexsort(np.array(rows["x"].tolist()).T)
@@ -347,7 +348,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
                 s = np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: tidy(run(batches)), schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

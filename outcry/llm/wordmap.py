@@ -33,12 +33,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .memory import give_back, tidy
 from .runtime import scratch_path
 
 #: Tokens after which a chunk is closed (a single longer document is one chunk).
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_700_000
 #: (chunk, word) pairs per hash bucket of the distinct-word shuffle.
-BUCKET_WORDS = 400_000
+BUCKET_WORDS = 200_000
 
 
 def pack(t: pa.Table) -> bytes:
@@ -139,7 +140,8 @@ def explode_words(docs: DataFrame, key: str, words: str) -> DataFrame:
             [pa.array([chunk], pa.int64()), pa.array([0], pa.int32()), pa.array([n_words], pa.int64()),
              pa.nulls(1, pa.binary()), pa.nulls(1, held[0][0].type), pa.array([payload], pa.binary())],
             names=["chunk", "part", "n_words", "doc", "key", "payload"])
-        pa.default_memory_pool().release_unused()
+        del held[:], coded, codes
+        give_back()
 
     # Bucketed by chunk: the documents need no second shuffle to meet their answers.
     spark = docs.sparkSession
@@ -167,7 +169,9 @@ def answer_words(chunks: DataFrame, answer: Callable[[list[bytes]], pa.Table]) -
                     continue
                 raw = pa.concat_arrays(found).cast(pa.large_binary())
                 crc = zlib.crc32
-                of = np.fromiter((crc(w) % buckets for w in raw.to_pylist()), np.int64, len(raw))
+                each = raw.to_numpy(zero_copy_only=False).tolist()
+                of = np.fromiter((crc(w) % buckets for w in each), np.int64, len(raw))
+                del each
                 order = np.argsort(of, kind="stable")
                 cuts = np.searchsorted(of[order], np.arange(buckets + 1))
                 for k in range(buckets):
@@ -182,7 +186,7 @@ def answer_words(chunks: DataFrame, answer: Callable[[list[bytes]], pa.Table]) -
         parts = [unpack(p) for p in t.column("payload").to_pylist()]
         word = pa.chunked_array([c for p in parts for c in p.column("word").chunks], type=pa.large_binary())
         coded = pa.concat_arrays(word.chunks).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         order = sorted(range(len(distinct)), key=distinct.__getitem__)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
@@ -193,9 +197,11 @@ def answer_words(chunks: DataFrame, answer: Callable[[list[bytes]], pa.Table]) -
             own = answers.take(pa.array(codes[at:at + p.num_rows]))
             at += p.num_rows
             out.append(pack(own.append_column("idx", p.column("idx"))))
+        del parts, word, coded, distinct, answers
+        give_back()
         return pa.table({"chunk": t.column("chunk"), "payload": pa.array(out, pa.binary())})
 
-    return (words.mapInArrow(deal, "bucket int, chunk long, payload binary")
+    return (words.mapInArrow(lambda batches: tidy(deal(batches)), "bucket int, chunk long, payload binary")
             .groupBy("bucket").applyInArrow(solve, "chunk long, payload binary"))
 
 
@@ -230,6 +236,8 @@ def reassemble(chunks: DataFrame, answers: DataFrame,
             lens = done[ends] - done[ends - size]
             cols = fold(by_number, unvarint(raw), lens)
             out.append(pa.table({key: run.column("key")} | {n: cols[n] for n in names}))
+        del parts, by_number
+        give_back()
         return pa.concat_tables(out)
 
     return (docs.groupBy("chunk").cogroup(answers.groupBy("chunk"))
