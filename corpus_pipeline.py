@@ -32,7 +32,7 @@ def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    both = bytebpe.decode(bytebpe.encode(docs, queries.MULTI_RANKS), queries.MULTI_RANKS)
+    both = bytebpe.encode(docs, queries.MULTI_RANKS, decoded=True)
     return both.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -75,46 +75,70 @@ def _ids_of(by_number: pa.Table | None, codes: np.ndarray, lens: np.ndarray) ->
             "ids": pa.array([flat[i:j].tobytes() for i, j in zip(a, b)], pa.binary())}
 
 
-def encode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
+@functools.lru_cache(2)
+def token_bytes(path: str) -> pa.Array:
+    """The token-byte table: the bytes of id i at place i."""
+    table = ranks(path)
+    rows = [b""] * (max(table.values()) + 1)
+    for token, i in table.items():
+        rows[i] = token
+    return pa.array(rows, pa.large_binary())
+
+
+def decode_ids(flat: np.ndarray, path: str) -> tuple[bytes, np.ndarray]:
+    """(joined bytes, offset of every id in them and the end)."""
+    if not len(flat):
+        return b"", np.zeros(1, np.int64)
+    got = token_bytes(path).take(pa.array(flat))
+    offsets = np.frombuffer(got.buffers()[1], np.int64)[:len(got) + 1]
+    # Consecutive values of an Arrow binary array lie next to each other.
+    return got.buffers()[2].to_pybytes()[:offsets[-1]], offsets
+
+
+def _ids_and_bytes(path: str):
+    def fold(by_number: pa.Table | None, codes: np.ndarray, lens: np.ndarray) -> dict[str, pa.Array]:
+        out = _ids_of(by_number, codes, lens)
+        flat = np.frombuffer(b"".join(out["ids"].to_pylist()), "<u4")
+        joined, offsets = decode_ids(flat, path)
+        stops = np.cumsum(out["n_tokens"].to_numpy(zero_copy_only=False))
+        starts = np.concatenate(([0], stops[:-1])) if len(stops) else stops
+        return out | {"decoded": pa.array([joined[offsets[i]:offsets[j]] for i, j in zip(starts, stops)], pa.binary())}
+    return fold
+
+
+def encode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, n_tokens, ids): ids as little-endian unsigned 32-bit integers; with
+    ``decoded`` also their bytes, decoded in the same pass (one Python worker a
+    task instead of two)."""
     prepare(docs.sparkSession)
     split = docs.select(F.col(key), pretokens(docs[text]).alias("words__"))
     chunks = wordmap.explode_words(split, key, "words__")
     answers = wordmap.answer_words(chunks, _merge_words(ranks_path))
-    return wordmap.reassemble(chunks, answers, _ids_of, key, "n_tokens long, ids binary")
+    columns = "n_tokens long, ids binary"
+    if decoded:
+        return wordmap.reassemble(chunks, answers, _ids_and_bytes(ranks_path), key, columns + ", decoded binary")
+    return wordmap.reassemble(chunks, answers, _ids_of, key, columns)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds ``decoded`` (binary): the bytes of each row's ``ids`` in order."""
     prepare(encoded.sparkSession)
     fields = encoded.schema
+    names = fields.fieldNames()
 
     def run(batches):
-        table = ranks(ranks_path)
-        rows = [b""] * (max(table.values()) + 1)
-        for token, i in table.items():
-            rows[i] = token
-        joined = pa.array(rows, pa.large_binary())
         for b in batches:
-            out = []
-            for ids in b.column(names.index("ids")).to_pylist():
-                if not ids:
-                    out.append(b"")
-                    continue
-                got = joined.take(pa.array(np.frombuffer(ids, "<u4")))
-                # Consecutive values of an Arrow binary array lie next to each other.
-                out.append(got.buffers()[2].to_pybytes()[:got.buffers()[1] and
-                           np.frombuffer(got.buffers()[1], np.int64)[len(got)]])
+            out = [decode_ids(np.frombuffer(ids or b"", "<u4"), ranks_path)[0]
+                   for ids in b.column(names.index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())],
                                              names=[*names, "decoded"])
 
-    names = fields.fieldNames()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", decoded binary"
     return encoded.mapInArrow(lambda batches: tidy(run(batches)), schema)
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """The registered query's columns, from the operator's ids and bytes."""
-    both = decode(encode(docs, ranks_path), ranks_path)
+    both = encode(docs, ranks_path, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -18,7 +18,7 @@ def prepare(spark: SparkSession) -> None:
     ensure_utc(spark)
     checkpoint_dir(spark)
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
