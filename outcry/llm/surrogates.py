@@ -2,8 +2,8 @@
 stand-ins.  DataFrame operations only.
 
 Detected types: e-mail, IPv4 address, IBAN, payment card number, social
-security number, phone number, access key, assigned secret (``password=...``)
-and titled person names.  A mention belongs to an entity (type, canonical
+security number, phone number, access key, assigned secret (``password=...``,
+``TOKEN = "..."``, ``secret: ...``) and titled person names.  A mention belongs to an entity (type, canonical
 form): e-mails without case, numbers without separators, a name word by role,
 gender of its title and script; so all mentions of an entity share a surrogate
 (coreference), rendered in the format of each mention.
@@ -44,6 +44,8 @@ ATTEMPTS = 64
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа"
 _LABEL = "password|passwd|pwd|secret|api_key|apikey|api-key|access_token|token"
+#: Label, sign and opening quote of an assigned secret: ``pwd=``, ``TOKEN = "``, ``"secret": "``.
+_ASSIGNED = rf"(?i:{_LABEL})[\"']?[ \t]*[=:][ \t]*[\"']?"
 #: Type -> pattern, in the order in which they are tried at a position.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
@@ -54,7 +56,7 @@ PATTERNS = {
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])",
     "access": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "vendor": r"(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,200}",
-    "secret": rf"(?i:{_LABEL})=[\"']?[^\s\"',;]{{4,400}}",
+    "secret": rf"{_ASSIGNED}[^\s\"',;]{{4,400}}",
     "name": rf"(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}[\p{{L}}]+(?: \p{{Lu}}[\p{{L}}]+)?(?!\p{{L}})",
 }
 #: A mention starts where no word or number is under way.
@@ -173,7 +175,7 @@ def _canonical(kind: Column, mention: Column) -> Column:
                                                         script(w), F.lower(w)))
     plain = (F.when(kind == "email", F.lower(mention)).when(kind.isin("card", "ssn"), _digits(mention))
              .when(kind == "phone", F.regexp_replace(mention, "[^0-9+]", "")).when(kind == "iban", F.regexp_replace(mention, " ", ""))
-             .when(kind == "secret", F.regexp_replace(mention, rf"^(?i:{_LABEL})=[\"']?", "")).otherwise(mention))
+             .when(kind == "secret", F.regexp_replace(mention, rf"^{_ASSIGNED}", "")).otherwise(mention))
     return F.when(kind == "name", names).otherwise(F.array(plain))
 
 
@@ -198,7 +200,7 @@ def _rendered(kind: Column, mention: Column, values: Column) -> Column:
     name = F.concat(title, F.array_join(F.transform(values, lambda v: F.when(caps, F.upper(v)).otherwise(F.initcap(v))), " "))
     return (F.when(kind == "email", cased).when(kind.isin("phone", "card", "ssn"), _fill(mention, _digits(one), "^[0-9]"))
             .when(kind == "iban", _fill(mention, one, "^[A-Z0-9]"))
-            .when(kind == "secret", F.concat(F.regexp_extract(mention, rf"^(?i:{_LABEL})=[\"']?", 0), one))
+            .when(kind == "secret", F.concat(F.regexp_extract(mention, rf"^{_ASSIGNED}", 0), one))
             .when(kind == "name", name).otherwise(one))
 
 

@@ -258,6 +258,23 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert mentions.filter("mention = replacement").count() == 0
 
 
+def test_assigned_secrets_with_blanks_quotes_and_capitals(spark):
+    value = "0f3c9ad27be14568aa01bc9e7d55f1023b6e84c7"
+    forms = ['token = "{}"', 'TOKEN = "{}"', "Password='{}'", "secret: {}", 'api_key\t=\t"{}"', "pwd={}", '{{"access_token": "{}"}}']
+    rows = [(i, "a " + f.format(value) + " z") for i, f in enumerate(forms)] + [(90, "the token\n= abcdefgh"), (91, "a secret = abc")]
+    out, mentions = surrogates.replace(frame(spark, rows))
+    got = {r.doc_id: (r.text, r.n_entities) for r in out.collect()}
+    values = set()
+    for i, f in enumerate(forms):
+        head, tail = ("a " + f + " z").replace("{{", "{").replace("}}", "}").split("{}")
+        text, n = got[i]
+        assert n == 1 and text.startswith(head) and text.endswith(tail), text
+        values.add(text[len(head):len(text) - len(tail)])
+    assert len(values) == 1 and re.fullmatch("[a-z0-9]{40}", min(values)) and value not in values
+    assert got[90] == (rows[-2][1], 0) and got[91] == (rows[-1][1], 0)
+    assert {r.kind for r in mentions.collect()} == {"secret"}
+
+
 def test_small_formats_stay_distinct(spark):
     secrets = [f"password=ab{c}{d}" for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"]
     octets = [f"1.2.{a}.{b}" for a in range(10) for b in range(10)]
