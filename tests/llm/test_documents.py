@@ -275,6 +275,20 @@ def test_assigned_secrets_with_blanks_quotes_and_capitals(spark):
     assert {r.kind for r in mentions.collect()} == {"secret"}
 
 
+def test_long_secrets_are_replaced_to_their_end(spark):
+    rng = random.Random(21)
+    token = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    start, a, b, key = token(400), token(1600), token(1600), token(2000)
+    rows = [(1, f"x access_token={start}{a} y"), (2, f"x access_token={start}{b} y"), (3, f"x ghp_{key} y")]
+    out, mentions = surrogates.replace(frame(spark, rows))
+    text = {r.doc_id: r.text for r in out.collect()}
+    assert sorted(map(len, text.values())) == sorted(len(t) for _, t in rows)
+    for i, t in rows:
+        assert not any(t[k:k + 20] in text[i] for k in range(20, len(t) - 22))
+        assert text[i].startswith(t[:6]) and text[i].endswith(" y")
+    assert text[1] != text[2] and {len(r.mention) for r in mentions.collect()} == {2013, 2004}
+
+
 def test_small_formats_stay_distinct(spark):
     secrets = [f"password=ab{c}{d}" for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"]
     octets = [f"1.2.{a}.{b}" for a in range(10) for b in range(10)]
