@@ -9,8 +9,9 @@ marks), shingles are five words.  A shingle that occurs in d items has weight
    shingles, so windows are laid where a shingle of some item occurs in the
    text, at the offset it has in that item (elsewhere every similarity is 0).
    Equal windows are kept once.
-2. Every window and item gets ``FINGERPRINTS`` 64-bit SimHashes of its weighted
-   shingles.
+2. Every window and item gets ``FINGERPRINTS`` 64-bit SimHashes of its
+   shingles, each voting with the root of its weight times its count: the angle
+   follows the squares of the votes, the verified similarity the weights.
 3. Multi-index Hamming search: a fingerprint is four blocks of 16 bits; two
    fingerprints within ``RADIUS`` = 15 bits agree on some block up to 3 bits
    (pigeonhole).  Items are indexed under all 697 block values at distance 0-3,
@@ -78,7 +79,9 @@ def _counted(frame: DataFrame, key: str, weights: DataFrame) -> DataFrame:
 
 def _fingerprint(bag, seed: int):
     """64-bit SimHash of a weighted bag."""
-    hashed = F.transform(bag, lambda x: F.struct(F.xxhash64(F.lit(seed), x["s"]).alias("h"), (x["c"] * x["w"]).alias("m")))
+    # The root is held to 1/1024: votes are summed as whole numbers, in any order.
+    vote = lambda x: F.round(F.sqrt(x["c"] * x["w"]) * 1024).cast("long")
+    hashed = F.transform(bag, lambda x: F.struct(F.xxhash64(F.lit(seed), x["s"]).alias("h"), vote(x).alias("m")))
 
     def bit(b):
         lean = F.aggregate(hashed, F.lit(0).cast("long"),

@@ -202,6 +202,26 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(k) for k, _ in docs if k not in leaked)
 
 
+def test_leaks_of_items_that_share_most_of_a_passage(spark):
+    """Light shared shingles and a few heavy own ones, windows just above the bar."""
+    rng = random.Random(13)
+    items, docs, want = [], [], {}
+    for group, (sharers, n_shared, n_own, cuts) in enumerate([(5, 200, 6, (4, 5)), (10, 300, 5, (3,)), (20, 160, 3, (1,))] * 2):
+        passage = prose(rng, n_shared)
+        own_items = [passage + prose(rng, n_own) for _ in range(sharers)]
+        these = [(100 * group + k, " ".join(w)) for k, w in enumerate(own_items)]
+        changed = [(1000 * group + 10 * k + cut, " ".join(w[:-cut] + prose(rng, cut))) for k, w in enumerate(own_items) for cut in cuts]
+        items, docs = items + these, docs + changed
+        want |= brute_leaks(changed, these)  # groups have no shingle in common
+    band = {k for k, v in want.items() if 0.8 <= v <= 0.85}
+    assert len(band) >= 60
+    table = spark.createDataFrame(items, "item_id int, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.leaks(frame(spark, docs), table).collect()}
+    assert set(got) <= set(want) and all(got[k] == round(want[k], 9) for k in got)
+    assert len(band - set(got)) <= 0.02 * len(band), (len(band - set(got)), len(band))
+    assert len(set(want) - set(got)) <= 0.01 * len(want), (len(set(want) - set(got)), len(want))
+
+
 def test_hamming_index_meets_every_print_within_the_radius(spark):
     from pyspark.sql import functions as F
     rng = random.Random(12)
