@@ -9,9 +9,11 @@ The lexicon is a trie; intersected with the Levenshtein automaton of the word
 being read it is one automaton whose states are sets of (trie node, edits).
 States and transitions are made when first met and kept, so a word costs a few
 dictionary look-ups and most words die after some letters.  Terms of 5-7
-letters allow one edit, longer ones two, shorter ones none, all behind a right
-first letter; a stem must match
-exactly and leaves the rest of the word free.
+letters allow one edit, longer ones two, shorter ones none; a stem must match
+exactly and leaves the rest of the word free.  An edit at the first letter often
+makes another word ("trash", "crash"): a word that is near only by such an edit
+is spared if the labelled sample shows it in clean texts and not far more often
+in toxic ones.
 
 Every hit is scored in its context window (``WINDOW`` words on each side): hits
 in quotation marks or near a word of reporting count as quotation, the others
@@ -54,9 +56,11 @@ _SECOND = frozenset("you your yours u ur du dich dir dein ihr euch tu te toi vou
 
 
 class Model(NamedTuple):
-    """terms: (text, is_stem, weight 0..1); coefficients: bias and features."""
+    """terms: (text, is_stem, weight 0..1); coefficients: bias and features;
+    spared: words near a term by their first letter that are no hits."""
     terms: tuple[tuple[str, bool, float], ...]
     coefficients: tuple[float, ...]
+    spared: tuple[str, ...] = ()
 
 
 def edits_allowed(term: str) -> int:
@@ -64,12 +68,17 @@ def edits_allowed(term: str) -> int:
 
 
 class Automaton:
-    """Intersection of the lexicon trie with the Levenshtein automaton."""
+    """Intersection of the lexicon trie with the Levenshtein automaton.  ``match``
+    takes the first letter as right unless ``free``; ``near`` lets it be edited
+    in words that are not ``spared``."""
 
     KEEP_STATES = 100_000
     KEEP_WORDS = 200_000
 
-    def __init__(self, terms):
+    def __init__(self, terms, spared=(), free: bool = False):
+        self.free = free
+        self.spared = frozenset(spared)
+        self.plain = self if free else Automaton(terms, free=True)
         self.children: list[dict[str, int]] = [{}]
         self.term: list[int] = [-1]
         self.stem: list[int] = [-1]
@@ -95,6 +104,8 @@ class Automaton:
         """Forgets states and words when they are many."""
         if len(self.sets) > self.KEEP_STATES or len(self.words) > self.KEEP_WORDS:
             self._reset()
+        if self.plain is not self:
+            self.plain.trim()
 
     def _reset(self):
         self.ids: dict[tuple, int] = {}
@@ -111,7 +122,7 @@ class Automaton:
         todo = list(edits)
         while todo:
             node = todo.pop()
-            if not node:  # the first letter is taken as right
+            if not node and not self.free:  # the first letter is taken as right
                 continue
             e = edits[node] + 1
             for child in self.children[node].values():
@@ -132,10 +143,10 @@ class Automaton:
         out: dict[int, int] = {}
         for node, e in self.sets[state]:
             for letter, child in self.children[node].items():
-                cost = e if letter == c else e + 1 if node else 9
+                cost = e if letter == c else e + 1 if node or self.free else 9
                 if cost <= self.room[child] and cost < out.get(child, 9):
                     out[child] = cost
-            if node and e + 1 <= self.room[node] and e + 1 < out.get(node, 9):
+            if (node or self.free) and e + 1 <= self.room[node] and e + 1 < out.get(node, 9):
                 out[node] = e + 1
         return self._state(out) if out else -1
 
@@ -164,12 +175,21 @@ class Automaton:
             self.hits.add(word)
         return found
 
+    def near(self, word: str) -> tuple[int, int] | None:
+        """``match``, or else the closest term by an edit at the first letter."""
+        loose = self.plain.match(word)
+        return loose and (self.match(word) or (None if word in self.spared else loose))
+
+    def front(self, words) -> set[str]:
+        """The distinct words that are near a term only by an edit at the first letter."""
+        return {w for w in set(words) if self.plain.match(w) is not None and self.match(w) is None}
+
     def matches(self, words: list[str]) -> dict[str, tuple[int, int]]:
-        """The distinct words that match, with their matches."""
+        """The distinct words that are near a term, with their matches."""
         distinct = set(words)
-        for w in distinct.difference(self.words):
-            self.match(w)
-        return {w: found for w in distinct & self.hits if (found := self.words.get(w)) is not None}
+        for w in distinct.difference(self.plain.words):
+            self.plain.match(w)
+        return {w: found for w in distinct & self.plain.hits if (found := self.near(w)) is not None}
 
 
 FEATURES = 6
@@ -276,6 +296,27 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple:
     return tuple((r["w"], r["stem"], min(float(np.log(r["odds"])), 8.0) / 8.0) for r in kept[:TERMS])
 
 
+def _spared(sample: DataFrame, terms, n_toxic: int, n_clean: int) -> tuple[str, ...]:
+    """The words near a term by their first letter that clean texts of the
+    sample (text__, toxic) hold and toxic ones not ``ODDS`` times as often."""
+    def fronts(batches):
+        automaton = Automaton(terms)
+        for b in batches:
+            word, toxic = [], []
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                automaton.trim()
+                some = automaton.front(WORD.findall(text.lower()))
+                word += some
+                toxic += [label] * len(some)
+            yield pa.RecordBatch.from_pydict({"w": pa.array(word, pa.string()), "toxic": pa.array(toxic, pa.int32())})
+
+    odds = (F.col("a") / n_toxic) / ((F.col("b") + 0.5) / n_clean)
+    rows = (sample.mapInArrow(lambda batches: tidy(fronts(batches)), "w string, toxic int").groupBy("w")
+            .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+            .filter((F.col("b") > 0) & (odds < ODDS)).select("w").collect())
+    return tuple(sorted(r["w"] for r in rows))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
     """Weighted ridge logistic regression by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -315,8 +356,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not terms:
         return Model((), (0.0,) * (1 + FEATURES))
 
+    spared = _spared(sample, terms, n[1], n[0])
+
     def measured(batches):
-        automaton = Automaton(terms)
+        automaton = Automaton(terms, spared)
         for b in batches:
             rows = [features(t, automaton, terms) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict(
@@ -327,7 +370,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     weight = np.where(y == 1, totals[1] / n[1], totals[0] / n[0])
     order = np.lexsort(np.array(rows["x"].tolist()).T)
     x = np.array(rows["x"].tolist())[order]
-    return Model(terms, _logistic(x, y[order], (weight / weight.mean())[order]))
+    return Model(terms, _logistic(x, y[order], (weight / weight.mean())[order]), spared)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
@@ -335,11 +378,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     prepare(docs.sparkSession)
     names = docs.columns
     place = names.index(text)
-    terms, beta = model
+    terms, beta, spared = model
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` double"
 
     def run(batches):
-        automaton = Automaton(terms)
+        automaton = Automaton(terms, spared)
         for b in batches:
             if terms:
                 x = np.array([features(t, automaton, terms) for t in b.column(place).to_pylist()]).reshape(-1, FEATURES)

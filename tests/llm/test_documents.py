@@ -365,6 +365,49 @@ def test_automaton_equals_edit_distance():
         assert got == ((min(near)[1], min(near)[0]) if near else None), w
 
 
+def test_near_words_equal_plain_edit_distance():
+    rng = random.Random(5)
+    terms = tuple((t, False, 1.0) for t in ("scum", "idiot", "moron", "pathetic", "worthless", "patheti"))
+    spared = ("oron", "boron", "atheti")
+    automaton = toxicity.Automaton(terms, spared)
+    automaton.KEEP_STATES = automaton.plain.KEEP_STATES = 50
+    words = [*spared, "1diot", "diot", "xmoron", "orthless", "zworthlss", "thetic", "cum", "xscum", "scum"]
+    for _ in range(4000):
+        w = list(rng.choice(terms)[0])
+        for _ in range(rng.randrange(0, 4)):
+            k = rng.choice((0, rng.randrange(len(w) + 1)))
+            w[k:k + rng.randrange(2)] = rng.choice(["", "x", "i", "o1", "t"])
+        words.append("".join(w))
+    for w in words:
+        near = [(distance(w, t), i) for i, (t, _, _) in enumerate(terms) if distance(w, t) <= toxicity.edits_allowed(t)]
+        automaton.trim()
+        plain, strict = automaton.plain.match(w), automaton.match(w)
+        assert plain == ((min(near)[1], min(near)[0]) if near else None), w
+        want = strict or (None if w in spared else plain)
+        assert automaton.near(w) == want and automaton.matches([w, "zzz"]) == ({w: want} if want else {}), w
+    assert automaton.near("1diot") == (1, 1) and automaton.near("oron") is None and automaton.near("cum") is None
+
+
+def test_clean_words_near_a_term_are_spared(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(600):
+        words, toxic = prose(rng, 40, 300), int(i % 4 == 0)
+        if toxic:
+            words[rng.randrange(40)] = rng.choice(["moron", "moron", "worthless", "morron"])
+        elif i % 5 == 1:
+            words[rng.randrange(40)] = "boron"
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, known)
+    assert {t for t, _, _ in model.terms} >= {"moron", "worthless"} and model.spared == ("boron",)
+    base = " ".join(prose(rng, 39, 300))
+    new = frame(spark, [(1, base + " xmoron"), (2, base + " orthless"), (3, base + " boron"), (4, base)])
+    score = {r.doc_id: r.score for r in toxicity.score(new, model).collect()}
+    assert score[3] == score[4] < 0.5 and min(score[1], score[2]) > 0.5
+
+
 def test_stems_leave_the_rest_free():
     automaton = toxicity.Automaton((("vile", True, 1.0), ("viler", False, 1.0)))
     assert automaton.match("vileness") == (0, 0) and automaton.match("viler") == (1, 0)
