@@ -27,7 +27,10 @@ a task.
 
 Defined results: a null text stays null and has no mentions; a text without
 mentions stays as it is; repeated rows give equal rows; all other columns pass
-through unchanged; an empty table gives an empty table.  Whole texts are
+through unchanged; an empty table gives an empty table.  A mention may follow
+punctuation or text of a script without blanks, but starts inside no word or
+number of its own kind; an e-mail's local part may hold letters of any script
+(glued ones only if all are).  Whole texts are
 searched, and a secret or vendor key is met up to its end, however long.
 """
 
@@ -46,9 +49,16 @@ _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа"
 _LABEL = "password|passwd|pwd|secret|api_key|apikey|api-key|access_token|token"
 #: Label, sign and opening quote of an assigned secret: ``pwd=``, ``TOKEN = "``, ``"secret": "``.
 _ASSIGNED = rf"(?i:{_LABEL})[\"']?[ \t]*[=:][ \t]*[\"']?"
+#: Scripts without blanks (or, as Hangul, with particles right at the word): text may be glued to a mention. As code
+#: points, since looking up the script of every letter takes most of the time: Thai, Lao, Myanmar, Hangul, Khmer, Kana, Han.
+_GLUED = (r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1100}-\x{11FF}\x{1780}-\x{17FF}\x{2E80}-\x{2FDF}\x{3005}-\x{3007}"
+          r"\x{3040}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A960}-\x{A97F}\x{AC00}-\x{D7FF}\x{F900}-\x{FAFF}"
+          r"\x{FF66}-\x{FFDC}\x{20000}-\x{3FFFF}")
+#: Characters of the local part of an e-mail.
+_LOCAL = rf"[A-Za-z0-9[\p{{L}}\p{{M}}\p{{N}}&&[\x{{0}}-\x{{DFF}}[^{_GLUED}]]]._%+\-]"
 #: Type -> pattern, in the order in which they are tried at a position.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": rf"(?:{_LOCAL}++|(?![\x{{0}}-\x{{DFF}}])[{_GLUED}]++)@(?:[\p{{L}}\p{{M}}\p{{N}}-]+\.)+[A-Za-z]{{2,24}}(?![A-Za-z0-9-])",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![.]?\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"[3-6]\d{3}(?:(?:[ -]\d{4}){3}|[ -]\d{6}[ -]\d{5}|\d{9,15})(?![\d-])",
@@ -59,8 +69,20 @@ PATTERNS = {
     "secret": rf"{_ASSIGNED}[^\s\"',;]{{4,}}+",
     "name": rf"(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}[\p{{L}}]+(?: \p{{Lu}}[\p{{L}}]+)?(?!\p{{L}})",
 }
-#: A mention starts where no word or number is under way.
-PATTERN = r"(?<![\p{L}\p{N}._%+@-])(?:" + "|".join(PATTERNS.values()) + ")"
+def _start(kind: str) -> str:
+    """What may not be before a mention, besides a word under way: a number of its kind or own characters."""
+    return {"ip": r"(?<!\p{N}\.)", "card": r"(?<!\p{N}[.-])", "ssn": r"(?<!\p{N}[.-])", "phone": r"(?<!\p{N}[.-])",
+            "vendor": r"(?<![_-])"}.get(kind, "")
+
+
+#: A mention starts where its type may: an e-mail behind none of its own characters, the others where no word is under
+#: way (tested once for all), a phone number with a plus sign or bracket also right behind a word, which that ends.
+#: The first group passes over the inside of ASCII words at little cost.
+PATTERN = (r"(?:(?<![A-Za-z0-9])|(?=[+(\x{80}-\x{10FFFF}]))"
+           rf"(?:(?:(?=[\x{{0}}-\x{{DFF}}])(?<!{_LOCAL})|(?![\x{{0}}-\x{{DFF}}])(?:(?<!{_LOCAL})(?={_LOCAL})|(?<![{_GLUED}])(?=[{_GLUED}])))"
+           rf"{PATTERNS['email']}"
+           rf"|(?<![A-Za-z0-9[\p{{L}}\p{{N}}&&[\x{{0}}-\x{{DFF}}[^{_GLUED}]]]])(?:" + "|".join(_start(k) + p for k, p in PATTERNS.items() if k != "email")
+           + rf")|(?=[+(])(?<!\p{{N}})(?<!\p{{N}}[.-]){PATTERNS['phone']})")
 
 _SYLLABLES = {
     "latin": "ba be bo ca da de do el fa ga ha jo ka la le li lo ma me mi na ne no pa ra re ri ro sa se ta te ti to va vi".split(),
