@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytebpe, chat, decontam, omh, surrogates, tokencount, tokenfile, topk, toxicity, warc
+from . import bytebpe, chat, decontam, merkle, omh, packing, surrogates, tokencount, tokenfile, topk, toxicity, turnrepair, warc
 from .runtime import prepare, table
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
+PACK_END_ID = 1
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(messages.unionByName(extra))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(table(spark, sf_dir, "documents"), BYTE_BPE, PACK_END_ID)
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_token_counts, op3_decontaminate, op4_byte_bpe, op5_topk, op6_token_files, op7_warc,
-    op8_order_minhash, op9_surrogates, op10_chat)}
-ORACLE_SQL = {"op5_topk": topk.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
+    op8_order_minhash, op9_surrogates, op10_chat, op11_packing, op12_turn_repair, op13_merkle)}
+ORACLE_SQL = {"op5_topk": topk.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op12_turn_repair": turnrepair.ORACLE_SQL,
+              "op13_merkle": merkle.ORACLE_SQL}
