@@ -165,3 +165,44 @@ def part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.initcap("p_name").alias("display_name"),
         F.initcap("p_type").alias("provider"),
         F.col("p_partkey").cast("int").alias("sort_order"))
+
+
+# Fixed values — the feed's first edition has the parts up to this size; two
+# merges of the dated catalog, and the births in the catalog before them.
+FIRST_EDITION_SIZE = 25
+MERGE_TIMES = ("2024-05-06 07:00:00", "2024-05-13 07:00:00")
+FIRST_BIRTH = "2024-01-01 00:30:00"
+
+
+def part_first_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as it was before the larger parts were listed."""
+    p = table(spark, sf_dir, "part").where(F.col("p_size") <= FIRST_EDITION_SIZE)
+    return part_feed(spark, sf_dir).join(p.select(F.col("p_partkey").alias("pos")), "pos", "left_semi")
+
+
+def part_dated_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The existing catalog with births: parts of size s since s hours after
+    ``FIRST_BIRTH``, the larger ones always."""
+    born = F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit(FIRST_BIRTH))) + F.col("p_size") * F.lit(3600))
+    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("sort_order"), "p_size")
+    return (part_catalog(spark, sf_dir).join(sizes, "sort_order")
+            .withColumn("valid_from", F.when(F.col("p_size") <= FIRST_EDITION_SIZE, born)).drop("p_size"))
+
+
+# Fixed values — general rules before and behind the rules of the table.
+FIRST_RULES = [("*hot*rod*", "hot-rod")]
+LAST_RULES = [("*-ring-*", "ring"), ("p*", "p-rest"), ("*e", "e-rest")]
+
+
+def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alias rules (rule, pattern, entity_id) between the general ones: one for
+    every name and size of the first edition's parts, which takes all names of its first word in
+    that size, so that their order decides."""
+    names = table(spark, sf_dir, "part").where(F.col("p_size") <= FIRST_EDITION_SIZE)
+    names = names.select("p_name", F.split("p_name", " ")[0].alias("w"), F.col("p_size").alias("s")).distinct()
+    glob = F.concat(F.lit("*/"), "w", F.lit("-*-"), F.col("s").cast("string"))
+    own = names.select(F.concat(F.lit("2 "), "p_name", F.lit(" "), F.format_string("%03d", "s")).alias("rule"),
+                       F.concat(glob, F.lit("|"), glob, F.lit(":free")).alias("pattern"),
+                       F.concat("p_name", F.lit(" "), F.col("s").cast("string")).alias("entity_id"))
+    rows = [(f"{1 if rules is FIRST_RULES else 3} {k}", *r) for rules in (FIRST_RULES, LAST_RULES) for k, r in enumerate(rules)]
+    return own.unionByName(spark.createDataFrame(rows, "rule string, pattern string, entity_id string"))

@@ -55,7 +55,8 @@ def rate_cap(signals: DataFrame, k: int = K.RATE_CAP, bucket: str = "hour") -> D
             .drop("_rl_rank"))
 
 
-def _tag_known(signals: DataFrame, catalog: DataFrame) -> DataFrame:
+def tag_known(signals: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Attempts with ``_missing`` (no entity) and ``_ok`` (known entity)."""
     known = catalog.select("entity_id", F.lit(True).alias("_known"))
     missing = F.col("entity_id").isNull() | (F.col("entity_id") == F.lit(""))
     return (signals.join(known, on="entity_id", how="left")
@@ -77,7 +78,7 @@ def admission(signals: DataFrame, catalog: DataFrame, k: int = K.RATE_CAP,
     small side — broadcast when small, otherwise sort-merge with AQE skew
     splitting of a hot key).
     """
-    tagged = _tag_known(_with_hour(signals, bucket), catalog)
+    tagged = tag_known(_with_hour(signals, bucket), catalog)
     ok = tagged.where(F.col("_ok"))
     w = Window.partitionBy("actor_key", "hour").orderBy("ts", "signal_id")
     cut = (ok.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.lit(k))
@@ -101,7 +102,7 @@ def admission_report(signals: DataFrame, catalog: DataFrame, k: int = K.RATE_CAP
     (actor, bucket) the first min(c, k) known attempts are accepted and the
     rest rate limited, so no attempt needs a rank.  Every step is a partial
     (map-side) aggregate, whatever the skew."""
-    tagged = _tag_known(_with_hour(signals, bucket), catalog)
+    tagged = tag_known(_with_hour(signals, bucket), catalog)
     rejects = (tagged.where(~F.col("_ok"))
                      .groupBy(F.when(F.col("_missing"), F.lit("missing_entity"))
                                .otherwise(F.lit("unknown_entity")).alias("reason"), "hour")

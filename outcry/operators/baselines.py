@@ -1,6 +1,5 @@
-"""Baselines: slot EWMA (C1/C2), history replay (C3, C3b, C5b), tiers
-(C7/C8/C9), share EWMA (C5), lifetime totals (C6) and the incremental
-one-bucket update (C4).
+"""Baselines: slot EWMA (C1/C2), tiers (C7/C8/C9), share EWMA (C5), lifetime
+totals (C6) and the incremental one-bucket update (C4).
 
 Design
 * Every catalog entity gets an observation in every closed bucket (0 when
@@ -13,11 +12,9 @@ Design
   at most one value per week whatever the signal volume, so a hot entity only
   has larger numbers, not longer arrays.  Operand order follows the reference,
   so results are bit-equal to a sequential evaluation.
-* Histories (state before every bucket, for the no-look-ahead replay) use one
-  pass per entity (``replay``), fed with sparse rows: the slot recurrence runs week
-  by week vectorised over the entity's slots, the share recurrence is a scalar
-  loop, and the as-of hour/aggregate tiers are computed in the same pass.  An
-  array-append fold would be quadratic in the number of buckets.
+* Histories (state before every bucket, for the no-look-ahead replay) are in
+  ``operators.replay``; an array-append fold would be quadratic in the number
+  of buckets.
 * Tier averages are rounded to 9 decimals (exact decimal sums in the direct
   path, numpy sums in the replay), which absorbs summation-order differences
   between engines before z-scores are banded.
@@ -25,8 +22,6 @@ Design
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +30,7 @@ from outcry import constants as K
 from outcry.functions.scoring import ewma_step, round_half_up, share_step
 from outcry.functions.time import (BUCKETS, add_buckets, bucket_index, dow, hod,
                                    slot_index)
-from outcry.operators.counts import birth_index, bucket_arrays, hourly_totals
+from outcry.operators.counts import birth_index
 from outcry.sources.signals import upsert
 
 _DEC = T.DecimalType(38, 18)
@@ -106,7 +101,8 @@ def _walk(obs: Column, p: Column, key: Column) -> tuple[Column, Column]:
             (p + F.when(hit, F.lit(1)).otherwise(F.lit(0))).cast("int"))
 
 
-def _fold_state(acc: Column, w: Column) -> Column:
+def fold_state(acc: Column, w: Column) -> Column:
+    """State (mean, std, n, pointer) after the slot's observation of week ``w``."""
     x, p = _walk(F.col("obs"), acc["p"], w)
     m, s, n = ewma_step(acc["mean"], acc["std"], acc["n"], x)
     return F.struct(m.alias("mean"), s.alias("std"), n.alias("n"), p.alias("p"))
@@ -137,7 +133,7 @@ def slot_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column
     sf = sf.where(active | F.col("_seed").isNotNull() if seed is not None else active)
     weeks = F.sequence(F.col("w0"), F.col("w0") + F.col("n_weeks") - F.lit(1))
     state = F.when(F.col("n_weeks") > F.lit(0),
-                   F.aggregate(weeks, init, _fold_state)).otherwise(init)
+                   F.aggregate(weeks, init, fold_state)).otherwise(init)
     last_i = F.col("i0") + (F.col("n_weeks") - F.lit(1)) * F.lit(period)
     last = add_buckets(lo, last_i, bucket)
     if seed is not None:
@@ -147,13 +143,6 @@ def slot_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column
                      state["n"].alias("n"), last.alias("last_hour"))
 
 
-def slot_history(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
-                 bucket: str = "hour") -> DataFrame:
-    """One row per entity and bucket in [lo, hi] with the slot state before
-    (prev_*) and after the bucket's observation x (see ``replay``)."""
-    return replay(entity_series(counts, catalog, lo, hi, bucket), lo, hi, bucket)
-
-
 # ------------------------------------------------------------------ tiers
 def _dec(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(_DEC)
@@ -206,12 +195,6 @@ TIER_COLUMNS = ["slot_mean", "slot_std", "slot_n", "hour_mean", "hour_std", "hou
                 "agg_mean", "agg_std", "agg_n"]
 
 
-def tier_history(history: DataFrame) -> DataFrame:
-    """Tiers as of each bucket (state from earlier buckets only), which
-    the replay computes in the same pass."""
-    return history.select("entity_id", "hour", *TIER_COLUMNS)
-
-
 # ------------------------------------------------------------------ shares
 def active_buckets(totals: DataFrame, lo: Column, hi: Column, bucket: str = "hour") -> Column:
     """Sorted array of (bucket index, total) for buckets with a positive total,
@@ -262,199 +245,6 @@ def share_baselines(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Colum
                            st["total"].alias("total")))
 
 
-_REPLAY_SCHEMA = T.StructType([
-    T.StructField("entity_id", T.StringType()),
-    T.StructField("hour", T.TimestampType()),
-    T.StructField("dow", T.IntegerType()),
-    T.StructField("hod", T.IntegerType()),
-    T.StructField("x", T.LongType()),
-    T.StructField("total", T.LongType()),
-    T.StructField("prev_mean", T.DoubleType()),
-    T.StructField("prev_std", T.DoubleType()),
-    T.StructField("prev_n", T.LongType()),
-    T.StructField("mean", T.DoubleType()),
-    T.StructField("std", T.DoubleType()),
-    T.StructField("n", T.LongType()),
-    T.StructField("prev_share", T.DoubleType()),
-    T.StructField("prev_total", T.LongType()),
-    T.StructField("share", T.DoubleType()),
-    T.StructField("lifetime_total", T.LongType()),
-    T.StructField("slot_mean", T.DoubleType()),
-    T.StructField("slot_std", T.DoubleType()),
-    T.StructField("slot_n", T.LongType()),
-    T.StructField("hour_mean", T.DoubleType()),
-    T.StructField("hour_std", T.DoubleType()),
-    T.StructField("hour_n", T.LongType()),
-    T.StructField("agg_mean", T.DoubleType()),
-    T.StructField("agg_std", T.DoubleType()),
-    T.StructField("agg_n", T.LongType()),
-])
-
-
-def _replay_entity(entity: str, x: np.ndarray, tot: np.ndarray, sec: np.ndarray, period: int,
-                   daily: bool) -> pd.DataFrame:
-    """Replay one entity's bucket series (counts, totals and unix seconds of
-    consecutive buckets): slot EWMA and share EWMA state before and after every
-    bucket.  Same operation order as the JVM fold and the reference, so values
-    are bit-identical."""
-    h = len(x)
-    if h == 0:
-        return pd.DataFrame({f.name: pd.Series(dtype=object) for f in _REPLAY_SCHEMA.fields})
-    dow_a = (sec // 86400 + 4) % 7  # 1970-01-01 was a Thursday; 0 = Sunday
-    hod_a = np.zeros(h, np.int64) if daily else sec // 3600 % 24
-    slot = dow_a if daily else dow_a * 24 + hod_a
-    off = int(slot[0])
-    weeks = (off + h + period - 1) // period
-    xs = np.zeros(weeks * period)
-    ok = np.zeros(weeks * period, dtype=bool)
-    xs[off:off + h] = x
-    ok[off:off + h] = True
-    xs, ok = xs.reshape(weeks, period), ok.reshape(weeks, period)
-    mean, std, n = np.zeros(period), np.zeros(period), np.zeros(period, dtype=np.int64)
-    pm, ps, pn = np.empty((weeks, period)), np.empty((weeks, period)), np.empty((weeks, period), dtype=np.int64)
-    am, as_, an = np.empty((weeks, period)), np.empty((weeks, period)), np.empty((weeks, period), dtype=np.int64)
-    for w in range(weeks):
-        pm[w], ps[w], pn[w] = mean, std, n
-        xv, v = xs[w], ok[w]
-        a = np.maximum(K.ALPHA_FLOOR, K.ALPHA_SCALE / np.sqrt(np.maximum(n.astype(np.float64), 1.0)))
-        diff = xv - mean
-        nm = a * xv + (1.0 - a) * mean
-        ns = np.sqrt(np.maximum((1.0 - a) * (std * std + a * diff * diff), K.VARIANCE_FLOOR))
-        first = n == 0
-        mean = np.where(v, np.where(first, xv, nm), mean)
-        std = np.where(v, np.where(first, K.INITIAL_STD, ns), std)
-        n = np.where(v, n + 1, n)
-        am[w], as_[w], an[w] = mean, std, n
-    cut = slice(off, off + h)
-    prev_n = pn.reshape(-1)[cut]
-    seen = prev_n > 0
-
-    # As-of tiers (C3b): before bucket (w, s) the current state of slot s' is
-    # this week's for s' < s and last week's otherwise.  Hour tier: slots with
-    # the same hour of day (same column of the 7 x 24 layout); aggregate tier:
-    # all slots; both over existing slots.  The split at s is an exclusive
-    # prefix sum of this week plus an inclusive suffix sum of last week: O(P).
-    def split(cur, prev, rows):
-        c, p = cur.reshape(rows, -1), prev.reshape(rows, -1)
-        before = np.cumsum(c, axis=0) - c
-        after = np.cumsum(p[::-1], axis=0)[::-1]
-        return (before + after).reshape(-1)
-
-    # rows of the split: hour tier = same hour of day = a column of the 7 x 24
-    # layout (daily buckets: every weekday slot, one column of 7); aggregate
-    # tier = all slots in one column.
-    split_rows = {"h": period if daily else 7, "a": period}
-    tiers_out = {k: np.empty((weeks, period)) for k in ("hm", "hs", "am", "as")}
-    tiers_n = {k: np.empty((weeks, period), dtype=np.int64) for k in ("hn", "an")}
-    zero_f, zero_i = np.zeros(period), np.zeros(period, dtype=np.int64)
-    for w in range(weeks):
-        lm, ls, ln = (am[w - 1], as_[w - 1], an[w - 1]) if w else (zero_f, zero_f, zero_i)
-        cm, cs, cn = am[w], as_[w], an[w]
-        ce, le = cn > 0, ln > 0
-        for pre, rows in split_rows.items():
-            cnt = split(ce.astype(np.int64), le.astype(np.int64), rows)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                tiers_out[pre + "m"][w] = _np_round9(split(cm * ce, lm * le, rows) / cnt)
-                tiers_out[pre + "s"][w] = _np_round9(split(cs * ce, ls * le, rows) / cnt)
-            tiers_n[pre + "n"][w] = split(cn * ce, ln * le, rows)
-    hour_n = tiers_n["hn"].reshape(-1)[cut]
-    agg_n = tiers_n["an"].reshape(-1)[cut]
-    hok, aok = hour_n > 0, agg_n > 0
-
-    a = K.SHARE_ALPHA
-    share, total = 0.0, 0
-    sh_prev, tt_prev, sh_after, tt_after = (np.empty(h), np.empty(h, dtype=np.int64),
-                                            np.empty(h), np.empty(h, dtype=np.int64))
-    for i, (ni, ti) in enumerate(zip(x.tolist(), tot.tolist())):
-        sh_prev[i], tt_prev[i] = share, total
-        if ti > 0:
-            cur = ni / ti
-            share = a * cur + (1.0 - a) * share if total > 0 else cur
-            total = total + ni
-        sh_after[i], tt_after[i] = share, total
-
-    return pd.DataFrame({
-        "entity_id": entity, "hour": pd.to_datetime(sec, unit="s", utc=True),
-        "dow": dow_a.astype(np.int32), "hod": hod_a.astype(np.int32),
-        "x": x, "total": tot,
-        "prev_mean": np.where(seen, pm.reshape(-1)[cut], np.nan),
-        "prev_std": np.where(seen, ps.reshape(-1)[cut], np.nan),
-        "prev_n": prev_n,
-        "mean": am.reshape(-1)[cut], "std": as_.reshape(-1)[cut], "n": an.reshape(-1)[cut],
-        "prev_share": sh_prev, "prev_total": tt_prev, "share": sh_after, "lifetime_total": tt_after,
-        "slot_mean": np.where(seen, pm.reshape(-1)[cut], np.nan),
-        "slot_std": np.where(seen, ps.reshape(-1)[cut], np.nan),
-        "slot_n": np.where(seen, prev_n, 0),
-        "hour_mean": np.where(hok, tiers_out["hm"].reshape(-1)[cut], np.nan),
-        "hour_std": np.where(hok, tiers_out["hs"].reshape(-1)[cut], np.nan),
-        "hour_n": np.where(hok, hour_n, 0),
-        "agg_mean": np.where(aok, tiers_out["am"].reshape(-1)[cut], np.nan),
-        "agg_std": np.where(aok, tiers_out["as"].reshape(-1)[cut], np.nan),
-        "agg_n": np.where(aok, agg_n, 0),
-    })
-
-
-def _np_round9(x):
-    """R1 half-up rounding to the tier decimals, numpy version."""
-    scale = float(10 ** K.TIER_DECIMALS)
-    return np.floor(x * scale + 0.5) / scale
-
-
-def replay(series: DataFrame, lo: Column, hi: Column, bucket: str = "hour") -> DataFrame:
-    """C3 + C3b + C5b: slot state, as-of tiers and share state before and after
-    every bucket of every entity, in one pass per entity.
-
-    ``series`` comes from ``entity_series``: one row per entity with its sparse
-    observations.  Only these rows are shuffled; the dense rows are produced
-    where they are replayed.  Within an entity the slot recurrence runs week by
-    week, vectorised over the entity's slots; the share recurrence is a scalar
-    loop: O(buckets) per entity.  Computing the as-of tiers here too (prefix
-    and suffix sums per week) saves a shuffle and two sorts of the dense rows,
-    which window functions over the replay output would need.
-    """
-    secs, period = BUCKETS[bucket]
-    daily = bucket == "day"
-    # An explicit partition count: AQE does not coalesce it, so this CPU-bound
-    # Python stage keeps full parallelism even when the input is small.
-    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(frames):
-        for pdf in frames:
-            for e, b, obs, active, first, n in zip(pdf["entity_id"], pdf["_birth"], pdf["_obs"], pdf["_active"],
-                                                   pdf["_lo"], pdf["_nb"]):
-                if b >= n:
-                    continue
-                x, tot = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                for target, pairs, value in ((x, obs, "n"), (tot, active, "t")):
-                    if len(pairs):
-                        target[[p["i"] for p in pairs]] = [p[value] for p in pairs]
-                sec = first + np.arange(n, dtype=np.int64) * secs
-                yield _replay_entity(e, x[b:], tot[b:], sec[b:], period, daily)
-
-    out = (series.repartition(parts, "entity_id")
-                 .withColumn("_lo", F.unix_seconds(lo)).withColumn("_nb", bucket_index(hi, lo, bucket) + F.lit(1))
-                 .mapInPandas(run, _REPLAY_SCHEMA))
-    # sample counts of a missing tier come back as 0: make them null
-    return out.select(*[F.when(F.col(c) > 0, F.col(c)).alias(c) if c in ("slot_n", "hour_n", "agg_n")
-                        else F.col(c) for c in out.columns])
-
-
-def entity_series(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
-                  bucket: str = "hour") -> DataFrame:
-    """Input of ``replay``: per catalog entity its birth and sparse observations
-    (``counts.bucket_arrays``), and the totals of the active buckets (one value
-    per bucket of the range, the same for every entity)."""
-    totals = hourly_totals(counts)
-    return (bucket_arrays(counts, catalog, lo, hi, bucket)
-            .withColumn("_active", active_buckets(totals, lo, hi, bucket)))
-
-
-def share_history(series: DataFrame, lo: Column, hi: Column, bucket: str = "hour") -> DataFrame:
-    """Share state before and after every bucket (from the replay)."""
-    return replay(series, lo, hi, bucket).select("entity_id", "hour", "prev_share", "prev_total", "share",
-                                                 "lifetime_total")
-
-
 def lifetime_totals(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column) -> DataFrame:
     """Lifetime signal total per catalog entity over [lo, hi]."""
     s = (counts.where((F.col("hour") >= lo) & (F.col("hour") <= hi))
@@ -467,11 +257,18 @@ def lifetime_totals(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Colum
 def apply_bucket(state: DataFrame, counts: DataFrame, catalog: DataFrame, hour: Column,
                  bucket: str = "hour") -> DataFrame:
     """C4: fold one closed bucket onto stored slot state and return the new full
-    state table (A11 upsert semantics).  Idempotent: a slot whose ``last_hour``
-    is already >= ``hour`` is left unchanged.
+    state table (A11 upsert semantics).
 
     ``state``: entity_id, dow, hod, mean, std, n, last_hour.
     """
+    return upsert(state, bucket_updates(state, counts, catalog, hour, bucket), ["entity_id", "dow", "hod"])
+
+
+def bucket_updates(state: DataFrame, counts: DataFrame, catalog: DataFrame, hour: Column,
+                   bucket: str = "hour") -> DataFrame:
+    """C4: the rows of one closed bucket's slot after its fold (one per catalog
+    entity): what an upsert sink takes.  Idempotent: a slot whose ``last_hour``
+    is already >= ``hour`` is left unchanged."""
     d0, h0 = dow(hour), hod(hour, bucket)
     cur = (counts.where(F.col("hour") == hour).select("entity_id", F.col("n").cast("long").alias("x")))
     touched = (catalog.select("entity_id")
@@ -483,10 +280,9 @@ def apply_bucket(state: DataFrame, counts: DataFrame, catalog: DataFrame, hour:
     x = F.coalesce(F.col("x"), F.lit(0).cast("long"))
     m, s, n = ewma_step(F.coalesce("mean", F.lit(0.0)), F.coalesce("std", F.lit(0.0)),
                         F.coalesce("n", F.lit(0).cast("long")), x)
-    updated = touched.select(
+    return touched.select(
         "entity_id", d0.alias("dow"), h0.alias("hod"),
         F.when(done, F.col("mean")).otherwise(m).alias("mean"),
         F.when(done, F.col("std")).otherwise(s).alias("std"),
         F.when(done, F.col("n")).otherwise(n).alias("n"),
         F.when(done, F.col("last_hour")).otherwise(hour).alias("last_hour"))
-    return upsert(state, updated, ["entity_id", "dow", "hod"])

@@ -231,8 +231,8 @@ scored AS (SELECT *,
  FROM r2)"""
 
 
-def history_sql(kind: str = "ev") -> str:
-    return ("WITH RECURSIVE" + base_ctes(kind) + spine_ctes(kind) + fold_ctes() + share_ctes()
+def history_sql(kind: str = "ev", cap: int = K.RATE_CAP) -> str:
+    return ("WITH RECURSIVE" + base_ctes(kind, cap) + spine_ctes(kind) + fold_ctes() + share_ctes()
             + tier_hist_ctes() + """,
 hist AS (SELECT t.*, t.x AS n, sp.total, sf.prev_share AS expected_share
          FROM th t JOIN spine sp ON sp.entity_id = t.entity_id AND sp.hour = t.hour
@@ -329,6 +329,15 @@ def _feed() -> str:
             "row_number() OVER (PARTITION BY provider ORDER BY pos) AS INTEGER) AS sort_order FROM firsts)")
 
 
+def _merge(n: int, mapped: str, catalog: str) -> str:
+    """CTE addedN: what a merge of the feed rows ``mapped`` adds to ``catalog``."""
+    norm = lambda e: f"regexp_replace(lower({e}), '[^a-z0-9]', '', 'g')"
+    return (f"firsts{n} AS (SELECT m.* FROM {mapped} m WHERE {norm('m.slug')} NOT IN (SELECT {norm('entity_id')} FROM {catalog}) "
+            f"QUALIFY row_number() OVER (PARTITION BY {norm('m.slug')} ORDER BY pos) = 1), "
+            f"added{n} AS (SELECT slug AS entity_id, display_name, provider, CAST(sort_base + "
+            f"row_number() OVER (PARTITION BY provider ORDER BY pos) AS INTEGER) AS sort_order FROM firsts{n})")
+
+
 def _alias_case() -> str:
     from outcry.operators.catalog import glob_to_regex
     whens = []
@@ -594,6 +603,52 @@ last AS (SELECT * FROM sfold QUALIFY row_number() OVER (PARTITION BY entity_id O
 SELECT c.entity_id, l.share AS expected_share, l.ltotal AS total FROM cat c LEFT JOIN last l ON l.entity_id = c.entity_id""")
     o["g5_stream_status"] = snapshot_ctes("ev", lag=3) + f"\nSELECT {STATUS} FROM snap"
 
+    # ---- stored state, history in batches, late repair, streams of A8 and A9
+    o["b0d_sink_trend"] = o["b7_trend"]
+    o["a11_upsert"] = o["c2_slot_baselines"]
+    r9 = lambda e: r1(e, Q.SHARE_DECIMALS)
+    o["c5b_share_blocks"] = ("WITH RECURSIVE" + base_ctes("ret") + spine_ctes("ret") + share_ctes() + f"""
+SELECT entity_id, {iso('hour')} AS hour, {r9('prev_share')} AS prev_share, prev_total, {r9('share')} AS share,
+       ltotal AS lifetime_total FROM sfold""")
+    o["j9_state_as_of"] = full + share_ctes() + f"""
+SELECT f.entity_id, {iso('f.hour')} AS hour, f.prev_mean AS mean, f.prev_std AS std, nullif(f.prev_n, 0) AS n,
+       s.prev_share AS share, s.prev_total AS total
+FROM fold f JOIN sfold s ON s.entity_id = f.entity_id AND s.hour = f.hour
+JOIN counts k ON k.entity_id = f.entity_id AND k.hour = f.hour"""
+    o["d12_history_batches"] = o["d12_score_history"]
+    o["ret_history_batches"] = o["ret_daily_score"]
+    o["g6_repair"] = history_sql("ev", cap_h)
+    o["g2_stream_refresh"] = _ev_with(f"\nSELECT signal_id, actor_key, entity_id, {iso('hour')} AS hour, "
+                                      "CAST(dayofweek(hour) AS INTEGER) AS dow, CAST(hour(hour) AS INTEGER) AS hod, "
+                                      "strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM dd", "ontime")
+    ontime = o["a8_admission_report"].replace(f"sig AS ({sig})", f"sig AS ({_sig('ontime')})")
+    newest = f"(SELECT max(date_trunc('hour', ts)) FROM ({sig}) WHERE entity_id <> '{B.EV_LEFT_OUT}')"
+    o["g7_stream_rejects"] = (f"SELECT * FROM ({ontime}) WHERE hour <= {iso(newest + ' - INTERVAL 3 HOUR')} UNION ALL "
+                              f"SELECT 'late' AS reason, hour, n FROM ({o['g6_late_rows']})")
+    births = (f"dcat AS (SELECT c.*, CASE WHEN p.p_size <= {B.FIRST_EDITION_SIZE} THEN TIMESTAMP '{B.FIRST_BIRTH}' "
+              "+ to_hours(p.p_size) END AS valid_from FROM pcatalog c JOIN part p ON p.p_partkey = c.sort_order)")
+    o["e8_merge_births"] = feed.rstrip() + f", {births}" + f"""
+SELECT entity_id, display_name, provider, sort_order, {iso('valid_from')} AS valid_from, false AS added FROM dcat
+UNION ALL SELECT slug, display_name, provider, sort_order, NULL, true FROM added WHERE slug NOT IN (SELECT entity_id FROM dcat)"""
+    out = "entity_id, display_name, provider, sort_order, {at} AS valid_from, CAST(NULL AS VARCHAR) AS valid_to, CAST({m} AS BIGINT) AS merge_id"
+    at = [iso(f"TIMESTAMP '{t}'") for t in B.MERGE_TIMES]
+    o["e8_dated_merges"] = feed.rstrip() + f""", {births},
+mapped1 AS (SELECT m.* FROM mapped m JOIN part p ON p.p_partkey = m.pos WHERE p.p_size <= {B.FIRST_EDITION_SIZE}),
+{_merge(1, 'mapped1', 'pcatalog')}, known1 AS (SELECT entity_id FROM pcatalog UNION ALL SELECT entity_id FROM added1),
+{_merge(2, 'mapped', 'known1')}
+SELECT {out.format(at=iso('valid_from'), m=0)} FROM dcat
+UNION ALL SELECT {out.format(at=at[0], m=1)} FROM added1 WHERE entity_id NOT IN (SELECT entity_id FROM pcatalog)
+UNION ALL SELECT {out.format(at=at[1], m=2)} FROM added2 WHERE entity_id NOT IN (SELECT entity_id FROM known1)"""
+    fixed = ", ".join(f"('{1 if rules is B.FIRST_RULES else 3} {k}', '{p}', '{e}')"
+                      for rules in (B.FIRST_RULES, B.LAST_RULES) for k, (p, e) in enumerate(rules))
+    o["e10_rules_table"] = feed.rstrip() + f""",
+names AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS w, p_size AS s FROM part WHERE p_size <= {B.FIRST_EDITION_SIZE}),
+rules(rule, pattern, entity) AS (
+  SELECT '2 ' || p_name || ' ' || printf('%03d', s), '*/' || w || '-*-' || s || t, p_name || ' ' || s
+  FROM names, (VALUES (''), (':free')) v(t)
+  UNION ALL VALUES {fixed})
+SELECT pos, id, min_by(entity, rule) AS entity_id FROM feed JOIN rules ON id GLOB pattern GROUP BY pos, id"""
+
     o["f8_digest"] = _digest("evk")
     o["f8_digest_ev"] = _digest("ev")
     return o

@@ -11,7 +11,6 @@ Defaults: as_of = last bucket with data; the single-entity views use
 from __future__ import annotations
 
 import datetime as dt
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +19,18 @@ from pyspark.sql import functions as F
 from outcry import bindings as B
 from outcry.constants import RATE_CAP, TREND_BUCKETS
 from outcry.functions.keys import actor_key
+from outcry.functions.scoring import round_half_up
 from outcry.functions.time import bucket_start, dow, hod, iso_hour
 from outcry.operators import admission as A
+from outcry.operators import asof as J
 from outcry.operators import baselines as C
 from outcry.operators import catalog as E
 from outcry.operators import counts as CN
 from outcry.operators import ranking as R
+from outcry.operators import replay as H
 from outcry.operators import reports as RP
 from outcry.plans import status as P
+from outcry.plans.history import HistoryStore
 from outcry.session import materialize
 from outcry.sources.signals import parse_payload, table
 
@@ -39,6 +42,7 @@ SEARCH = "o"               # search text of F3
 CAP_HOUR = 1               # A7 fixture: cap per (actor, hour)
 CAP_DAY = 2                # A7 fixture: cap per (actor, day)
 CATALOG_MIN_ROWS = 40      # E9 threshold
+SHARE_DECIMALS = 9         # printed decimals of the blocked share history
 
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
@@ -262,6 +266,19 @@ def f7_local_label(spark, sf):
     return t.select("entity_id", "pos", _iso("hour").alias("hour"), "local_label")
 
 
+def b0d_sink_trend(spark, sf):
+    """B7 from the signal sink: the trend's bounds, known at run time, become a
+    range of date partitions."""
+    from outcry.sources.signals import read_signal_sink, write_signals
+    path = _scratch(spark, "signals")
+    cat = materialize(B.ev_catalog(spark, sf), "catalog-ev")
+    write_signals(A.dedup_signals(A.accepted(B.ev_signals(spark, sf), cat)), path, mode="overwrite")
+    last = B.ev_last_hour(spark, sf)
+    signals = read_signal_sink(spark, path, last - dt.timedelta(hours=TREND_BUCKETS - 1), last)
+    as_of = F.timestamp_seconds(F.lit(int(last.replace(tzinfo=dt.timezone.utc).timestamp())).cast("long"))
+    return CN.trend(CN.hourly_counts(signals), cat, as_of).select("entity_id", "pos", _iso("hour").alias("hour"), "n")
+
+
 # ------------------------------------------------------------------ C
 def _state_out(df):
     return df.select("entity_id", "dow", "hod", "mean", "std", "n", _iso("last_hour").alias("last_hour"))
@@ -279,7 +296,7 @@ def c2_slot_baselines_born(spark, sf):
 
 def c3_slot_history(spark, sf):
     x = Ctx(spark, sf)
-    h = C.slot_history(x.counts, x.catalog, x.lo, x.hi)
+    h = H.slot_history(x.counts, x.catalog, x.lo, x.hi)
     return h.select("entity_id", "dow", "hod", _iso("hour").alias("hour"), "x",
                     "prev_mean", "prev_std", "prev_n", "mean", "std", "n")
 
@@ -289,7 +306,7 @@ TIER_COLS = C.TIER_COLUMNS
 
 def c3b_tier_history(spark, sf):
     x = Ctx(spark, sf)
-    h = C.tier_history(C.slot_history(x.counts, x.catalog, x.lo, x.hi))
+    h = H.tier_history(H.slot_history(x.counts, x.catalog, x.lo, x.hi))
     return h.select("entity_id", _iso("hour").alias("hour"), *TIER_COLS)
 
 
@@ -349,11 +366,54 @@ def c5_share_baselines(spark, sf):
 
 def c5b_share_history(spark, sf):
     x = Ctx(spark, sf)
-    h = C.share_history(C.entity_series(x.counts, x.catalog, x.lo, x.hi), x.lo, x.hi)
+    h = H.share_history(H.entity_series(x.counts, x.catalog, x.lo, x.hi))
     return h.select("entity_id", _iso("hour").alias("hour"), "prev_share", "prev_total",
                     "share", "lifetime_total")
 
 
+def c5b_share_blocks(spark, sf):
+    """C5b over several blocks of buckets (daily returns, ``SHARE_DECIMALS``
+    decimals): the state at every block start is a scan of affine maps."""
+    x = Ctx(spark, sf, "ret")
+    h = H.share_history(H.entity_series(x.counts, x.catalog, x.lo, x.hi, "day"))
+    r = lambda c: round_half_up(c, SHARE_DECIMALS).alias(c)
+    return h.select("entity_id", _iso("hour").alias("hour"), r("prev_share"), "prev_total", r("share"), "lifetime_total")
+
+
+def a11_upsert(spark, sf):
+    """A11 as a sink: the state through as_of - 3h, then three closed hours, each
+    upserting the partitions of its slot under its own token; one write is
+    aborted before its commit and tried again, one is repeated after it."""
+    from outcry.sources.versions import PartitionStore
+    x = Ctx(spark, sf)
+    _, hi = _seconds(x)
+    keys = ["entity_id", "dow", "hod"]
+    store = PartitionStore(spark, _scratch(spark, "baselines"), ["dow", "hod"])
+    at = lambda s: F.timestamp_seconds(F.lit(s).cast("long"))
+    store.write(C.slot_baselines(x.counts, x.catalog, x.lo, at(hi - 3 * 3600)), 0)
+    for token, hour in enumerate((hi - 7200, hi - 3600, hi), 1):
+        def updates():
+            slot = (F.col("dow") == dow(at(hour))) & (F.col("hod") == hod(at(hour)))
+            return C.bucket_updates(store.read(slot), x.counts, x.catalog, at(hour))
+        if token == 2:
+            store.stage(store.merged(updates().withColumn("mean", F.lit(-1.0)), keys), token)  # never committed
+        store.upsert(updates(), keys, token)
+        if token == 3:
+            store.upsert(updates(), keys, token)
+    return _state_out(store.read())
+
+
+def j9_state_as_of(spark, sf):
+    """Stored states with validity intervals, read as of every hour in which
+    an entity has a signal: the baseline and share that hour is scored with."""
+    x = Ctx(spark, sf)
+    hist = materialize(H.slot_history(x.counts, x.catalog, x.lo, x.hi), "history")
+    slots, shares = materialize(J.state_intervals(hist), "slots"), materialize(J.share_intervals(hist), "shares")
+    found = J.state_as_of(x.counts.select("entity_id", "hour"), slots, shares)
+    return found.select("entity_id", _iso("hour").alias("hour"), "mean", "std", "n",
+                        F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+
+
 def c6_lifetime_totals(spark, sf):
     x = Ctx(spark, sf)
     return C.lifetime_totals(x.counts, x.catalog, x.lo, x.hi)
@@ -433,6 +493,31 @@ def ret_daily_score(spark, sf):
     return P.score_history(x.counts, x.catalog, x.lo, x.hi, bucket="day")
 
 
+def _history_in_batches(x: Ctx, ends) -> DataFrame:
+    store = HistoryStore(x.spark, _scratch(x.spark, "history"), x.catalog, x.bucket)
+    for token, end in enumerate(ends):
+        store.extend(x.counts, end, token)
+    store.extend(x.counts, ends[-1], len(ends) - 1)  # a batch that is run again
+    return store.scored()
+
+
+def d12_history_batches(spark, sf):
+    """D12 grown by three batches that end inside weeks, each replayed from the
+    stored state: equals the replay from the start."""
+    x = Ctx(spark, sf)
+    lo, hi = _seconds(x)
+    step = (hi - lo) // 3600 // 3
+    return _history_in_batches(x, [lo + step * 3600, lo + 2 * step * 3600 + 7200, hi])
+
+
+def ret_history_batches(spark, sf):
+    """The same with daily buckets, over several blocks."""
+    x = Ctx(spark, sf, "ret")
+    lo, hi = _seconds(x)
+    step = (hi - lo) // 86400 // 3
+    return _history_in_batches(x, [lo + step * 86400, lo + (2 * step + 3) * 86400, hi])
+
+
 def ret_daily_snapshot(spark, sf):
     return Ctx(spark, sf, "ret").snapshot()
 
@@ -482,6 +567,35 @@ def e8_merge_catalog(spark, sf):
     return E.merge_catalog(cat, new)
 
 
+def e8_dated_merges(spark, sf):
+    """E8 with births: the catalog, then two editions of the feed merged at
+    different times, the second merge repeated under its id."""
+    feed, first = B.part_feed(spark, sf), B.part_first_edition(spark, sf)
+    cat = materialize(E.dated_catalog(B.part_dated_catalog(spark, sf)), "catalog")
+    times = [F.to_timestamp(F.lit(t)) for t in B.MERGE_TIMES]
+    for merge, (edition, at) in enumerate(zip((first, feed, feed), [*times, times[1]]), 1):
+        known = E.catalog_at(cat, at).select("entity_id")
+        new = E.new_entities(edition, known, _providers(spark))
+        cat = materialize(E.merge_dated(cat, new, at, min(merge, 2)), "catalog")
+    return cat.select("entity_id", "display_name", "provider", "sort_order", _iso("valid_from").alias("valid_from"),
+                      _iso("valid_to").alias("valid_to"), "merge_id")
+
+
+def e8_merge_births(spark, sf):
+    """E8 over a catalog with births, which it keeps."""
+    cat = B.part_dated_catalog(spark, sf)
+    new = E.new_entities(B.part_feed(spark, sf), cat, _providers(spark))
+    merged = E.merge_catalog(cat, new)
+    return merged.select("entity_id", "display_name", "provider", "sort_order", _iso("valid_from").alias("valid_from"), "added")
+
+
+def e10_rules_table(spark, sf):
+    """E10 with the rules as a table: one rule per distinct first word of the
+    part names and size, and a few general ones behind them."""
+    feed = B.part_feed(spark, sf)
+    return E.resolve_by_rules(feed, "id", B.part_rules(spark, sf)).select("pos", "id", "entity_id")
+
+
 def e9_catalog_check(spark, sf):
     expected = _mapped(spark, sf).select(F.col("slug").alias("entity_id"))
     return E.catalog_check(expected, B.part_catalog(spark, sf), CATALOG_MIN_ROWS)
@@ -586,40 +700,52 @@ def g2_stream_dedup(spark, sf):
     return spark.read.parquet(f"{root}/out").select("actor_key", "entity_id", _iso("hour").alias("hour"))
 
 
-SLICES = 4                 # time-ordered input files of the capped streams
+SLICES = 4                 # time-ordered deliveries of the capped streams
 LATE_EVERY, LATE_DAYS = 37, 3  # events held back and delivered last: every n-th of the first days
 
 
-def _sliced_events(spark, sf, late: bool) -> str:
-    """A folder with the events as time-ordered files; ``late`` holds some early
-    ones back for a last file, far behind the watermark by then."""
+def _delivered(spark, sf, late: bool, each) -> str:
+    """A folder that the events reach in ``SLICES`` deliveries, by time; ``late``
+    holds some early ones back for a last delivery, far behind the watermark by
+    then.  ``each`` is called after every delivery with the folder.  A delivery
+    has the files of the scan that made it, so a micro-batch spreads like it."""
     root = _scratch(spark, "events")
     ev = table(spark, sf, "events")
     sec = F.unix_seconds(F.col("ts").cast("timestamp"))
     r = ev.agg(F.min(sec).alias("lo"), F.max(sec).alias("hi")).first()
     held = (F.col("event_id") % LATE_EVERY == 0) & (sec < F.lit(r["lo"] + LATE_DAYS * 86400)) if late else F.lit(False)
     step = (r["hi"] - r["lo"]) // SLICES + 1
-    for k in range(SLICES):
-        ev.where(~held & (sec >= r["lo"] + k * step) & (sec < r["lo"] + (k + 1) * step)) \
-            .repartition(1).write.mode("append").parquet(root)
-        time.sleep(0.05)  # the file source goes by modification time
-    if late:
-        ev.where(held).repartition(1).write.mode("append").parquet(root)
+    slices = [~held & (sec >= r["lo"] + k * step) & (sec < r["lo"] + (k + 1) * step) for k in range(SLICES)]
+    for rows in slices + [held] * late:
+        ev.where(rows).write.mode("append").parquet(root)
+        each(root)
     return root
 
 
-def _capped(spark, sf, k: int, late: bool = False):
-    """(root, catalog) after the rate cap ran over the sliced events, one file a
-    micro-batch; accepted signals are in root/capped."""
+def _capped(spark, sf, k: int, late: bool = False, then=None, report: bool = False):
+    """(root, catalog) after the rate cap ran over the delivered events, a
+    delivery a micro-batch; accepted signals are in root/capped.  ``then`` is
+    called after every delivery with root.  With ``report`` all attempts go
+    through an ``AdmissionReport`` against the partial catalog."""
     from outcry.sources.signals import stream_signals
     from outcry.streaming import jobs as G
     root = _scratch(spark, "g")
-    cat = materialize(B.ev_catalog(spark, sf), "catalog-ev")
-    src = stream_signals(spark, _sliced_events(spark, sf, late), table(spark, sf, "events").schema, signal_id="event_id",
-                         entity="event_type", actor="user_id", ts="ts", max_files_per_trigger=1)
+    cat = materialize(B.ev_partial_catalog(spark, sf) if report else B.ev_catalog(spark, sf), "catalog-ev")
+    schema = table(spark, sf, "events").schema
     capper = G.RateCapper(spark, f"{root}/cap", f"{root}/capped", k=k)
-    G.run_available_now(src.join(cat.select("entity_id"), "entity_id", "left_semi"), f"{root}/ckpt-cap",
-                        foreach_batch=capper)
+
+    def deliver(events):
+        src = stream_signals(spark, events, schema, signal_id="event_id", entity="event_type", actor="user_id", ts="ts")
+        if report:
+            G.run_available_now(src, f"{root}/ckpt-cap",
+                                foreach_batch=G.AdmissionReport(spark, cat, capper, f"{root}/report", f"{root}/rejects"))
+        else:
+            G.run_available_now(src.join(cat.select("entity_id"), "entity_id", "left_semi"), f"{root}/ckpt-cap",
+                                foreach_batch=capper)
+        if then is not None:
+            then(root, events)
+
+    _delivered(spark, sf, late, deliver)
     return root, cat
 
 
@@ -637,6 +763,51 @@ def g6_late_rows(spark, sf):
             .select(_iso("hour").alias("hour"), "n"))
 
 
+def g6_repair(spark, sf):
+    """G6, taken up: a history kept from the on-time signals, then the buckets
+    of late attempts counted anew from the raw sink and the history replayed
+    from the first changed one: equals the history of all signals."""
+    from outcry.sources.signals import stream_signals
+    from outcry.streaming import jobs as G
+    schema = table(spark, sf, "events").schema
+
+    def keep(root, events):
+        src = stream_signals(spark, events, schema, signal_id="event_id", entity="event_type", actor="user_id", ts="ts")
+        G.stream_signal_sink(src, f"{root}/raw", f"{root}/ckpt-raw")
+
+    root, cat = _capped(spark, sf, CAP_HOUR, late=True, then=keep)
+    counts = materialize(CN.hourly_counts(A.dedup_signals(spark.read.parquet(f"{root}/capped"))), "counts")
+    r = counts.agg(F.unix_seconds(F.min("hour")).alias("lo"), F.unix_seconds(F.max("hour")).alias("hi")).first()
+    store = HistoryStore(spark, f"{root}/history", cat)
+    store.extend(counts, r["lo"] + (r["hi"] - r["lo"]) // 7200 * 3600, 0)
+    store.extend(counts, r["hi"], 1)
+    recounted, hours = G.recount(spark, f"{root}/raw", G.late_attempts(spark, f"{root}/cap"), cat, CAP_HOUR)
+    store.repair(materialize(recounted, "recount"), materialize(hours, "hours"), 2)
+    return store.scored()
+
+
+def g7_stream_rejects(spark, sf):
+    """A8 on the stream: the report of the closed buckets, and the late attempts."""
+    from outcry.streaming import jobs as G
+    root, _ = _capped(spark, sf, CAP_HOUR, late=True, report=True)
+    return G.admission_counts(spark, f"{root}/rejects").select("reason", _iso("hour").alias("hour"), "n")
+
+
+def g2_stream_refresh(spark, sf):
+    """A9 on the stream: the first id and the latest time of every (actor,
+    entity, hour), merged delivery by delivery."""
+    from outcry.streaming import jobs as G
+
+    def merge(root, _):
+        signals = G.SignalTable(spark, f"{root}/signals")
+        G.run_available_now(G.capped_stream(spark, f"{root}/capped"), f"{root}/ckpt-signals", foreach_batch=signals)
+
+    root, _ = _capped(spark, sf, RATE_CAP, late=True, then=merge)
+    return G.SignalTable(spark, f"{root}/signals").read().select(
+        "signal_id", "actor_key", "entity_id", _iso("hour").alias("hour"), "dow", "hod",
+        F.date_format("created_at", ISO_SECONDS).alias("created_at"))
+
+
 def _closed_state(spark, sf, k: int, late: bool = False):
     """The whole chain: cap, dedup, counts, close."""
     from outcry.streaming import jobs as G
@@ -683,18 +854,19 @@ NAMES = [
     "a7_rate_cap_hour", "a7_rate_cap_day", "a8_admission_report", "a8_admission_tags",
     "a8_admission_tags_no_actor", "a8_admission_report_no_actor", "a9_dedup", "a10_signal_sink",
     "b1_hourly_counts", "b1_hourly_counts_evk", "b2_hourly_totals", "b3_count_at", "b4_peer_counts",
-    "b5_shares", "b6_dense_spine", "b6_dense_spine_born", "b7_trend", "f5_scaled_trend", "f6_has_signal", "f7_local_label",
+    "b5_shares", "b6_dense_spine", "b6_dense_spine_born", "b0d_sink_trend", "b7_trend", "f5_scaled_trend", "f6_has_signal", "f7_local_label",
     "c2_slot_baselines", "c2_slot_baselines_born", "c3_slot_history", "c3b_tier_history", "c4_apply_hour", "c4_apply_hour_shares", "c4_close_batches", "c5_share_baselines",
-    "c5b_share_history", "c6_lifetime_totals", "c7_hour_tier", "c8_aggregate_tier", "c9_tiers",
+    "a11_upsert", "c5b_share_history", "c5b_share_blocks", "j9_state_as_of", "c6_lifetime_totals", "c7_hour_tier", "c8_aggregate_tier", "c9_tiers",
     "c10_resolve",
     "d8_score_entity", "d9_status_snapshot", "d9_from_state", "d10_signal_result", "d11_entity_detail",
-    "d12_score_history", "d12_score_history_born", "d12_score_history_evk", "ret_daily_score", "ret_daily_snapshot",
+    "d12_score_history", "d12_score_history_born", "d12_score_history_evk", "d12_history_batches", "ret_daily_score", "ret_history_batches", "ret_daily_snapshot",
     "e1_list_catalog", "e2_parse_feed", "e3_map_provider", "e4_norm_key", "e5_new_only",
-    "e6_first_by_key", "e7_sort_order", "e8_merge_catalog", "e9_catalog_check", "e9_catalog_complete", "e10_resolve_alias",
+    "e6_first_by_key", "e7_sort_order", "e8_merge_catalog", "e8_merge_births", "e8_dated_merges", "e9_catalog_check", "e9_catalog_complete", "e10_resolve_alias",
+    "e10_rules_table",
     "f1_rank_score_desc", "f1_rank_score_asc", "f2_rank_name", "f2_rank_name_asc", "f3_search", "f4_top_peers",
     "f4_top_peers_of", "f4b_first_peers_of", "f4b_first_peers", "f8_digest", "f8_digest_ev", "f9_flags",
     "g1_stream_counts", "g2_stream_dedup", "g3_stream_rate_cap", "g4_hour_close", "g4_capped_close", "g4_share_close",
-    "g5_stream_status", "g6_late_rows",
+    "g5_stream_status", "g6_late_rows", "g6_repair", "g7_stream_rejects", "g2_stream_refresh",
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in NAMES}

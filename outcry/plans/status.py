@@ -9,7 +9,7 @@ table, one conditional aggregate for the tiers, and joins against entity-sized
 frames (catalog, tiers, shares, current counts) which Spark broadcasts when
 their measured size is under the threshold; ``status_from_state`` scores from
 stored state without any fold.  History: the sparse counts are exchanged once,
-into the per-entity replay, which produces the dense rows.
+into the replay, which produces the dense rows block by block.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from outcry.functions import scoring as S
 from outcry.functions.time import BUCKETS, bucket_start, dow, hod, iso_hour
 from outcry.labels import DEFAULT_LABELS
 from outcry.operators.admission import admit_known, dedup_signals, rate_cap
-from outcry.operators.baselines import share_baselines, slot_baselines, slot_history, tiers
+from outcry.operators.baselines import share_baselines, slot_baselines, tiers
 from outcry.operators.counts import born, hourly_counts, trend
+from outcry.operators.replay import slot_history
 
 
 def signal_counts(signals: DataFrame, catalog: DataFrame | None, k: int | None = K.RATE_CAP,
@@ -137,9 +138,13 @@ def score_history(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
                   bucket: str = "hour", labels=DEFAULT_LABELS) -> DataFrame:
     """D9 for every entity and bucket in [lo, hi], each scored only with
     state from earlier buckets (no look-ahead)."""
-    hist = slot_history(born(counts, catalog, bucket), catalog, lo, hi, bucket)
-    df = (hist.drop("n").withColumnRenamed("x", "n")
-              .withColumnRenamed("prev_share", "expected_share"))
+    return score_replayed(slot_history(born(counts, catalog, bucket), catalog, lo, hi, bucket), labels)
+
+
+def score_replayed(history: DataFrame, labels=DEFAULT_LABELS) -> DataFrame:
+    """D12 columns of replayed rows."""
+    df = (history.drop("n").withColumnRenamed("x", "n")
+                 .withColumnRenamed("prev_share", "expected_share"))
     scored = score_columns(df, labels)
     return scored.select("entity_id", iso_hour("hour").alias("hour"),
                          F.col("n").alias("n_signals"), *HISTORY_COLUMNS[3:])

@@ -8,6 +8,8 @@ so Catalyst prunes the Parquet scan to those columns and pushes filters down.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +95,19 @@ def write_signals(df: DataFrame, path: str, mode: str = "append") -> None:
         .partitionBy("date").parquet(path))
 
 
+def read_signal_sink(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:
+    """B0d on the sink: its signals with since <= bucket <= until (naive UTC
+    datetimes, known at run time).  The bounds become a range of dates, so only
+    the partitions of those days are listed and read, and the bucket range is
+    pushed into their files."""
+    df = spark.read.parquet(path)
+    if since is not None:
+        df = df.where((F.col("date") >= F.lit(since.date())) & (F.col("hour") >= F.lit(since.replace(tzinfo=dt.timezone.utc))))
+    if until is not None:
+        df = df.where((F.col("date") <= F.lit(until.date())) & (F.col("hour") <= F.lit(until.replace(tzinfo=dt.timezone.utc))))
+    return df.drop("date")
+
+
 def upsert(current: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """Insert-or-replace by key: rows of ``current`` whose key is not in
     ``updates``, plus all of ``updates``.  Callers write the result to a new

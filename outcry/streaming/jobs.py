@@ -17,7 +17,10 @@ persisted once and reused by all its writes.
 
 The chain is source -> RateCapper (G3) -> capped_stream -> stream_dedup (G2) ->
 stream_hourly_counts (G1) -> BucketCloser (G4) / LiveStatus (G5): the cap comes
-before the dedup, as in the batch path.
+before the dedup, as in the batch path.  AdmissionReport (A8) stands around the
+RateCapper and counts why attempts were rejected; SignalTable (A9) keeps the
+accepted signals with refreshed created_at.  Late attempts are taken up by
+``recount`` and ``plans.history.HistoryStore.repair``.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ from pyspark.sql import functions as F
 
 from outcry import constants as K
 from outcry.functions.time import BUCKETS, bucket_start, dow, hod, slot_index
+from outcry.operators.admission import dedup_signals, tag_known
 from outcry.operators.baselines import share_baselines, slot_baselines
 from outcry.operators.counts import born
-from outcry.plans.status import status_from_state
+from outcry.plans.status import signal_counts, status_from_state
+from outcry.sources.versions import PartitionStore
 
 DEFAULT_WATERMARK = "2 hours"
 WATERMARK_BUCKETS = 2
@@ -171,11 +176,20 @@ class RateCapper:
         self.used = VersionedTable(spark, f"{state_root}/rate_used")
         self.seen = VersionedTable(spark, f"{state_root}/newest")
 
+    def newest(self, before: int) -> int | None:
+        """The newest bucket (unix seconds) of the batches before one."""
+        seen = self.seen.latest(before=before)
+        return None if seen is None else seen.first()["newest"]
+
+    def floor(self, batch_id: int) -> int | None:
+        """The first bucket that still takes attempts in a batch."""
+        newest = self.newest(batch_id)
+        return None if newest is None else newest - self.watermark * BUCKETS[self.bucket][0]
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark, (secs, _) = batch.sparkSession, BUCKETS[self.bucket]
         b = batch.withColumn("hour", bucket_start("ts", self.bucket)).persist()
-        seen = self.seen.latest(before=batch_id)
-        newest = None if seen is None else seen.first()["newest"]
+        newest = self.newest(batch_id)
         floor = None if newest is None else newest - self.watermark * secs
         behind = F.lit(False) if floor is None else F.unix_seconds("hour") < F.lit(floor)
         _write_batch(b.where(behind), self.late, batch_id)
@@ -207,17 +221,125 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
 
 
+def _batch_of(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """What ``_write_batch`` wrote for one batch (nothing, if it was empty)."""
+    rows = spark.read.schema(f"{_SIGNAL}, batch long").parquet(path)
+    return rows.where(F.col("batch") == F.lit(batch_id))
+
+
+_SIGNAL = "signal_id long, entity_id string, actor_key string, ts timestamp, hour timestamp"
+
+
 def late_attempts(spark: SparkSession, state_root: str) -> DataFrame:
     """Attempts (signal_id, entity_id, actor_key, ts, hour) that came behind
     the watermark of a ``RateCapper``."""
-    return spark.read.schema("signal_id long, entity_id string, actor_key string, ts timestamp, hour timestamp") \
-        .parquet(f"{state_root}/late")
+    return spark.read.schema(_SIGNAL).parquet(f"{state_root}/late")
+
+
+def recount(spark: SparkSession, raw: str, late: DataFrame, catalog: DataFrame | None, k: int = K.RATE_CAP,
+            bucket: str = "hour") -> tuple[DataFrame, DataFrame]:
+    """(counts, hours) of the buckets of ``late`` attempts, counted anew from
+    the raw sink (``stream_signal_sink``, which holds on-time and late signals):
+    cap, dedup and count as in batch.  Only the days of these buckets are read."""
+    hours = late.select("hour").distinct()
+    days = [r[0] for r in hours.select(F.to_date("hour")).distinct().collect()]
+    signals = (spark.read.parquet(raw).where(F.col("date").isin(days)).drop("date")
+               .join(hours, "hour", "left_semi").select("signal_id", "entity_id", "actor_key", "ts", "hour"))
+    return signal_counts(signals, catalog, k, bucket).select("entity_id", "hour", "n"), hours
+
+
+# ------------------------------------------------------------------ A8
+class AdmissionReport:
+    """A8 on the stream: attempts per (reason, bucket), reasons missing_entity,
+    unknown_entity, rate_limited, accepted and, for attempts behind the
+    watermark of ``capper``, late.
+
+    Takes the raw attempts, hands those on known entities to ``capper`` and
+    counts what became of them.  Open buckets are state (a few rows per bucket,
+    versioned by micro-batch); a bucket behind the watermark is closed: its rows
+    move to ``out`` under the batch that closed it.  Late attempts are reported
+    with the batch that brought them.  A replayed batch rewrites the same rows.
+    """
+
+    def __init__(self, spark: SparkSession, catalog: DataFrame, capper: RateCapper, state_root: str, out: str):
+        self.catalog, self.capper, self.out = catalog, capper, out
+        self.open = VersionedTable(spark, f"{state_root}/open_rejects")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        capper = self.capper
+        b = tag_known(batch.withColumn("hour", bucket_start("ts", capper.bucket)), self.catalog).persist()
+        floor = capper.floor(batch_id)
+        capper(b.where("_ok").select("signal_id", "entity_id", "actor_key", "ts"), batch_id)
+        behind = F.lit(False) if floor is None else F.unix_seconds("hour") < F.lit(floor)
+        reason = (F.when(behind, F.lit("late")).when(F.col("_missing"), F.lit("missing_entity"))
+                   .when(~F.col("_ok"), F.lit("unknown_entity")).otherwise(F.lit("rate_limited")))
+        tried = b.groupBy(reason.alias("reason"), "hour").agg(F.count(F.lit(1)).cast("long").alias("n"))
+        # Every accepted attempt was counted as rate limited above.
+        accepted = _batch_of(batch.sparkSession, capper.sink, batch_id).groupBy("hour").agg(F.count(F.lit(1)).cast("long").alias("n"))
+        signs = accepted.select(F.explode(F.array(F.struct(F.lit("accepted").alias("reason"), F.col("n").alias("n")),
+                                                  F.struct(F.lit("rate_limited").alias("reason"), (-F.col("n")).alias("n")))).alias("r"), "hour")
+        now = tried.select("reason", "hour", "n").unionByName(signs.select("r.reason", "hour", "r.n"))
+        prior = self.open.latest(before=batch_id)
+        merged = now if prior is None else prior.unionByName(now)
+        merged = merged.groupBy("reason", "hour").agg(F.sum("n").cast("long").alias("n")).where("n > 0").persist()
+        newest = capper.newest(batch_id + 1)
+        open_from = 0 if newest is None else newest - capper.watermark * BUCKETS[capper.bucket][0]
+        closed = (F.unix_seconds("hour") < F.lit(open_from)) | (F.col("reason") == F.lit("late"))
+        _write_batch(merged.where(closed), self.out, batch_id)
+        self.open.write(merged.where(~closed), batch_id)
+        self.open.prune(batch_id)
+        merged.unpersist()
+        b.unpersist()
+
+
+def admission_counts(spark: SparkSession, out: str) -> DataFrame:
+    """(reason, hour, n) of the closed buckets and late attempts of an
+    ``AdmissionReport``."""
+    rows = spark.read.schema("reason string, hour timestamp, n long").parquet(out)
+    return rows.groupBy("reason", "hour").agg(F.sum("n").cast("long").alias("n"))
+
+
+# ------------------------------------------------------------------ A9
+class SignalTable:
+    """A9 on the stream with refreshed created_at: one row per (actor, entity,
+    bucket) with the first arrival's id and the latest arrival's time, merged
+    micro-batch by micro-batch.
+
+    The table is partitioned by day and committed by a pointer
+    (``sources.versions``): a batch reads and rewrites only the days of its
+    signals, a batch that is replayed after its commit changes nothing, and
+    readers never see half a batch.  Days behind the watermark get no more
+    signals from a ``RateCapper``, so their partitions are final."""
+
+    KEYS = ["actor_key", "entity_id", "hour"]
+
+    def __init__(self, spark: SparkSession, root: str, bucket: str = "hour"):
+        self.bucket = bucket
+        self.store = PartitionStore(spark, root, ["day"])
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        new = dedup_signals(batch, self.bucket).select("signal_id", *self.KEYS, "created_at")
+        new = new.withColumn("day", F.floor(F.unix_seconds("hour") / F.lit(86400)).cast("int")).persist()
+        days = [r["day"] for r in new.select("day").distinct().collect()]
+        if days:
+            old = self.store.read(F.col("day").isin(days))
+            merged = new if old is None else (
+                old.unionByName(new).groupBy(*self.KEYS, "day")
+                .agg(F.min("signal_id").alias("signal_id"), F.max("created_at").alias("created_at")).select(*new.columns))
+            self.store.write(merged, batch_id)
+            self.store.prune()
+        new.unpersist()
+
+    def read(self) -> DataFrame | None:
+        """The signals so far, with weekday and hour of day."""
+        rows = self.store.read()
+        return None if rows is None else rows.drop("day").withColumn("dow", dow("hour")).withColumn("hod", hod("hour", self.bucket))
 
 
 def capped_stream(spark: SparkSession, sink: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The signals a ``RateCapper`` accepted, as a stream: the input of
     ``stream_dedup`` (cap before dedup, as in the batch path)."""
-    reader = spark.readStream.schema("signal_id long, entity_id string, actor_key string, ts timestamp, hour timestamp")
+    reader = spark.readStream.schema(_SIGNAL)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(sink).select("signal_id", "entity_id", "actor_key", "ts")

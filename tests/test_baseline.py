@@ -10,6 +10,7 @@ from outcry.functions.scoring import ewma_step
 from outcry.functions.time import with_bucket
 from outcry.operators import baselines as C
 from outcry.operators import counts as CN
+from outcry.operators import replay as H
 
 UTC = dt.timezone.utc
 
@@ -58,7 +59,7 @@ def test_fold_and_history_sequence(spark):
     lo, hi = F.lit(start), F.lit(start + dt.timedelta(days=7 * 5))
     final = C.slot_baselines(counts, cat, lo, hi, "day").where("dow = 1").first()
     assert (final.mean, final.std, final.n) == EXPECTED[-1]
-    hist = C.slot_history(counts, cat, lo, hi, "day").where("dow = 1").orderBy("hour").collect()
+    hist = H.slot_history(counts, cat, lo, hi, "day").where("dow = 1").orderBy("hour").collect()
     assert [(r.mean, r.std, r.n) for r in hist] == [tuple(map(float, e[:2])) + (e[2],) for e in EXPECTED]
     assert hist[0].prev_mean is None and hist[0].prev_n == 0
     assert (hist[3].prev_mean, hist[3].prev_std, hist[3].prev_n) == EXPECTED[2]
@@ -80,7 +81,7 @@ def test_share_sequence(spark):
     lo, hi = F.lit(start), F.lit(start + dt.timedelta(hours=5))
     final = C.share_baselines(counts, cat, lo, hi).where("entity_id = 'e'").first()
     assert final.expected_share == pytest.approx(0.545) and final.total == 5
-    hist = (C.share_history(C.entity_series(counts, cat, lo, hi), lo, hi)
+    hist = (H.share_history(H.entity_series(counts, cat, lo, hi))
             .where("entity_id = 'e'").orderBy("hour").collect())
     assert [round(r.share, 6) for r in hist] == [0, 0, 0.5, 0.35, 0.35, 0.545]
     assert [r.lifetime_total for r in hist] == [0, 0, 2, 2, 2, 5]
