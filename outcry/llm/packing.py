@@ -28,13 +28,12 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .memory import tidy
@@ -44,118 +43,65 @@ WINDOW = 2048
 OPEN = 64
 #: Tasks whose leftovers meet in one.
 MERGE = 16
-CACHE = 250_000
-_TEXTS = 400
+#: Fixed value: the split of byte-level vocabularies.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 # ------------------------------------------------------------------ tokens
-#: The split of the vocabulary for printable ASCII, line ends and
-#: Latin-1 letters.
-_LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_MATCH = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
-#: White space (of any script) that a split at its blanks would cut.
-_SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_RUN = rf"  |[{_SPACE}] [{_SPACE}]"
-_PLAIN = re.compile(rf" ?[\n!-~{_LETTER}]*")
-
-
-@functools.lru_cache(2)
-def _library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    return Tokenizer.from_file(path)
-
-
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> dict[str, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the others
     for the code points from 256 on, in order."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Words:
-    """Ids of words as bytes (unsigned 32-bit, little-endian); a word begins
-    with the blank before it."""
+class Encoder:
+    """Ids of texts by a byte-level BPE vocabulary of the tokenizers library."""
 
     def __init__(self, path: str):
-        self.library = _library(path)
-        self.model = self.library.model
-        self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _model_ids(self, word: str) -> bytes:
-        ids = []
-        for match in _MATCH.findall(word):
-            text = "".join(map(self.letters.__getitem__, match.encode()))
-            ids.extend(t.id for t in self.model.tokenize(text))
-        return np.array(ids, "<u4").tobytes()
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            if len(known) > CACHE:
-                self.old, self.known = known, {}
-                known, new = self.known, words
-            other = []
-            for w in new:
-                got = self.old.get(w)
-                if got is None and _PLAIN.fullmatch(w) and "<|" not in w:
-                    got = self._model_ids(w)
-                if got is None:
-                    other.append(w)
-                else:
-                    known[w] = got
-            known.update(zip(other, self.whole(other)))
-        return [known[w] for w in words]
-
-
-_WORDS: dict[str, Words] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        self.added = [t["content"] for t in described["added_tokens"]]
+        self.ranked = self._by_ranks(described)
+
+    def _by_ranks(self, described: dict):
+        """The same vocabulary as byte ranks, which tiktoken encodes in less
+        time; None unless merges are in the order of their ids and nothing but
+        the common byte-level split comes before them."""
+        model, before = described["model"], described["pre_tokenizer"] or {}
+        plain = (model["type"] == "BPE" and described["normalizer"] is None and before.get("type") == "ByteLevel"
+                 and before.get("use_regex") and not before.get("add_prefix_space")
+                 and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix",
+                                                    "byte_fallback", "ignore_merges")))
+        letters, ids = _byte_letters(), model["vocab"]
+        merged = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if not plain or merged != sorted(merged):
+            return None
+        import tiktoken
+        ranks = {bytes(letters[c] for c in token): k for token, k in ids.items() if token not in self.added}
+        return tiktoken.Encoding("vocabulary", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        # The library takes out added tokens before it splits.
+        if self.ranked is None or any(t in text for t in self.added):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.ranked.encode_ordinary(text), "<u4")
+
+
+@functools.lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def tokenize(texts: pa.Array, path: str, end_id: int) -> list[bytes]:
     """The ids of every text with the end id, as little-endian unsigned 32-bit
     integers."""
-    words = _WORDS.get(path)
-    if words is None:
-        words = _WORDS[path] = Words(path)
-    end = np.array([end_id], "<u4").tobytes()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    odd = pc.match_substring_regex(texts, _RUN)
-    out: list[bytes | None] = [None] * len(texts)
-    at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-    for k, ids in zip(at, words.whole([texts[int(k)].as_py() for k in at])):
-        out[k] = ids + end
-    at = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
-    split = pc.split_pattern(texts.take(pa.array(at)), " ")
-    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = split.flatten().dictionary_encode()
-    plain = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    # The first word of a text has no blank before it: words of another kind.
-    stops = np.cumsum(sizes)
-    first = stops - sizes
-    heads, head_codes = np.unique(codes[first], return_inverse=True)
-    # Two sets of words: with their blank, and the heads of texts without.
-    found = words.ids([" " + w for w in plain]) + words.ids([plain[h] for h in heads])
-    codes[first] = len(plain) + head_codes
-    found.append(end)
-    codes = np.insert(codes, stops, len(found) - 1)
-    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    offsets = np.concatenate(([0], np.cumsum(lengths)))
-    by_word = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<u4")))
-    ids = by_word.take(pa.array(codes)).flatten().to_numpy(zero_copy_only=False)
-    ends = np.concatenate(([0], np.cumsum(lengths[codes])))[np.cumsum(sizes + 1)]
-    raw, begin = ids.tobytes(), 0
-    for k, e in zip(at.tolist(), (ends * 4).tolist()):
-        out[k] = raw[begin:e]
-        begin = e
-    return out
+    encoder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
+    return [encoder.ids(t.as_py() or "").tobytes() + end for t in texts]
 
 
 # ------------------------------------------------------------------ packing
@@ -260,14 +206,12 @@ def _packed(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         packer, number = Packer(room, most), _first_id(0, part)
         for b in batches:
-            for at in range(0, b.num_rows, _TEXTS):
-                cut = b.slice(at, _TEXTS)
-                for doc, ids in zip(cut.column(0).to_pylist(), tokenize(cut.column(1), tokenizer_path, end_id)):
-                    packer.add((doc, 0, len(ids) // 4, ids))
-                done = packer.take()
-                if done:
-                    yield _rows(done, number, part, False)
-                    number += len(done)
+            for doc, ids in zip(b.column(0).to_pylist(), tokenize(b.column(1), tokenizer_path, end_id)):
+                packer.add((doc, 0, len(ids) // 4, ids))
+            done = packer.take()
+            if done:
+                yield _rows(done, number, part, False)
+                number += len(done)
         left = packer.leftovers()
         if left:
             yield _rows(left, number, part, True)
