@@ -97,3 +97,83 @@ def test_ordered_rank_is_dense_and_total(spark, n):
     for g, items in by_g.items():
         items.sort()
         assert [rk for _, rk in items] == list(range(1, len(items) + 1))
+
+
+# ------------------------------------------------------------------ dated catalog
+def _dated_rows(cat):
+    iso = lambda t: t and t.strftime("%m-%d")
+    return sorted((r.entity_id, r.sort_order, iso(r.valid_from), iso(r.valid_to), r.merge_id) for r in cat.collect())
+
+
+def test_dated_merges_keep_births(spark):
+    at = lambda d: F.to_timestamp(F.lit(f"2024-05-{d:02d} 00:00:00"))
+    plain = spark.createDataFrame([("old", "Old", "Acme", 7), ("ever", "Ever", "Acme", 8)],
+                                  "entity_id string, display_name string, provider string, sort_order int")
+    born = plain.withColumn("valid_from", F.when(F.col("entity_id") == "old", at(1)))
+    new = lambda *slugs: spark.createDataFrame([(s, s.title(), "Acme", 100 + i) for i, s in enumerate(slugs)],
+                                               "slug string, display_name string, provider string, sort_order int")
+    first = E.merge_dated(E.dated_catalog(born), new("a", "old", "a"), at(6), 1)
+    assert _dated_rows(first) == [("a", 100, "05-06", None, 1), ("ever", 8, None, None, 0), ("old", 7, "05-01", None, 0)]
+    assert _dated_rows(E.merge_dated(first, new("zzz"), at(9), 1)) == _dated_rows(first)  # repeated merge
+    gone = spark.createDataFrame([("a",), ("unheard",)], "entity_id string")
+    second = E.merge_dated(first, new("b"), at(13), 2, retire=gone)
+    assert ("a", 100, "05-06", "05-13", 1) in _dated_rows(second) and ("b", 100, "05-13", None, 2) in _dated_rows(second)
+    third = E.merge_dated(second, new("a"), at(20), 3)
+    assert [r for r in _dated_rows(third) if r[0] == "a"] == [("a", 100, "05-06", "05-13", 1), ("a", 100, "05-20", None, 3)]
+    names = lambda d: sorted(r.entity_id for r in E.catalog_at(third, at(d)).collect())
+    assert names(1) == ["ever", "old"] and names(10) == ["a", "ever", "old"]
+    assert names(14) == ["b", "ever", "old"] and names(25) == ["a", "b", "ever", "old"]
+    assert E.merge_catalog(born, new("c")).where("entity_id = 'old'").first().valid_from is not None
+
+
+# ------------------------------------------------------------------ rules table
+def _plain_rules(ids, rules):
+    import re
+    out = {}
+    for i in ids:
+        hits = []
+        for rule, pattern, entity in rules:
+            for alt in (pattern or "").split("|") if pattern is not None and entity is not None else []:
+                regex = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in alt)
+                if re.fullmatch(regex, i, re.S):
+                    hits.append((rule, entity))
+        if hits:
+            out[i] = min(hits)[1]
+    return out
+
+
+def test_rules_table_equals_trying_every_rule(spark):
+    import random
+    rnd = random.Random(7)
+    words = ["alpha", "beta", "ga", "x", "4.6", "$1", "a+b", "[z]", "(q", "\\d", "é", "日本語", "a b", "^", "-", "/"]
+    pick = lambda n: "".join(rnd.choice(words) for _ in range(rnd.randint(0, n)))
+    ids = sorted({pick(4) for _ in range(300)} | {"", "a\nb-alpha", "alpha\n"})
+    rules = []
+    for k in range(1000):
+        alts = []
+        for _ in range(rnd.randint(1, 2)):
+            parts = [rnd.choice(["*", "?", "*", pick(2), pick(2)]) for _ in range(rnd.randint(1, 4))]
+            alts.append("".join(parts))
+        rules.append((rnd.randint(0, 3000), "|".join(alts), f"e{k}"))
+    rules += [(1, None, "never"), (0, "alpha", None), (5000, "*", "rest")]
+    rules = [r for r in rules if r[0] or r[2] is None]
+    df = spark.createDataFrame([(i, "was") for i in ids] + [(ids[3], "again"), (None, "none")], "raw string, entity_id string")
+    table = spark.createDataFrame(rules, "rule int, pattern string, entity_id string").repartition(4)
+    got = E.resolve_by_rules(df, "raw", table)
+    assert got.columns == ["raw", "entity_id"]
+    want = _plain_rules(ids, rules)
+    assert len(want) == len(ids)  # the last rule takes the rest
+    rows = got.collect()
+    assert {r.raw: r.entity_id for r in rows} == want and len(rows) == len(ids) + 1
+    some = table.where("pattern <> '*'").where("length(pattern) > 6")
+    few = [r for r in rules if r[1] and r[1] != "*" and len(r[1]) > 6]
+    assert {r.raw: r.entity_id for r in E.resolve_by_rules(df, "raw", some).collect()} == _plain_rules(ids, few)
+    assert E.resolve_by_rules(df, "raw", table.limit(0)).count() == 0
+
+
+def test_rules_equal_the_literal_form(spark):
+    rules = [("*large*4*6*", "big"), ("*4*|*five*", "any"), ("s?all*", "small")]
+    df = spark.createDataFrame([(v,) for v in ("x-large-4-6", "x-4", "fives", "small", "other", "smal")], "raw string")
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rules)], "rule int, pattern string, entity_id string")
+    pairs = lambda d: sorted((r.raw, r.entity_id) for r in d.collect())
+    assert pairs(E.resolve_by_rules(df, "raw", table)) == pairs(E.resolve_alias(df, "raw", rules))

@@ -205,3 +205,78 @@ def test_counts_behind_the_closed_buckets_are_kept_apart(spark, tmp_path):
     assert [r.n for r in spark.read.parquet(str(tmp_path / "s" / "late_counts")).collect()] == [50]
     closed = spark.read.parquet(str(tmp_path / "s" / "closed_counts"))
     assert closed.count() == 4  # the whole history
+
+
+# ------------------------------------------------------------------ A8, A9 and late repair on the stream
+def _hour(n, minute=5):
+    import datetime as dt
+    return dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(hours=n, minutes=minute)
+
+
+def _random_batches(rnd, n=400, batches=5):
+    rows = []
+    for i in range(n):
+        late = rnd.random() < .05
+        at = i * 40 // n if not late else max(0, i * 40 // n - rnd.randint(5, 9))
+        rows.append((i, rnd.choice(["e", "f", "stranger", "", None]), rnd.choice(["a", "b", None]), _hour(at, rnd.randint(0, 59))))
+    size = n // batches
+    return [rows[k * size:(k + 1) * size] for k in range(batches)]
+
+
+def test_stream_rejects_equal_the_batch_report_over_closed_hours(spark, tmp_path):
+    import random
+    from outcry.operators.admission import admission_report
+    cat = spark.createDataFrame([("e",), ("f",)], "entity_id string")
+    capper = G.RateCapper(spark, str(tmp_path / "cap"), str(tmp_path / "sink"), k=2)
+    report = G.AdmissionReport(spark, cat, capper, str(tmp_path / "state"), str(tmp_path / "out"))
+    batches = _random_batches(random.Random(3))
+    ontime, late, newest = [], [], None
+    for k, rows in enumerate(batches):
+        report(_attempts(spark, rows), k)
+        if k in (0, 3):
+            report(_attempts(spark, rows), k)  # replayed
+        floor = None if newest is None else newest - 2 * 3600
+        hour = lambda r: int(r[3].timestamp()) // 3600 * 3600
+        for r in rows:
+            (late if floor is not None and hour(r) < floor else ontime).append(r)
+        newest = max([hour(r) for r in rows if r[1] in ("e", "f")] + ([newest] if newest is not None else []))
+    got = {(r.reason, r.hour): r.n for r in G.admission_counts(spark, str(tmp_path / "out")).collect()}
+    want = {}
+    for r in admission_report(_attempts(spark, ontime), cat, k=2).where(F.unix_seconds("hour") < newest - 2 * 3600).collect():
+        want[(r.reason, r.hour)] = r.n
+    for r in _attempts(spark, late).groupBy(F.date_trunc("hour", "ts").alias("hour")).count().collect():
+        want[("late", r.hour)] = r["count"]
+    assert late and got == want
+
+
+def test_signal_table_equals_the_batch_dedup(spark, tmp_path):
+    import random
+    from outcry.operators.admission import dedup_signals
+    batches = [[r for r in b if r[1]] for b in _random_batches(random.Random(5))]
+    table = G.SignalTable(spark, str(tmp_path / "t"))
+    assert table.read() is None
+    for k, rows in enumerate(batches):
+        table(_attempts(spark, rows), k)
+        table(_attempts(spark, rows), k)  # a batch that is replayed after its commit
+        before = table.store.head()
+        table(_attempts(spark, rows[:0]), k + 100)  # an empty batch writes nothing
+        assert table.store.head() == before == k
+    want = dedup_signals(_attempts(spark, [r for b in batches for r in b]))
+    columns = ["signal_id", "actor_key", "entity_id", "hour", "created_at", "dow", "hod"]
+    key = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert key(table.read()) == key(want)
+    days = {r.day: r.version for r in table.store.manifest().collect()}
+    assert len(days) == 2 and days[min(days)] < days[max(days)]  # closed days are left alone
+
+
+def test_recount_reads_the_days_of_late_hours(spark, tmp_path):
+    from outcry.sources.signals import write_signals
+    rows = [(i, "e", f"a{i % 7}", _hour(i // 4, i % 60)) for i in range(4 * 96)]
+    raw = _attempts(spark, rows).withColumn("hour", F.date_trunc("hour", "ts"))
+    write_signals(raw, str(tmp_path / "raw"), "overwrite")
+    late = raw.where("signal_id in (30, 31, 200)")
+    counts, hours = G.recount(spark, str(tmp_path / "raw"), late, None, 1)
+    assert {(r.hour.day, r.hour.hour) for r in hours.collect()} == {(1, 7), (3, 2)}
+    assert {(r.hour.day, r.hour.hour): r.n for r in counts.collect()} == {(1, 7): 4, (3, 2): 4}
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "date" in plan.split("PartitionFilters: [")[1].split("]")[0]
