@@ -2,8 +2,9 @@
 
 Every distinct pre-token of the corpus enters a trie; the forward score of a
 trie node (best log-probability of any segmentation of that prefix, and its
-number of pieces) is computed once, however many words share the prefix, and
-the counts stored at a word's terminal node are joined back to its occurrences
+number of pieces) is computed once, however many words share the prefix (the
+trie is cut into ranges of words; only the path to a bound is in two), and the
+counts stored at a word's terminal node are joined back to its occurrences
 (``wordmap``).  The trie is walked in byte order of the words, so only the
 current path is held: a word re-uses the scores of the prefix it shares with
 the word before it.

@@ -9,21 +9,25 @@ every position:
    partition: its distinct words, numbered by falling frequency, plus for each
    document the positions as word numbers.  This is the exploded (document,
    position, word) relation with repeated words factored out.
-2. ``answer_words``: the (chunk, number, word) rows are shuffled by a hash of
-   the word, so equal words of all chunks meet; each distinct word is answered
-   once and the answers go back keyed by (chunk, number).
+2. ``answer_words``: the (chunk, number, word) rows are shuffled by ranges of
+   words, so equal words of all chunks meet, beside those that share their
+   prefixes; each distinct word is answered once and the answers go back keyed
+   by (chunk, number).
 3. ``reassemble``: documents and answers meet by chunk; the positions pick their
    answers in order.
 
-A very frequent word costs one row per chunk, not one per occurrence, and hash
-buckets hold an even share of every chunk, so no word or source makes a hot
-task.  Chunks have a bounded token count, so memory does not grow with the
+A very frequent word costs one row per chunk, not one per occurrence, and the
+ranges hold even shares of all (chunk, word) pairs, so no word or source makes a
+hot task.  The words of a chunk and range travel together in a plain coding of a
+few bytes beside the words, so that however many chunks and ranges there are,
+what moves stays in proportion to the pairs.  Chunks have a bounded token count, so memory does not grow with the
 input.  The chunk table is written to the shared checkpoint folder: a lost
 executor re-reads it instead of re-splitting documents.
 """
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -31,6 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .memory import give_back, tidy
@@ -38,8 +43,13 @@ from .runtime import scratch_path
 
 #: Tokens after which a chunk is closed (a single longer document is one chunk).
 CHUNK_TOKENS = 2_700_000
-#: (chunk, word) pairs per hash bucket of the distinct-word shuffle.
+#: (chunk, word) pairs per range of the distinct-word shuffle.
 BUCKET_WORDS = 200_000
+#: Words, evenly from all chunks, that the bounds of the ranges are taken from
+#: (at least one of a chunk, up to this many chunks).
+SAMPLE_WORDS = 100_000
+#: Bytes from which a blob is compressed.
+_COMPRESS = 512
 
 
 def pack(t: pa.Table) -> bytes:
@@ -55,6 +65,59 @@ def unpack(b: bytes) -> pa.Table:
         return r.read_all()
 
 
+_INTS = {pa.int32(): b"i", pa.int64(): b"q"}
+
+
+def lean(t: pa.Table) -> bytes:
+    """A small table of 32- or 64-bit integers, binaries and lists of unsigned
+    32-bit integers as its lengths and values alone."""
+    kinds, out = b"", []
+    for c in t.columns:
+        c = c.combine_chunks()
+        c = pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
+        if c.type in _INTS:
+            kinds += _INTS[c.type]
+            out.append(c.to_numpy().tobytes())
+            continue
+        offsets = np.frombuffer(c.buffers()[1], np.int64)[c.offset:c.offset + len(c) + 1] if len(c) else np.zeros(1, np.int64)
+        out.append(np.diff(offsets).astype("<u4").tobytes())
+        if pa.types.is_large_binary(c.type):
+            kinds += b"b"
+            out.append(c.buffers()[2][int(offsets[0]):int(offsets[-1])].to_pybytes() if len(c) and c.buffers()[2] else b"")
+        else:
+            kinds += b"l"
+            out.append(c.flatten().to_numpy().astype("<u4").tobytes())
+    raw = b"".join(out)
+    packed = len(raw) >= _COMPRESS
+    head = struct.pack("<BIB", packed, t.num_rows, len(kinds)) + kinds
+    return head + (zstandard.ZstdCompressor(level=1).compress(raw) if packed else raw)
+
+
+def fat(blob: bytes, names: list[str]) -> pa.Table:
+    """The table that ``lean`` coded."""
+    packed, n, k = struct.unpack_from("<BIB", blob)
+    kinds, raw, at, columns = blob[6:6 + k], blob[6 + k:], 0, []
+    if packed:
+        raw = zstandard.ZstdDecompressor().decompress(raw)
+    for kind in kinds:
+        if kind in b"iq":
+            kept = np.frombuffer(raw, "<i4" if kind == ord("i") else "<i8", n, at)
+            columns.append(pa.array(kept))
+            at += kept.nbytes
+            continue
+        sizes = np.frombuffer(raw, "<u4", n, at)
+        offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        at += sizes.nbytes
+        if kind == ord("b"):
+            columns.append(pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[at:at + int(offsets[-1])])]))
+            at += int(offsets[-1])
+        else:
+            values = np.frombuffer(raw, "<u4", int(offsets[-1]), at)
+            columns.append(pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(values)))
+            at += values.nbytes
+    return pa.table(columns, names=names)
+
+
 def varint(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """LEB128 bytes of non-negative codes, and the byte count of each."""
     codes = codes.astype(np.uint32)
@@ -153,13 +216,41 @@ def explode_words(docs: DataFrame, key: str, words: str) -> DataFrame:
     return spark.table(name)
 
 
+def _bounds(words: DataFrame, buckets: int) -> list[bytes]:
+    """Words that part all (chunk, word) pairs in ``buckets`` ranges of about
+    equal size, from a bounded sample: they decide where work is done, not what
+    comes out."""
+    chunks = words.count()
+    each, every = max(SAMPLE_WORDS // max(chunks, 1), 1), -(-chunks // SAMPLE_WORDS)
+
+    def some(batches):
+        for b in batches:
+            for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist()):
+                # Words stand in the order of their frequency: an even choice has no bias in the alphabet.
+                word = unpack(payload).column("word").combine_chunks()
+                if len(word) and zlib.crc32(str(chunk).encode()) % every == 0:
+                    at = np.linspace(0, len(word) - 1, min(each, len(word))).astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({
+                        "word": word.take(pa.array(at)).cast(pa.binary()),
+                        "weight": pa.array(np.full(len(at), len(word) / len(at)))})
+
+    rows = sorted((bytes(r["word"]), r["weight"]) for r in words.mapInArrow(some, "word binary, weight double").collect())
+    if not rows:
+        return []
+    upto = np.cumsum([w for _, w in rows])
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, buckets) / buckets)
+    return sorted({rows[min(int(k), len(rows) - 1)][0] for k in at})
+
+
 def answer_words(chunks: DataFrame, answer: Callable[[list[bytes]], pa.Table]) -> DataFrame:
-    """(chunk, payload): for every chunk and hash bucket the word numbers with
-    the columns of ``answer``, which gets distinct words in byte order."""
+    """(chunk, payload): for every chunk and range of words the word numbers
+    with the columns of ``answer``, which gets distinct words in byte order.
+    Its columns are 64-bit integers, binaries or lists of unsigned integers."""
     spark = chunks.sparkSession
     words = chunks.filter("part = 0").select("chunk", "n_words", "payload")
     pairs = words.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // BUCKET_WORDS), 1)
+    bounds = np.array(_bounds(words, buckets), dtype=object)
 
     def deal(batches):
         for b in batches:
@@ -168,22 +259,20 @@ def answer_words(chunks: DataFrame, answer: Callable[[list[bytes]], pa.Table]) -
                 if not found:  # texts without any word
                     continue
                 raw = pa.concat_arrays(found).cast(pa.large_binary())
-                crc = zlib.crc32
-                each = raw.to_numpy(zero_copy_only=False).tolist()
-                of = np.fromiter((crc(w) % buckets for w in each), np.int64, len(raw))
-                del each
-                order = np.argsort(of, kind="stable")
-                cuts = np.searchsorted(of[order], np.arange(buckets + 1))
-                for k in range(buckets):
-                    if cuts[k] < cuts[k + 1]:
-                        idx = order[cuts[k]:cuts[k + 1]]
-                        t = pa.table({"idx": pa.array(idx.astype(np.int32)), "word": raw.take(pa.array(idx))})
-                        yield pa.RecordBatch.from_pydict(
-                            {"bucket": pa.array([k], pa.int32()), "chunk": pa.array([chunk], pa.int64()),
-                             "payload": pa.array([pack(t)], pa.binary())})
+                order = pc.sort_indices(raw)
+                ordered = raw.take(order)
+                number = order.to_numpy().astype(np.int32)
+                cuts = np.searchsorted(ordered.to_numpy(zero_copy_only=False), bounds, side="right") if len(bounds) else []
+                edges = np.concatenate(([0], cuts, [len(raw)])).astype(np.int64)
+                for k in np.flatnonzero(np.diff(edges)):
+                    lo, hi = int(edges[k]), int(edges[k + 1])
+                    t = pa.table({"idx": pa.array(number[lo:hi]), "word": ordered.slice(lo, hi - lo)})
+                    yield pa.RecordBatch.from_pydict(
+                        {"bucket": pa.array([k], pa.int32()), "chunk": pa.array([chunk], pa.int64()),
+                         "payload": pa.array([lean(t)], pa.binary())})
 
     def solve(t: pa.Table) -> pa.Table:
-        parts = [unpack(p) for p in t.column("payload").to_pylist()]
+        parts = [fat(p, ["idx", "word"]) for p in t.column("payload").to_pylist()]
         word = pa.chunked_array([c for p in parts for c in p.column("word").chunks], type=pa.large_binary())
         coded = pa.concat_arrays(word.chunks).dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -196,13 +285,14 @@ def answer_words(chunks: DataFrame, answer: Callable[[list[bytes]], pa.Table]) -
         for p in parts:
             own = answers.take(pa.array(codes[at:at + p.num_rows]))
             at += p.num_rows
-            out.append(pack(own.append_column("idx", p.column("idx"))))
+            out.append(lean(own.append_column("idx", p.column("idx"))))
+        names = ",".join([*answers.column_names, "idx"])
         del parts, word, coded, distinct, answers
         give_back()
-        return pa.table({"chunk": t.column("chunk"), "payload": pa.array(out, pa.binary())})
+        return pa.table({"chunk": t.column("chunk"), "names": pa.array([names] * len(out)), "payload": pa.array(out, pa.binary())})
 
     return (words.mapInArrow(lambda batches: tidy(deal(batches)), "bucket int, chunk long, payload binary")
-            .groupBy("bucket").applyInArrow(solve, "chunk long, payload binary"))
+            .groupBy("bucket").applyInArrow(solve, "chunk long, names string, payload binary"))
 
 
 def reassemble(chunks: DataFrame, answers: DataFrame,
@@ -218,7 +308,7 @@ def reassemble(chunks: DataFrame, answers: DataFrame,
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({key: left.column("key")} | fold(None, np.empty(0, np.int64), np.empty(0, np.int64)))
-        parts = [unpack(p) for p in right.column("payload").to_pylist()]
+        parts = [fat(p, n.split(",")) for p, n in zip(right.column("payload").to_pylist(), right.column("names").to_pylist())]
         by_number = None
         if parts:
             whole = pa.concat_tables(parts).combine_chunks()
