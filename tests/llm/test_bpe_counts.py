@@ -109,6 +109,9 @@ def test_what_the_words_move_grows_with_the_pairs(spark, monkeypatch):
     from pyspark.sql import functions as F
     monkeypatch.setattr(wordmap, "CHUNK_TOKENS", 300)
     monkeypatch.setattr(wordmap, "BUCKET_WORDS", 300)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"  # a chunk ends between two batches
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "5")
     rnd = random.Random(4)
     vocabulary = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(1500)]
     seen, sizes = [], []
@@ -125,6 +128,7 @@ def test_what_the_words_move_grows_with_the_pairs(spark, monkeypatch):
         moved = found.agg(F.sum(F.octet_length("payload") + 40)).first()[0]
         seen.append(moved / pairs)
         sizes.append((found.count(), chunks.filter("part = 0").count()))
+    spark.conf.set(setting, before)
     assert sizes[1][1] > 3 * sizes[0][1] and sizes[1][0] > 8 * sizes[0][0]  # rows grow faster than the input ...
     assert seen[1] < 4 * seen[0] and seen[1] < 80  # ... but what moves stays within a constant of the pairs
 
