@@ -15,6 +15,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -81,10 +82,20 @@ def _scratch_root(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+_AT_RELEASE: list[Callable[[], None]] = []
+
+
+def at_release(action: Callable[[], None]) -> None:
+    """Have ``release_scratch`` also do this (drop a table over scratch files, say)."""
+    _AT_RELEASE.append(action)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete what ``scratch_path`` has handed out to this application.  Call it
     when the frames built on it are no longer needed; results already written
     elsewhere stay."""
+    while _AT_RELEASE:
+        _AT_RELEASE.pop()()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(path):
