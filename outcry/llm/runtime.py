@@ -14,11 +14,13 @@ WORD_GAP = r"[^\p{L}\p{N}\p{M}]+"
 
 def prepare(spark: SparkSession) -> None:
     """UTC, the shared checkpoint folder, the package on the executors, and
-    Arrow batches of bounded row count (texts can be long)."""
+    Arrow batches of bounded row count and size (texts can be long; one that is
+    longer is a batch of its own).  Results are lazy, so the settings stay."""
     ensure_utc(spark)
     checkpoint_dir(spark)
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,7 +40,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .runtime import materialize, prepare
 
+#: For tests and trials: surrogates under a published key can be recomputed.
 KEY = "outcry"
+KEY_SETTING = "spark.outcry.surrogates.key"
 WIDEN = 6
 ATTEMPTS = 64
 
@@ -230,7 +232,9 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, value): a surrogate for each distinct (kind, canon), with
     values distinct within a kind and different from every canon of it."""
     entities = materialize(entities.select("kind", "canon").distinct(), "entities")
-    taken = entities.select("kind", F.col("canon").alias("value"))
+    # A name's surrogate is a bare word: the word of its canonical form is taken.
+    taken = entities.select("kind", F.when(F.col("kind") == "name", F.substring_index("canon", "|", -1))
+                            .otherwise(F.col("canon")).alias("value")).distinct()
     left, done = entities, None
     for attempt in range(ATTEMPTS):
         tried = left.withColumn("value", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key))
@@ -246,14 +250,18 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise ValueError(f"no free surrogate after {ATTEMPTS} attempts")
 
 
-def replace(docs: DataFrame, text: str = "text", key: str = KEY,
+def replace(docs: DataFrame, text: str = "text", key: str | None = None,
             count: str | None = "n_entities") -> tuple[DataFrame, DataFrame]:
-    """(documents with surrogates in ``text`` and, if named, the added column
+    """``key`` decides the surrogates; by default it is the session's setting
+    ``spark.outcry.surrogates.key``, which should be kept secret, or else ``KEY``.
+    Returns (documents with surrogates in ``text`` and, if named, the added column
     ``count``, mentions (text_key, pos, kind, mention, replacement))."""
     prepare(docs.sparkSession)
+    key = docs.sparkSession.conf.get(KEY_SETTING, KEY) if key is None else key
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
-    base = docs.withColumn("found__", found)
-    hits = materialize(base.filter(F.size("found__") > 0).withColumn("text_key__", F.md5(text)), "hits")
+    # Written once with what was found: the search is most of the work.
+    base = materialize(docs.withColumn("found__", found), "searched")
+    hits = base.filter(F.size("found__") > 0).withColumn("text_key__", F.md5(text))
     clean = base.filter(F.size("found__") == 0).withColumn("n__", F.lit(0))
 
     per_text = hits.groupBy("text_key__").agg(F.first("found__").alias("found__"))
