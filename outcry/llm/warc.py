@@ -221,7 +221,9 @@ def read(bundles: DataFrame) -> DataFrame:
                         found.append((head, payload))
                     yield _parsed(found)
 
-    return bundles.select("path").distinct().repartition(parts, "path").mapInArrow(run, _RECORD)
+    # Not by the column itself: a repartition by what the distinct has hashed by
+    # would be dropped, and one coalesced task would read all bundles.
+    return bundles.select("path").distinct().repartition(parts, F.xxhash64("path")).mapInArrow(run, _RECORD)
 
 
 def fetch(index: DataFrame) -> DataFrame:
