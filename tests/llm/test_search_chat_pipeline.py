@@ -17,17 +17,11 @@ from outcry.llm.components import components
 # --- top-k -------------------------------------------------------------------
 
 def brute_top(rows, k):
-    ints = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        e = [math.floor(256 * x) for x in v]
-        ints[i] = max(ints.get(i, e), e)
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
+            if not (i is None or v is None or any(x is None or not math.isfinite(x) for x in v))]
     out = set()
-    for q in ints:
-        if q % 5:
-            continue
-        scores = sorted((-sum(a * b for a, b in zip(ints[q], e)), i) for i, e in ints.items() if i != q)
+    for q in {i for i, _ in ints if i % 5 == 0}:
+        scores = sorted((-sum(a * b for a, b in zip(own, e)), i) for p, own in ints if p == q for i, e in ints if i != q)
         out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])}
     return out
 
@@ -41,13 +35,26 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block, shard):
     rows = [(i, [rng.choice([0.0, 0.25, -0.5, rng.uniform(-1, 1)]) for _ in range(6)]) for i in range(150)]
     rows += [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (None, [1.0] * 6), (205, []),
              (210, [0.5] * 3), (215, [0.5] * 9), (220, list(rows[3][1])), (225, list(rows[3][1])), (5, [0.9] * 6), (5, [0.9] * 6),
-             (230, [-1e-30] * 6)]
+             (230, [-1e-30] * 6), (231, [3.0, 0.0, 0.0]), (231, [0.0, 4.0, 0.0]), (231, [0.0, 4.0, 0.0]), (5, [-2.0] * 6)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, e string, rank int")
     wide = [(i, None if v is None else [None if x is None else float(F32(x)) for x in v]) for i, v in rows]
     got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0).collect()}
     assert got == brute_top(wide, 5)
 
 
+def test_every_row_of_a_repeated_id_is_a_candidate(spark):
+    rows = [(0, [1.0, 1.0]), (1, [3.0, 0.0]), (1, [0.0, 4.0]), (7, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0).collect())
+    assert got == [(0, 1, 1, 4 * 65536), (0, 2, 1, 3 * 65536), (0, 3, 7, 2 * 65536)]
+    assert set(got) == brute_top(rows, 5)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({topk.ORACLE_SQL})").fetchall()
+    assert sorted(want) == got
+
+
 def F32(x):
     import numpy as np
     return np.float32(x)
