@@ -34,8 +34,9 @@ from outcry.functions.time import BUCKETS, dow, hod, slot_index
 from outcry.operators.baselines import TIER_COLUMNS, fold_state, slot_frame
 from outcry.operators.counts import birth_index, hourly_totals
 
-#: Buckets of a block: 8 weeks of hours, 192 weeks of days.
-BLOCK = {"hour": 8 * 168, "day": 192 * 7}
+#: Buckets of a block: 8 weeks of hours, 576 weeks of days.  A block has to hold
+#: some thousand rows of an entity to outweigh the state it begins with.
+BLOCK = {"hour": 8 * 168, "day": 576 * 7}
 #: Buckets before a block from which the share recurrence runs.
 WARM = 168
 #: Entities replayed together.
@@ -169,16 +170,15 @@ class Series:
     """Input of ``replay``: ``rows`` has one row per entity and block with its
     sparse observations and the state before it."""
 
-    def __init__(self, rows: DataFrame, totals: np.ndarray, lo: int, hi: int, bucket: str):
-        self.rows, self.totals, self.lo, self.hi, self.bucket = rows, totals, lo, hi, bucket
+    def __init__(self, rows: DataFrame, totals: np.ndarray, lo: int, hi: int, bucket: str, block: int):
+        self.rows, self.totals, self.lo, self.hi, self.bucket, self.block = rows, totals, lo, hi, bucket, block
 
 
 def _slot_seeds(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column, bucket: str,
-                first: int, blocks: range, seed: DataFrame | None) -> DataFrame:
+                size: int, first: int, blocks: range, seed: DataFrame | None) -> DataFrame:
     """(entity_id, block, slots): the states of all slots at the start of
     ``blocks``, left behind by one fold over the weeks."""
     _, period = BUCKETS[bucket]
-    size = BLOCK[bucket]
     dated = counts.select("entity_id", "hour", "n", dow("hour").alias("dow"), hod("hour", bucket).alias("hod"))
     sf = slot_frame(dated, catalog, lo, hi, bucket).withColumn("slot", slot_index("dow", "hod", bucket))
     none = F.lit(None).cast("struct<mean:double,std:double,n:bigint>")
@@ -260,11 +260,15 @@ def share_scan(counts: DataFrame, totals: DataFrame, ends: list[int],
 
 
 def entity_series(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column, bucket: str = "hour",
-                  seed: DataFrame | None = None) -> Series:
+                  seed: DataFrame | None = None, block: int | None = None) -> Series:
     """The replay's input for the buckets [lo, hi]; ``seed`` (``STATE_SCHEMA``)
-    is the state before ``lo``, none for a history from the start."""
-    secs, _ = BUCKETS[bucket]
-    size = BLOCK[bucket]
+    is the state before ``lo``, none for a history from the start; ``block`` is
+    the number of buckets of a block (whole cycles), by default ``BLOCK``."""
+    secs, period = BUCKETS[bucket]
+    size = block or BLOCK[bucket]
+    if size % period:
+        raise ValueError(f"a block must hold whole cycles of {period} buckets")
+    warm = min(WARM, size)  # within the block before
     first, last = _numbers(counts.sparkSession, lo, hi, secs)
     blocks = range(first // size, last // size + 1)
     numbered = (counts.where((F.col("hour") >= lo) & (F.col("hour") <= hi))
@@ -278,10 +282,10 @@ def entity_series(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
     own = numbered
     if "valid_from" in catalog.columns:
         own = numbered.join(born, "entity_id").where(F.col("a") >= F.col("_born")).drop("_born")
-    block = F.floor(F.col("a") / F.lit(size)).cast("long")
+    of = F.floor(F.col("a") / F.lit(size)).cast("long")
     # The last buckets of a block also warm up the next one.
-    held = F.when((F.col("a") >= (block + 1) * F.lit(size) - F.lit(WARM)) & (block < F.lit(blocks[-1])),
-                  F.array(block, block + 1)).otherwise(F.array(block))
+    held = F.when((F.col("a") >= (of + 1) * F.lit(size) - F.lit(warm)) & (of < F.lit(blocks[-1])),
+                  F.array(of, of + 1)).otherwise(F.array(of))
     obs = (own.withColumn("_block", F.explode(held)).groupBy("entity_id", "_block")
            .agg(F.collect_list(F.struct("a", "n")).alias("_obs")))
     rows = (born.withColumn("_block", F.explode(F.sequence(F.lit(blocks[0]).cast("long"), F.lit(blocks[-1]).cast("long"))))
@@ -291,8 +295,8 @@ def entity_series(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
     if seed is not None:
         state = seed.select("entity_id", F.lit(blocks[0]).cast("long").alias("_block"), "slots", "share", "total")
     if len(blocks) > 1:
-        slots = _slot_seeds(counts, catalog, lo, hi, bucket, first, blocks[1:], seed)
-        ends = [max(b * size - WARM, first) for b in blocks[1:]]
+        slots = _slot_seeds(counts, catalog, lo, hi, bucket, size, first, blocks[1:], seed)
+        ends = [max(b * size - warm, first) for b in blocks[1:]]
         shares = share_scan(own.select("entity_id", "a", "n"), by_bucket, ends, seed)
         later = (slots.withColumnRenamed("block", "_block")
                  .join(shares.select("entity_id", (F.lit(blocks[1]) + F.col("part")).cast("long").alias("_block"), "share", "total"),
@@ -306,14 +310,14 @@ def entity_series(counts: DataFrame, catalog: DataFrame, lo: Column, hi: Column,
     rows = rows.select(
         "entity_id", "_block", "_born", F.col("_obs.a").alias("_a"), F.col("_obs.n").alias("_n"),
         *[F.col(f"slots.{c}").alias(f"_{c}s") for c in ("slot", "mean", "std", "n")], "share", "total")
-    return Series(rows, totals, first, last, bucket)
+    return Series(rows, totals, first, last, bucket, size)
 
 
 def replay(series: Series) -> DataFrame:
     """C3 + C3b + C5b: slot state, as-of tiers and share state before and after
     every bucket of every entity from its birth on."""
     secs, period = BUCKETS[series.bucket]
-    size, daily = BLOCK[series.bucket], series.bucket == "day"
+    size, daily = series.block, series.bucket == "day"
     totals, lo, hi = series.totals, series.lo, series.hi
     spark = series.rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -324,7 +328,7 @@ def replay(series: Series) -> DataFrame:
 
     def some(rows, block):
         begin, end = max(block * size, lo), min((block + 1) * size - 1, hi)
-        skip = min(WARM, begin - lo) if begin > lo else 0
+        skip = min(WARM, size, begin - lo) if begin > lo else 0
         e = rows.num_rows
         x = np.zeros((e, end - begin + 1 + skip), np.int64)
         at, who = lists(rows.column("_a"))

@@ -43,6 +43,7 @@ CAP_HOUR = 1               # A7 fixture: cap per (actor, hour)
 CAP_DAY = 2                # A7 fixture: cap per (actor, day)
 CATALOG_MIN_ROWS = 40      # E9 threshold
 SHARE_DECIMALS = 9         # printed decimals of the blocked share history
+SHARE_BLOCK = 52 * 7       # its buckets in a block
 
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
@@ -372,10 +373,11 @@ def c5b_share_history(spark, sf):
 
 
 def c5b_share_blocks(spark, sf):
-    """C5b over several blocks of buckets (daily returns, ``SHARE_DECIMALS``
-    decimals): the state at every block start is a scan of affine maps."""
+    """C5b over several blocks of ``SHARE_BLOCK`` buckets (daily returns,
+    ``SHARE_DECIMALS`` decimals): the state at every block start is a scan of
+    affine maps."""
     x = Ctx(spark, sf, "ret")
-    h = H.share_history(H.entity_series(x.counts, x.catalog, x.lo, x.hi, "day"))
+    h = H.share_history(H.entity_series(x.counts, x.catalog, x.lo, x.hi, "day", block=SHARE_BLOCK))
     r = lambda c: round_half_up(c, SHARE_DECIMALS).alias(c)
     return h.select("entity_id", _iso("hour").alias("hour"), r("prev_share"), "prev_total", r("share"), "lifetime_total")
 
@@ -511,7 +513,7 @@ def d12_history_batches(spark, sf):
 
 
 def ret_history_batches(spark, sf):
-    """The same with daily buckets, over several blocks."""
+    """The same with daily buckets."""
     x = Ctx(spark, sf, "ret")
     lo, hi = _seconds(x)
     step = (hi - lo) // 86400 // 3
