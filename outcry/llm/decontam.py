@@ -5,10 +5,15 @@ Texts and items are sequences of lower-cased words (runs of letters, digits and
 marks), shingles are five words.  A shingle that occurs in d items has weight
 1000 div d, any other 1000.  A window is a run of as many words as an item has.
 
-1. A window can only be similar to an item if it holds one of the item's
-   shingles, so windows are laid where a shingle of some item occurs in the
-   text, at the offset it has in that item (elsewhere every similarity is 0).
-   Equal windows are kept once.
+1. A window can only reach the bar with an item if the shingles that it shares
+   with items of its length, in any order, weigh enough against its own and the
+   least such item's total.  The positions of all items' shingles in a text are
+   joined once; running sums over them give the shared and the total weight of
+   the window that starts at each of them (one that starts before shares no
+   more) and of the last window.  Windows are laid where these suffice: for items
+   of up to 31 shingles at every such position, for longer ones at the best of
+   each run of a 16th of their length.  Windows are also laid where a shared
+   shingle has its own offset in an item.  Equal windows are kept once.
 2. Every window and item gets ``FINGERPRINTS`` 64-bit SimHashes of its
    shingles, each voting with the root of its weight times its count: the angle
    follows the squares of the votes, the verified similarity the weights.
@@ -34,7 +39,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .runtime import WORD_GAP, materialize, prepare, text_or_empty
 
@@ -104,6 +109,43 @@ def _printed(frame: DataFrame) -> DataFrame:
     return frame.withColumn("prints", F.array(*[_fingerprint(F.col("bag"), k) for k in range(FINGERPRINTS)]))
 
 
+def _shared_starts(met: DataFrame, weights: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(text_key, length, n, start): where a window of n words can be similar to
+    an item of n words.  ``met``: (text_key, length, p, s), the positions of
+    items' shingles in texts; ``heavy``: (s, n, least), the lengths of the items
+    that hold a shingle and the least total of an item of that length."""
+    span = F.greatest(F.col("n") - SHINGLE, F.lit(0))
+    own = met.join(heavy, "s").select("text_key", "length", "n", "least", "p", "s")
+    asked = own.select("text_key", "length", "n", "least").distinct()
+    weighed = met.join(weights, "s").select("text_key", "p", "s", "w")
+    zero = F.lit(0).cast("long")
+    points = (asked.join(weighed, "text_key")
+              .join(own.select("text_key", "n", "p", "s", F.lit(1).alias("shares")), ["text_key", "n", "p", "s"], "left")
+              .select(*asked.columns, "p", F.when(F.col("shares") == 1, F.col("w")).otherwise(zero).alias("own"),
+                      (F.lit(1000) - F.col("w")).alias("lack")))
+    last = asked.select("*", F.greatest(F.col("length") - F.col("n"), F.lit(0)).cast("int").alias("p"), zero.alias("own"), zero.alias("lack"))
+    points = points.unionByName(last).groupBy(*asked.columns, "p").agg(F.sum("own").alias("own"), F.sum("lack").alias("lack"))
+    inside = Window.partitionBy("text_key", "n")
+    so_far = points.withColumn("upto", F.struct(F.sum("own").over(inside.orderBy("p")).alias("own"),
+                                                F.sum("lack").over(inside.orderBy("p")).alias("lack")))
+    # The sums up to a window's last shingle are those of the last point not behind it.
+    marks = so_far.select("text_key", "n", F.col("p").alias("at"), F.lit(0).alias("kind"), "upto", F.lit(None).cast("int").alias("p"))
+    ends = so_far.select("text_key", "n", (F.col("p") + span).alias("at"), F.lit(1).alias("kind"),
+                         F.lit(None).cast(so_far.schema["upto"].dataType).alias("upto"), "p")
+    reach = (marks.unionByName(ends).withColumn("end", F.last("upto", ignorenulls=True).over(inside.orderBy("at", "kind")))
+             .filter("kind = 1").select("text_key", "n", "p", "end"))
+    shingles = F.greatest(F.least("n", "length") - SHINGLE, F.lit(0)) + 1
+    shared = F.col("end.own") - F.col("upto.own") + F.col("own")
+    total = shingles * 1000 - (F.col("end.lack") - F.col("upto.lack") + F.col("lack"))
+    enough = (F.col("shared") >= SIMILARITY * F.col("least")) & (
+        (1 + SIMILARITY) * F.col("shared") >= SIMILARITY * (F.greatest("total", "shared") + F.col("least")) - 1e-6)
+    run = F.floor(F.col("p") / F.greatest(F.floor(span / 16), F.lit(1)))
+    return (so_far.join(reach, ["text_key", "n", "p"]).withColumn("shared", shared).withColumn("total", total)
+            .filter(enough).groupBy("text_key", "length", "n", run.alias("run"))
+            .agg(F.max(F.struct("shared", (-F.col("p")).alias("back")))["back"].alias("back"))
+            .select("text_key", "length", "n", (-F.col("back")).alias("start")))
+
+
 def text_leaks(docs: DataFrame, items: DataFrame, text: str = "text",
                item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(text_key, item_id, similarity, start_word, n_words): per distinct text
@@ -120,28 +162,36 @@ def text_leaks(docs: DataFrame, items: DataFrame, text: str = "text",
     seeds = materialize(laid.select("s", "at", "n").distinct(), "seeds")
     sizes = sorted(r[0] for r in item.select(F.least(n, F.lit(SHINGLE)).alias("k")).distinct().collect())
 
+    counted = materialize(_counted(item, "row", weights), "items")
+    least = item.select("row", n.alias("n")).join(counted, "row").groupBy("n").agg(F.min("total").alias("least"))
+    heavy = materialize(laid.select("s", "n").distinct().join(least, "n"), "heavy")
+
     texts = docs.select(F.md5(text_or_empty(docs[text])).alias("text_key"), text_or_empty(docs[text]).alias("text__"))
     words = texts.select("text_key", _words(F.col("text__")).alias("words"))
-    at = words.filter("size(words) > 0").select(
-        "text_key", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("p"))
+    # Outer, and cut by its place below: a filter on the words would split every text twice.
+    at = words.select("text_key", "words", F.explode_outer(
+        F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))).alias("p"))
     here = reduce(lambda a, b: a.unionByName(b), [
         at.filter(F.col("p") <= F.size("words") - k).select(
             "text_key", "p", F.size("words").alias("length"), _shingle(F.col("words"), F.col("p"), k).alias("s"))
         for k in sizes]) if sizes else at.limit(0).select("text_key", "p", F.lit(0).alias("length"), F.lit(0).cast("long").alias("s"))
-    windows = (here.join(seeds, "s")
-               .select("text_key", F.greatest(F.least(F.col("p") - F.col("at"), F.col("length") - F.col("n")),
-                                              F.lit(0)).alias("start"), "n")
+    # Equal texts meet the items' shingles at the same places: once from here on.
+    met = materialize(materialize(here.join(weights.select("s"), "s"), "met").distinct(), "met")
+    aligned = met.join(seeds, "s").select("text_key", "length", "n", (F.col("p") - F.col("at")).alias("start"))
+    windows = (aligned.unionByName(_shared_starts(met, weights, heavy))
+               .select("text_key", F.greatest(F.least("start", F.col("length") - F.col("n")), F.lit(0)).alias("start"), "n")
                .groupBy("text_key").agg(F.collect_set(F.struct("start", "n")).alias("laid")))
     windows = materialize(windows, "laid")
-    cut = (texts.join(windows, "text_key").select("text_key", _words(F.col("text__")).alias("whole"), "laid")
+    once = (texts.join(windows.select("text_key"), "text_key", "left_semi")
+            .groupBy("text_key").agg(F.first("text__").alias("text__")))
+    cut = (once.join(windows, "text_key").select("text_key", _words(F.col("text__")).alias("whole"), "laid")
            .select("text_key", "whole", F.explode("laid").alias("x"))
            .select("text_key", "x.start", F.slice("whole", F.col("x.start") + 1, F.col("x.n")).alias("words")))
-    window = materialize(cut.withColumn("window", F.md5(F.concat_ws(" ", F.col("words").cast("array<string>"))))
-                         .dropDuplicates(["text_key", "start", "window"]), "windows")
+    window = materialize(cut.withColumn("window", F.md5(F.concat_ws(" ", F.col("words").cast("array<string>")))), "windows")
 
     distinct = window.groupBy("window").agg(F.first("words").alias("words"))
     printed = materialize(_printed(_counted(distinct, "window", weights)), "prints")
-    own = _printed(_counted(item, "row", weights)).join(item.select("row", "item"), "row")
+    own = _printed(counted).join(item.select("row", "item"), "row")
     own = materialize(own.select("row", "item", F.col("total").alias("total_i"), F.col("bag").alias("bag_i"),
                                  F.col("prints").alias("prints_i")), "prints")
     index = (own.select("row", F.explode(_blocks(F.col("prints_i"))).alias("x"))
