@@ -49,7 +49,9 @@ STEM_WORDS = 4
 WINDOW = 8
 
 WORD = re.compile(r"[^\W_]+")
-_QUOTES = "\"“”„«»‘’‚‹›"
+#: Opening marks and what closes them; straight marks are told by their neighbours.
+_CLOSES = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", "‹": "›", "›": "‹", '"': '"'}
+_MARKS = re.compile("[\n\"“”„«»‘’‚‹›]")
 _REPORT = frozenset("said says called calls wrote quoted quote word term slur dit écrit mot sagte schrieb nannte wort "
                     "dijo escribió llamó palabra".split())
 _SECOND = frozenset("you your yours u ur du dich dir dein ihr euch tu te toi vous tú usted eres".split())
@@ -195,6 +197,27 @@ class Automaton:
 FEATURES = 6
 
 
+def quotations(low: str) -> list[tuple[int, int]]:
+    """The quoted spans of a text.  A mark that opens is paired with one that
+    closes it on the same line; marks without a partner quote nothing.  A straight
+    mark opens before a character and behind none, and closes behind one (5" and
+    6" open nothing); an apostrophe between letters is no mark."""
+    out, opened = [], None
+    for m in _MARKS.finditer(low):
+        at, c = m.start(), m.group()
+        before, behind = low[at - 1:at] if at else "", low[at + 1:at + 2]
+        if c == "\n":
+            opened = None
+        elif c == "’" and before.isalpha() and behind.isalpha():
+            continue
+        elif opened is not None and c in _CLOSES[low[opened]] and (c != '"' or before.strip()):
+            out.append((opened, at))
+            opened = None
+        elif opened is None and c in _CLOSES and behind.strip() and (c != '"' or not before.isalnum()):
+            opened = at
+    return out
+
+
 def features(text: str | None, automaton: Automaton, terms) -> list[float]:
     """Largest abusive window score; abusive mass of exact, misspelled and stem
     hits; quoted mass; hits per 100 words."""
@@ -206,17 +229,17 @@ def features(text: str | None, automaton: Automaton, terms) -> list[float]:
         return [0.0] * FEATURES
     spans = [m.span() for m in WORD.finditer(low)]
     hits = [i for i, w in enumerate(words) if w in known]
-    # Parity of quotation marks before each position tells what is quoted.
-    marks = [i for i, c in enumerate(low) if c in _QUOTES]
-    ends = np.searchsorted(marks, [spans[i][0] for i in hits])
+    said = quotations(low)
+    begins = [b for b, _ in said]
+    at_quote = np.searchsorted(begins, [spans[i][0] for i in hits], side="right") - 1
     score = np.zeros(len(hits))
     quoted = np.zeros(len(hits), bool)
     kind = np.zeros(len(hits), int)
     for k, i in enumerate(hits):
         term, edits = known[words[i]]
         near = words[max(0, i - WINDOW):i + WINDOW + 1]
-        quoted[k] = bool(ends[k] % 2 and ends[k] < len(marks)
-                         and marks[ends[k]] - marks[ends[k] - 1] < 400) or not _REPORT.isdisjoint(near)
+        inside = at_quote[k] >= 0 and spans[i][0] < said[at_quote[k]][1]
+        quoted[k] = inside or not _REPORT.isdisjoint(near)
         kind[k] = 2 if terms[term][1] else min(edits, 1)
         score[k] = terms[term][2] * (1.0, 0.6, 0.4)[edits] * (1.0 if _SECOND.isdisjoint(near) else 1.25)
     own = np.where(quoted, 0.0, score)

@@ -38,6 +38,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import at_release
 from .memory import give_back, tidy
 from .runtime import scratch_path
 
@@ -213,6 +214,7 @@ def explode_words(docs: DataFrame, key: str, words: str) -> DataFrame:
     name = "words_" + uuid.uuid4().hex
     (coded.write.partitionBy("part").bucketBy(min(buckets, 100_000), "chunk").option("compression", "zstd")
      .option("path", scratch_path(spark, name)).saveAsTable(name))
+    at_release(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}"))
     return spark.table(name)
 
 

@@ -202,6 +202,31 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(k) for k, _ in docs if k not in leaked)
 
 
+def test_rearranged_and_neighbouring_passages(spark):
+    """Halves and thirds swapped, sentences shuffled, passages side by side."""
+    rng = random.Random(17)
+    items = [(k, " ".join(prose(rng, n))) for k, n in enumerate((120, 120, 90, 60, 40, 200))]
+    template = prose(rng, 50)
+    items += [(10 + k, " ".join(template + prose(rng, 12))) for k in range(4)]
+    docs = []
+    for k, text in items:
+        w = words_of(text)
+        n = len(w)
+        pieces = [w[n // 2:] + w[:n // 2], w[2 * n // 3:] + w[n // 3:2 * n // 3] + w[:n // 3], w[3:], w[:-3], w + w]
+        cut = [w[i:i + 20] for i in range(0, n, 20)]
+        rng.shuffle(cut)
+        pieces.append([x for c in cut for x in c])
+        for j, piece in enumerate(pieces):
+            docs.append((100 * k + j, " ".join(prose(rng, rng.randrange(60)) + piece + prose(rng, rng.randrange(60)))))
+    docs.append((9000, " ".join(t for _, t in items)))
+    docs += [docs[0]] * 3
+    table = spark.createDataFrame(items, "item_id int, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.leaks(frame(spark, docs), table).collect()}
+    want = {k: round(v, 9) for k, v in brute_leaks(docs, items).items()}
+    assert (0, 0) in want and want[0, 0] < 1
+    assert got == want
+
+
 def test_leaks_of_items_that_share_most_of_a_passage(spark):
     """Light shared shingles and a few heavy own ones, windows just above the bar."""
     rng = random.Random(13)
@@ -356,6 +381,30 @@ def test_small_formats_stay_distinct(spark):
         assert len(set(values)) == len(values) and not set(values) & {r.canon for r in got if r.kind == kind}
 
 
+def test_no_surrogate_is_another_persons_name(spark):
+    """The word that Anna would get is the name of somebody else in the corpus."""
+    first = surrogates.assign(spark.createDataFrame([("name", "f|latin|anna")], "kind string, canon string")).first().value
+    rows = [(1, f"Frau Anna Smith met Frau {first.title()} Smith."), (2, f"Mr. {first.title()} came.")]
+    out, mentions = surrogates.replace(frame(spark, rows))
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert first not in got[1].lower() and first not in got[2].lower()
+    words = {w for r in mentions.collect() for w in r.replacement.lower().split()[1:]}
+    assert not words & {"anna", "smith", first}
+    given = surrogates.assign(spark.createDataFrame(
+        [("name", "f|latin|anna"), ("name", f"m|latin|{first}"), ("name", "l|latin|smith")], "kind string, canon string")).collect()
+    assert len({r.value for r in given}) == 3 and not {r.value for r in given} & {"anna", first, "smith"}
+
+
+def test_the_key_may_come_from_the_session(spark):
+    docs = frame(spark, PII[:1])
+    want = surrogates.replace(docs, key="a")[0].first().text
+    spark.conf.set(surrogates.KEY_SETTING, "a")
+    try:
+        assert surrogates.replace(docs)[0].first().text == want
+    finally:
+        spark.conf.unset(surrogates.KEY_SETTING)
+
+
 def test_another_key_gives_other_surrogates(spark):
     docs = frame(spark, PII[:1])
     one, two = (surrogates.replace(docs, key=k)[0].first().text for k in ("a", "b"))
@@ -450,6 +499,24 @@ def test_stems_leave_the_rest_free():
     assert automaton.match("vil") is None and automaton.match("evil") is None
 
 
+def test_quotations_are_paired():
+    cases = {"you’re a moron and you don’t care": [], 'a 5" pipe, you moron, and a 6" pipe': [], 'he read "idiot" there': ["idiot"],
+             "„so“ und »so« und «ça» y ‚das‘ ‘it’ ‹x›": ["so", "so", "ça", "das", "it", "x"], "“it’s you’re” and he’s “open": ["it’s you’re"],
+             'an "open line\nclosed" later': [], 'token = "abc", "d e"': ["abc", "d e"], "": [], '"': [], '""': [""],
+             '"' + "long " * 200 + 'end"': ["long " * 200 + "end"]}
+    for text, want in cases.items():
+        assert [text[a + 1:b] for a, b in toxicity.quotations(text)] == want, text
+
+
+def test_apostrophes_and_inches_quote_nothing():
+    terms = (("moron", False, 1.0),)
+    automaton = toxicity.Automaton(terms)
+    for text in ("you’re a moron and you don’t care", 'that 5" screen, you moron, is a 6" one'):
+        found = toxicity.features(text, automaton, terms)
+        assert found[0] == 1.25 and found[4] == 0, text
+    assert toxicity.features("she read “moron” on it", automaton, terms)[0] == 0
+
+
 def test_quotation_scores_below_abuse():
     terms = (("idiot", False, 1.0),)
     automaton = toxicity.Automaton(terms)
